@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from docframe.llm.quality import op8_host_quality
 from docframe.llm.sharding import op9_feistel_sharding
+from docframe.llm.substring_dedup import op2_super_kmer_dedup
+from docframe.llm.suffix_dedup import op6_collection_bwt_dedup
 
 QUERIES = {
+    "op2_super_kmer_dedup": op2_super_kmer_dedup,
+    "op6_collection_bwt_dedup": op6_collection_bwt_dedup,
     "op8_host_quality": op8_host_quality,
     "op9_feistel_sharding": op9_feistel_sharding,
 }
