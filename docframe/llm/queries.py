@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from docframe.llm.decontamination import op3_positional_index
+from docframe.llm.pii import op5_weak_supervision_pii
 from docframe.llm.quality import op8_host_quality
 from docframe.llm.sharding import op9_feistel_sharding
 from docframe.llm.substring_dedup import op2_super_kmer_dedup
@@ -9,6 +11,8 @@ from docframe.llm.suffix_dedup import op6_collection_bwt_dedup
 
 QUERIES = {
     "op2_super_kmer_dedup": op2_super_kmer_dedup,
+    "op3_positional_index": op3_positional_index,
+    "op5_weak_supervision_pii": op5_weak_supervision_pii,
     "op6_collection_bwt_dedup": op6_collection_bwt_dedup,
     "op8_host_quality": op8_host_quality,
     "op9_feistel_sharding": op9_feistel_sharding,
