@@ -17,31 +17,32 @@ def collection_order(cat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -
     """
     count = len(starts)
     ends = starts + lengths
-    bwt = np.where(lengths > 0, cat[np.maximum(ends - 1, 0)].astype(np.int16) + 1, 0).astype(np.int16)
-    row = ends.astype(np.int64)
+    kind = np.uint8 if len(cat) == 0 or cat.max() < 255 else np.int16  # UTF-8 has no byte 255, so its symbols stay bytes
+    symbol = np.append(cat, np.uint8(0)).astype(kind) + kind(1)  # 0 ends a string
+    bwt = np.where(lengths > 0, symbol[ends - 1], 0).astype(kind)
+    row = ends.astype(np.int32)
     pos = np.arange(count)
     active = np.flatnonzero(lengths > 0)
+    ended = count - len(active)
     t = 0
     while len(active):
         t += 1
-        at = pos[active]
-        wide = bwt.astype(np.uint8) if bwt.max() < 256 else bwt
-        order = np.argsort(wide, kind="stable")
-        rank = np.empty(len(bwt), dtype=np.int64)
-        rank[order] = np.arange(len(bwt))
-        ended = int(np.count_nonzero(bwt == 0))
-        new = count + rank[at] - ended
+        rank = np.empty(len(bwt), dtype=np.int32)
+        rank[np.argsort(bwt, kind="stable")] = np.arange(len(bwt), dtype=np.int32)
+        new = rank[pos[active]] + (count - ended)
         begin = ends[active] - t
-        before = np.where(lengths[active] > t, cat[np.maximum(begin - 1, 0)].astype(np.int16) + 1, 0)
-        size = len(bwt) + len(active)
-        old = np.ones(size, dtype=bool)
+        more = lengths[active] > t
+        before = np.where(more, symbol[begin - 1], 0)
+        old = np.ones(len(bwt) + len(active), dtype=bool)
         old[new] = False
-        grown, rows = np.empty(size, dtype=np.int16), np.empty(size, dtype=np.int64)
+        old = np.flatnonzero(old)
+        grown, rows = np.empty(len(bwt) + len(active), dtype=kind), np.empty(len(bwt) + len(active), dtype=np.int32)
         grown[old], rows[old] = bwt, row
         grown[new], rows[new] = before, begin
         bwt, row = grown, rows
         pos[active] = new
-        active = active[lengths[active] > t]
+        ended += len(active) - int(np.count_nonzero(more))
+        active = active[more]
     return bwt, row
 
 

@@ -59,7 +59,7 @@ class Rule:
     symbols: Callable[[list[bytes]], Symbols]
     #: Whether an earlier start in the same document counts.
     within: bool
-    #: ``(strings, docs, starts, rule) -> per string, flags of the windows that start earlier elsewhere``
+    #: ``(strings, minimisers, docs, starts, rule) -> per string, flags of the windows that start earlier elsewhere``
     kernel: Callable
     #: ``(text, ranges, starts of symbols ...) -> output columns``
     digest: Callable[[bytes, np.ndarray], tuple]
@@ -227,7 +227,7 @@ def compared(table: pa.Table, rule: Rule) -> pa.Table:
     # A minimiser with one string has nothing to compare it with.
     minis, inverse = np.unique(runs["mini"][lead], return_inverse=True)
     busy = np.flatnonzero(np.bincount(inverse, minlength=len(minis))[inverse] > 1)
-    flags = rule.kernel([distinct[i] for i in busy], runs["doc"][lead[busy]], runs["start"][lead[busy]], rule) if len(busy) else []
+    flags = rule.kernel([distinct[i] for i in busy], runs["mini"][lead[busy]], runs["doc"][lead[busy]], runs["start"][lead[busy]], rule) if len(busy) else []
     flag_of = dict(zip(busy.tolist(), flags))
     out: dict[int, list] = {}
     for r, w in zip(runs, which.tolist()):

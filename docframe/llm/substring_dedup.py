@@ -32,7 +32,7 @@ def word_symbols(texts: list[bytes]) -> Symbols:
     return Symbols(offsets, gram_hash(words, GRAM), lambda i, j: line[begin[i] : end[j - 1]])
 
 
-def sorted_windows(strings: list[bytes], docs: np.ndarray, starts: np.ndarray, rule: Rule) -> list[np.ndarray]:
+def sorted_windows(strings: list[bytes], minis: np.ndarray, docs: np.ndarray, starts: np.ndarray, rule: Rule) -> list[np.ndarray]:
     """Sort all windows of a bucket; flag those that a document with a smaller id has too."""
     flags, table = [], []
     for s, (text, doc) in enumerate(zip(strings, docs.tolist())):

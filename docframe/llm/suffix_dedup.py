@@ -17,7 +17,9 @@ from docframe.llm.repeats import Rule, Symbols, repeats, sha
 from docframe.llm.rolling import gram_hash
 
 WINDOW = 100
-GRAM = 20
+GRAM = 40
+#: Bytes of strings indexed at once, so that a round's arrays stay in a processor's cache.
+BATCH_BYTES = 1 << 18
 
 
 def byte_symbols(texts: list[bytes]) -> Symbols:
@@ -26,9 +28,28 @@ def byte_symbols(texts: list[bytes]) -> Symbols:
     return Symbols(offsets, gram_hash(np.frombuffer(line, dtype=np.uint8), GRAM), lambda i, j: line[i:j])
 
 
-def transform_windows(strings: list[bytes], docs: np.ndarray, starts: np.ndarray, rule: Rule) -> list[np.ndarray]:
-    """Flag windows that also start earlier: in a smaller document, or before in the same one."""
-    rows, group = window_classes(strings, rule.window)
+def transform_windows(strings: list[bytes], minis: np.ndarray, docs: np.ndarray, starts: np.ndarray, rule: Rule) -> list[np.ndarray]:
+    """Flag windows that also start earlier: in a smaller document, or before in the same one.
+
+    Equal windows have one minimiser, so strings are indexed by the batch, a minimiser's
+    strings never apart.
+    """
+    flags: list[np.ndarray] = [np.zeros(0, dtype=bool)] * len(strings)
+    order = np.argsort(minis, kind="stable")
+    batch, size = [], 0
+    for k, i in enumerate(order.tolist()):
+        batch.append(i)
+        size += len(strings[i])
+        last = k + 1 == len(order)
+        if last or (size >= BATCH_BYTES and minis[order[k + 1]] != minis[i]):
+            for j, f in zip(batch, flagged([strings[x] for x in batch], docs[batch], starts[batch], rule.window)):
+                flags[j] = f
+            batch, size = [], 0
+    return flags
+
+
+def flagged(strings: list[bytes], docs: np.ndarray, starts: np.ndarray, window: int) -> list[np.ndarray]:
+    rows, group = window_classes(strings, window)
     sizes = np.array([len(x) for x in strings], dtype=np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     owner = np.searchsorted(offsets, rows, side="right") - 1
@@ -37,9 +58,9 @@ def transform_windows(strings: list[bytes], docs: np.ndarray, starts: np.ndarray
     ranked = group[order]
     head = order[np.maximum.accumulate(np.where(np.append(True, ranked[1:] != ranked[:-1]), np.arange(len(order)), 0))]
     late = (doc[head] < doc[order]) | ((doc[head] == doc[order]) & (start[head] < start[order]))
-    flags = np.zeros(len(offsets) and offsets[-1], dtype=bool)
+    flags = np.zeros(offsets[-1], dtype=bool)
     flags[rows[order[late]]] = True
-    return [flags[a : b - rule.window + 1] for a, b in zip(offsets[:-1], offsets[1:])]
+    return [flags[a : b - window + 1] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
 def digest(text: bytes, spans: np.ndarray) -> tuple[int, int, int, str]:
