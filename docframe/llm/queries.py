@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from docframe.llm.decontamination import op3_positional_index
+from docframe.llm.lm_scoring import op7_pseudo_likelihood
 from docframe.llm.pii import op5_weak_supervision_pii
 from docframe.llm.quality import op8_host_quality
 from docframe.llm.sharding import op9_feistel_sharding
 from docframe.llm.substring_dedup import op2_super_kmer_dedup
 from docframe.llm.suffix_dedup import op6_collection_bwt_dedup
+from docframe.llm.tokenising import op1_max_plus_sentencepiece
 
 QUERIES = {
+    "op1_max_plus_sentencepiece": op1_max_plus_sentencepiece,
+    "op7_pseudo_likelihood": op7_pseudo_likelihood,
     "op2_super_kmer_dedup": op2_super_kmer_dedup,
     "op3_positional_index": op3_positional_index,
     "op5_weak_supervision_pii": op5_weak_supervision_pii,
