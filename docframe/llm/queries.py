@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from docframe.llm.decontamination import op3_positional_index
+from docframe.llm.jaccard import op10_count_vector_rtree
 from docframe.llm.lm_scoring import op7_pseudo_likelihood
 from docframe.llm.pii import op5_weak_supervision_pii
 from docframe.llm.quality import op8_host_quality
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_weak_supervision_pii": op5_weak_supervision_pii,
     "op6_collection_bwt_dedup": op6_collection_bwt_dedup,
     "op8_host_quality": op8_host_quality,
+    "op10_count_vector_rtree": op10_count_vector_rtree,
     "op9_feistel_sharding": op9_feistel_sharding,
 }
 
