@@ -11,6 +11,7 @@ consecutive chunks combine associatively.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import sentencepiece
@@ -22,7 +23,7 @@ NEVER = float("-inf")
 class Vocabulary:
     """Pieces of a model; ``model`` is the file's content."""
 
-    def __init__(self, model: bytes, remember: int = 400_000):
+    def __init__(self, model: bytes, remember: int = 250_000):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.ids: dict[str, int] = {}
         self.score: dict[str, float] = {}
@@ -42,6 +43,7 @@ class Vocabulary:
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         #: Characters that no longer piece contains stand alone: a path breaks at both sides.
         self.alone = re.compile("([" + "".join(re.escape(c) for c in "\n\t\r\x0b\x0c" if c not in joined) + "])")
+        self.lone = {c: self.numbers([c]) for c in "\n\t\r\x0b\x0c" if c not in joined}
         inside = [p for p in self.ids if MARK in p[1:] and p.strip(MARK)]
         if inside:
             raise ValueError("a piece holds a space after other characters, so units are not independent")
@@ -49,6 +51,17 @@ class Vocabulary:
         for p in self.ids:
             for k in (1, 2):
                 self.reach[p[:k]] = max(self.reach.get(p[:k], 1), len(p))
+        #: Lengths of the pieces that begin like a text, longest first, by its first 4, 3 or 2 characters.
+        self.lengths: tuple[dict[str, tuple[int, ...]], ...] = ({}, {}, {})
+        long: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) >= 4:
+                long.setdefault(p[:4], set()).add(len(p))
+        for table, k in zip(self.lengths, (4, 3, 2)):
+            for begin in {p[:k] for p in self.ids if len(p) >= k}:
+                known = long.get(begin, set()) if k == 4 else set()
+                table[begin] = tuple(sorted(known | {n for n in range(2, min(k, 3) + 1) if begin[:n] in self.ids} | {1}, reverse=True))
+        self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.remember = remember
         self.pairs: dict[tuple[str, str], bool] = {}
         self.units: dict[str, bytes] = {}
@@ -97,6 +110,43 @@ class Vocabulary:
                     found[end] = (right, at)
         return found
 
+    def only_path(self, text: str) -> list[str]:
+        """The best path over a whole unit, walked depth first with the longest piece tried first.
+
+        Every prefix has one path of weight 0, so an end that was entered once and led nowhere
+        is never entered again.
+        """
+        ids, pairs, size = self.ids, self.pairs, len(text)
+        four, three, two = self.lengths
+        at, left = 0, ""
+        steps = iter(four.get(text[:4]) or three.get(text[:3]) or two.get(text[:2]) or ONE)
+        taken, out, entered = [], [], set()
+        while at < size:
+            for length in steps:
+                end = at + length
+                if end > size or end in entered:
+                    continue
+                right = text[at:end]
+                if length > 4 and right not in ids:
+                    continue
+                if left:
+                    known = pairs.get((left, right))
+                    if known is None:
+                        known = self.weight(left, right)
+                    if not known:
+                        continue
+                break
+            else:
+                at, left, steps = taken.pop()
+                out.pop()
+                continue
+            taken.append((at, left, steps))
+            out.append(right)
+            entered.add(end)
+            at, left = end, right
+            steps = iter(four.get(text[at : at + 4]) or three.get(text[at : at + 3]) or two.get(text[at : at + 2]) or ONE)
+        return out
+
     @staticmethod
     def back(found: dict[int, tuple[str, int]], end: int, begin: int) -> list[str]:
         """The pieces from ``begin`` to ``end``."""
@@ -108,14 +158,21 @@ class Vocabulary:
 
     def numbers(self, pieces: list[str]) -> bytes:
         """Piece numbers as packed 32-bit integers; a character without a piece goes as bytes."""
-        out: list[int] = []
-        for p in pieces:
-            i = self.ids.get(p)
-            if i is None:
-                out += self.byte_ids[list(p.encode())].tolist()
-            else:
-                out.append(i)
-        return np.array(out, dtype="<i4").tobytes()
+        try:
+            return array("i", [self.ids[p] for p in pieces]).tobytes()
+        except KeyError:
+            each = ([self.ids[p]] if p in self.ids else self.byte_ids[list(p.encode())].tolist() for p in pieces)
+            return array("i", [i for x in each for i in x]).tobytes()
+
+    def cut(self, text: str) -> int:
+        """Last place inside a unit between two characters that no piece holds in a row, or 0.
+
+        Every path breaks there, so both sides can be looked up by themselves.
+        """
+        for i in range(len(text) - 1, 0, -1):
+            if text[i - 1 : i + 1] not in self.inner:
+                return i
+        return 0
 
     def unit(self, text: str) -> bytes:
         """Numbers of a unit: marks, then other characters; no piece crosses its ends."""
@@ -123,26 +180,27 @@ class Vocabulary:
         if known is None:
             known = self.older.get(text)
             if known is None:
-                if text.isascii() and text.isalnum() or not self.alone.search(text):
-                    known = self.numbers(self.back(self.paths(text, 0, "", len(text)), len(text), 0))
-                else:
-                    known = b"".join(self.numbers([x]) if self.alone.fullmatch(x) else self.unit(x) for x in self.alone.split(text) if x)
+                cut = self.cut(text)
+                known = self.unit(text[:cut]) + self.unit(text[cut:]) if cut else self.numbers(self.only_path(text))
             if len(self.units) >= self.remember:  # two generations: what is in use survives
                 self.older, self.units = self.units, {}
             self.units[text] = known
         return known
 
-    def words(self, text: str) -> list[str]:
-        """Units of a text whose spaces are marks."""
-        return UNIT.findall(text)
+    def units_of(self, text: str) -> list[bytes]:
+        """Numbers of the units of a text whose spaces are marks."""
+        out, unit = [], self.unit
+        for line in self.alone.split(text):
+            if line in self.lone:
+                out.append(self.lone[line])
+            elif line:
+                known = self.units.get  # bound anew: the generations may have changed
+                out += [known(u) or unit(u) for u in UNIT.findall(line)]
+        return out
 
     def encode(self, text: str) -> bytes:
         """Numbers of a whole text that is one chunk."""
-        if not text:
-            return b""
-        if "  " in text or text[0] == " " or text[-1] == " " or MARK in text:
-            return b"".join(map(self.unit, self.words(MARK + text.replace(" ", MARK))))
-        return b"".join([self.unit(MARK + w) for w in text.split(" ")])
+        return b"".join(self.units_of(MARK + text.replace(" ", MARK))) if text else b""
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a sequence of numbers, without the mark that encoding puts in front."""
@@ -196,9 +254,10 @@ class Vocabulary:
             return self.numbers(self.back(self.paths(text, b, text[a:b], end), leave[1], b))
         head = self.numbers(self.back(self.paths(text, b, text[a:b], first), first, b))
         tail = self.numbers(self.back(self.paths(text, last, "", end), leave[1], last))
-        return head + b"".join(map(self.unit, self.words(text[first:last]))) + tail
+        return head + b"".join(self.units_of(text[first:last])) + tail
 
 
+ONE = (1,)
 UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 EDGE = re.compile(f"[^{MARK}]{MARK}")
 

@@ -25,7 +25,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768
 #: Characters of context on either side of a chunk; no piece is longer.
 MARGIN = 64
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 @functools.lru_cache(maxsize=1)
@@ -52,11 +52,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             yield batch.slice(at)
 
 
-def whole_texts(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
+def whole_texts(batches: Iterator[pa.RecordBatch], model: bytes, back: bool) -> Iterator[pa.RecordBatch]:
+    """Encode texts of one chunk; with ``back``, decode the numbers in the same pass."""
     v = vocabulary(model)
     for batch in slices(batches, "text"):
         done = [v.encode(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_key"), lists(done)], names=["doc_key", "ids"])
+        columns = {"doc_key": batch.column("doc_key"), "ids": lists(done)}
+        if back:
+            columns["decoded"] = pa.array([v.decode(np.frombuffer(x, "<i4")).decode("utf-8", "replace") for x in done], pa.string())
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def matrices(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
@@ -106,19 +110,29 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
+def split_by_length(docs: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Texts of one chunk, and giant ones; a null text is empty."""
+    if chunk <= 2 * MARGIN:
+        raise ValueError(f"chunk must exceed {2 * MARGIN} characters")
+    texts = docs.select("doc_key", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return texts.where(F.length("text") <= chunk), texts.where(F.length("text") > chunk)
+
+
 def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """``doc_key, ids``: the model's piece numbers of every text.
 
     ``docs`` has ``doc_key`` (binary) and ``text``.  A null or empty text has no pieces; keys
     of giant texts must differ.
     """
-    if chunk <= 2 * MARGIN:
-        raise ValueError(f"chunk must exceed {2 * MARGIN} characters")
-    model = read_model(model_path)  # half a megabyte, whatever the corpus
-    text = F.coalesce(F.col("text"), F.lit(""))
-    short = docs.where(F.length(text) <= chunk).select("doc_key", text.alias("text"))
-    marked = F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))
-    giant = docs.where(F.length(text) > chunk).select("doc_key", marked.alias("text"))
+    short, giant = split_by_length(docs, chunk)
+    model = read_model(model_path)
+    return short.mapInArrow(lambda b: whole_texts(b, model, False), "doc_key binary, ids array<int>").union(encode_giant(giant, model, chunk))
+
+
+def encode_giant(giant: DataFrame, model: bytes, chunk: int) -> DataFrame:
+    """The parallel scan: chunks, their matrices, the states at boundaries, the traces."""
+    marked = F.concat(F.lit(MARK), F.replace("text", F.lit(" "), F.lit(MARK)))
+    giant = giant.select("doc_key", marked.alias("text"))
     size = F.length("text")
     parts = giant.select("doc_key", "text", size.alias("size"), F.explode(F.sequence(F.lit(0), ((size - MARGIN) / chunk).cast("int"))).alias("chunk"))
     last = ((F.col("size") - MARGIN) / chunk).cast("int")
@@ -126,12 +140,12 @@ def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) -> Data
     end = F.when(F.col("chunk") == last, F.col("size")).otherwise(begin + chunk)
     left = F.greatest(F.lit(0), begin - MARGIN)
     parts = parts.select("doc_key", "chunk", F.substring("text", left + 1, end + MARGIN - left).alias("text"), (begin - left).cast("int").alias("begin"), (end - left).cast("int").alias("end"))
-    parts = parts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_key", "chunk")
+    parts = parts.repartition(int(giant.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_key", "chunk")
     found = parts.mapInArrow(lambda b: matrices(b, model), "doc_key binary, chunk int, rows int, matrix binary")
     fixed = found.groupBy("doc_key").applyInArrow(boundaries, "doc_key binary, chunk int, enter int, leave int")
     pieces = parts.join(fixed, ["doc_key", "chunk"]).select("doc_key", "chunk", "text", "begin", "end", "enter", "leave").mapInArrow(lambda b: traced(b, model), "doc_key binary, chunk int, ids array<int>")
     joined = pieces.groupBy("doc_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return short.mapInArrow(lambda b: whole_texts(b, model), "doc_key binary, ids array<int>").union(joined)
+    return joined
 
 
 def decoded(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
@@ -157,7 +171,10 @@ def with_tokens(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) ->
     # The key carries doc_id through; equal rows are told apart, so that no two giant texts meet.
     key = F.encode(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.monotonically_increasing_id().cast("string")), "UTF-8")
     keyed = docs.select(key.alias("doc_key"), "text")
-    out = decode(encode(keyed, model_path, chunk), model_path)
+    short, giant = split_by_length(keyed, chunk)
+    model = read_model(model_path)
+    both = short.mapInArrow(lambda b: whole_texts(b, model, True), "doc_key binary, ids array<int>, decoded string")
+    out = both.union(decode(encode_giant(giant, model, chunk), model_path))
     name = F.split_part(F.decode("doc_key", "UTF-8"), F.lit(":"), F.lit(1))
     return out.select(F.when(name != "null", name.cast("long")).alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
