@@ -8,7 +8,8 @@ above for single points and whole nodes alike.  Pairs that survive are verified
 
 Links are looked for in rounds, as a pair whose ends are already connected needs no test:
 first each class with many shared hashes meets the others under its two least ones; then the
-nearest classes of other components are tried; last, all pairs that are left in any list.
+nearest classes of other components are tried, and all pairs of short lists; last, all pairs
+that are left in long lists.
 Lists longer than a block are dealt out, and in the last round every pair of blocks meets.
 """
 
@@ -27,7 +28,7 @@ from docframe.llm.rolling import gram_hash, mix, prefix_hash, span_hash
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
-GROUPS = 32
+GROUPS = 64
 FANOUT = 16
 PIECE_BYTES = 4 << 20
 #: Members of a list that are compared in one task.
@@ -36,6 +37,13 @@ BLOCK = 2048
 CROWD = 64
 BROADCAST_ROWS = 500_000
 NEAREST = 3
+#: Rows of lists that one call handles, about.
+LIST_ROWS = 4096
+#: Hashes of so many classes in a piece of the input are reported as common, and at most
+#: ``COMMON`` of all reported ones come last in every prefix.  Any order that all share is
+#: exact; this one keeps what many unrelated documents share out of the lists.
+OFTEN = 4
+COMMON = 1 << 16
 
 
 # -- shingles ---------------------------------------------------------------------------------
@@ -74,12 +82,28 @@ def class_keys(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def points(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Group counts of every set."""
+    """Group counts of every set, in ``GROUPS`` groups."""
     n = len(offsets) - 1
     owner = np.repeat(np.arange(n), np.diff(offsets))
     return np.bincount(owner * GROUPS + (hashes % np.uint64(GROUPS)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS).astype(np.int32)
 
 
+def fine_point(hashes: np.ndarray) -> bytes:
+    """Group counts of one set in more groups the larger it is, a power of two of them.
+
+    Group numbers are remainders, so halving the groups adds the two halves up.  With about
+    four tokens to a group, unrelated sets of any size fall short of the bound.
+    """
+    groups = GROUPS
+    while groups * 4 < len(hashes) and groups < 8192:
+        groups *= 2
+    return np.bincount((hashes % np.uint64(groups)).astype(np.int64), minlength=groups).astype("<u2").tobytes()
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    return point.reshape(-1, groups).sum(axis=0)
+
+
 def needed(size: np.ndarray) -> np.ndarray:
     """Least overlap with any linked set: ``size`` times the threshold, rounded up."""
     return -(-NUMERATOR * size // DENOMINATOR)
@@ -98,10 +122,20 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Facts of every document; rows with ``n`` of -1 report common hashes, in ``c``, with counts in ``row``."""
+    kinds = {"doc_id": pa.int64(), "row": pa.int64(), "n": pa.int64(), "c": pa.int64(), "coarse": pa.binary(), "fine": pa.binary()}
     for batch, texts in pieces(batches):
         h, offsets = shingle_sets(texts)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(np.diff(offsets)), pa.array(class_keys(h, offsets)),
-                                          pa.array([p.tobytes() for p in points(h, offsets).astype("<i4")], pa.binary())], names=["doc_id", "row", "n", "c", "point"])
+        c = class_keys(h, offsets)
+        coarse = [p.tobytes() for p in points(h, offsets).astype("<u4")]
+        fine = [fine_point(h[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+        first = np.unique(c, return_index=True)[1]
+        once = np.concatenate([h[offsets[i] : offsets[i + 1]] for i in first]) if len(first) else h
+        often, count = np.unique(once, return_counts=True)
+        often, count = often[count >= OFTEN].view(np.int64), count[count >= OFTEN]
+        columns = {"doc_id": batch.column("doc_id").to_pylist() + [None] * len(often), "row": batch.column("row").to_pylist() + count.tolist(), "n": np.append(np.diff(offsets), np.full(len(often), -1)),
+                   "c": np.append(c, often), "coarse": coarse + [None] * len(often), "fine": fine + [None] * len(often)}
+        yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in columns.items()], names=list(columns))
 
 
 # -- which classes share a prefix hash ---------------------------------------------------------
@@ -117,7 +151,7 @@ def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw[8 : 8 + 8 * n], "<u8"), np.frombuffer(raw[8 + 8 * n :], "<i8")
 
 
-def postings(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def postings(batches: Iterator[pa.RecordBatch], buckets: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Prefix hashes with their classes, packed by bucket of the hash; crowded hashes apart."""
     for _, texts in pieces(batches):
         h, offsets = shingle_sets(texts)
@@ -125,8 +159,11 @@ def postings(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
         c = class_keys(h, offsets)
         take = np.where(size > 0, size - needed(size) + 1, 0)
         rank = np.arange(len(h)) - np.repeat(offsets[:-1], size)
+        owner = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((np.isin(h, common), owner))  # stable: hashes stay ascending on either side
         keep = rank < np.repeat(take, size)
-        both = np.unique(np.stack([h[keep], np.repeat(c, size)[keep].view(np.uint64)], axis=1), axis=0) if keep.any() else np.zeros((0, 2), np.uint64)
+        ph, pc = h[order][keep], c[owner[order][keep]]
+        both = np.unique(np.stack([ph, pc.view(np.uint64)], axis=1), axis=0) if len(ph) else np.zeros((0, 2), np.uint64)
         ph, pc = both[:, 0], both[:, 1].view(np.int64)
         keys, payloads = [], []
         values, start, count = np.unique(ph, return_index=True, return_counts=True)
@@ -211,20 +248,47 @@ def find(parent: list[int], x: int) -> int:
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def parts_of(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal keys in sorted columns."""
+    if not len(keys[0]):
+        return []
+    new = np.zeros(len(keys[0]), dtype=bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    at = np.append(np.flatnonzero(new), len(new)).tolist()
+    return list(zip(at[:-1], at[1:]))
+
+
 def clustered(table: pa.Table) -> pa.Table:
-    """Link the classes of one block of a list; edges from each member to one of its component."""
-    _, first = np.unique(table["c"].to_numpy(), return_index=True)
-    table = table.take(pa.array(first))
-    c = table["c"].to_numpy()
-    sets = [np.frombuffer(x, "<u8") for x in table["hashes"].to_pylist()]
+    """Link classes inside every block of a list; edges from members to one of their component."""
+    h, block, c = (table[k].to_numpy() for k in ("h", "block", "c"))
+    order = np.lexsort((c, block, h))
+    texts = table["hashes"].to_pylist()
+    a, b = [], []
+    for low, high in parts_of(h[order], block[order]):
+        mine = order[low:high]
+        mine = mine[np.unique(c[mine], return_index=True)[1]]
+        if len(mine) < 2:
+            continue
+        roots = forest([np.frombuffer(texts[i], "<u8") for i in mine])
+        some = roots != np.arange(len(mine))
+        a.append(c[mine][some])
+        b.append(c[mine][roots[some]])
+    none = [np.zeros(0, np.int64)]
+    return pa.table([pa.array(np.concatenate(a or none)), pa.array(np.concatenate(b or none))], schema=EDGE)
+
+
+def forest(sets: list[np.ndarray]) -> np.ndarray:
+    """For every set, a set that it is connected with; sets that give up stay for later rounds."""
     size = np.array([len(s) for s in sets])
     point = points(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]))
-    tree, parent = Tree(point, size), list(range(len(c)))
-    for i in range(len(c)):
+    tree, parent = Tree(point, size), list(range(len(sets)))
+    for i in range(len(sets)):
         other, bound = tree.near(point[i], int(size[i]))
         failed = 0
         for j in other[np.argsort(-bound, kind="stable")].tolist():
-            if failed > 2 * FANOUT:  # the last round tries all that stay apart
+            if failed > FANOUT:
                 break
             a, b = find(parent, i), find(parent, j)
             if a != b:
@@ -232,37 +296,71 @@ def clustered(table: pa.Table) -> pa.Table:
                     parent[max(a, b)] = min(a, b)
                 else:
                     failed += 1
-    roots = np.array([find(parent, i) for i in range(len(c))])
-    some = roots != np.arange(len(c))
-    return pa.table([pa.array(c[some]), pa.array(c[roots[some]])], schema=EDGE)
-
-
-def candidates(table: pa.Table, nearest: int | None) -> pa.Table:
-    """Pairs in a pair of blocks that lie in two components and may link; the nearest, or all."""
-    c, label, side = (table[k].to_numpy() for k in ("c", "label", "side"))
-    point = np.stack([np.frombuffer(p, "<i4") for p in table["point"].to_pylist()])
-    size = point.sum(axis=1)
-    right = np.flatnonzero(side == side.max())
-    tree = Tree(point[right], size[right])
-    mixed = side.max() != side.min()
-    out_a, out_b = [], []
-    for i in np.flatnonzero(side == 0):
-        other, bound = tree.near(point[i], int(size[i]))
-        j = right[other]
-        ok = label[j] != label[i]
-        if not mixed and nearest is None:
-            ok &= c[j] > c[i]
-        j, bound = j[ok], bound[ok]
-        if nearest is not None:
-            j = j[np.argsort(-bound, kind="stable")[:nearest]]
-        out_a.append(np.minimum(c[i], c[j]))
-        out_b.append(np.maximum(c[i], c[j]))
-    a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-    b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-    both = np.unique(np.stack([a, b], axis=1), axis=0)
+    return np.array([find(parent, i) for i in range(len(sets))])
+
+
+def short_pairs(table: pa.Table) -> pa.Table:
+    """Pairs of classes in two components, of sizes that may link, in many short lists at once."""
+    h, c, label, n = (table[k].to_numpy() for k in ("h", "c", "label", "n"))
+    order = np.lexsort((c, h))
+    h, c, label, n = (x[order] for x in (h, c, label, n))
+    by_size: dict[int, list[int]] = {}
+    for low, high in parts_of(h):
+        by_size.setdefault(high - low, []).append(low)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for m, lows in by_size.items():
+        x, y = np.triu_indices(m, 1)
+        at = np.array(lows)[:, None]
+        left.append((at + x).ravel())
+        right.append((at + y).ravel())
+    a, b = np.concatenate(left), np.concatenate(right)
+    ok = (label[a] != label[b]) & (DENOMINATOR * np.minimum(n[a], n[b]) >= NUMERATOR * np.maximum(n[a], n[b]))
+    return unique_pairs(c[a[ok]], c[b[ok]])
+
+
+def unique_pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
     return pa.table([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=EDGE)
 
 
+def tree_pairs(table: pa.Table, nearest: int | None) -> pa.Table:
+    """The same in long lists, through an R-tree a block; each class's nearest ones, or all."""
+    h, i, j, side, c, label, size = (table[k].to_numpy() for k in ("h", "i", "j", "side", "c", "label", "n"))
+    order = np.lexsort((c, side, j, i, h))
+    h, i, j, side, c, label, size = (x[order] for x in (h, i, j, side, c, label, size))
+    raw = table["coarse"].to_pylist()
+    point = np.stack([np.frombuffer(raw[k], "<u4") for k in order.tolist()]).astype(np.int32) if raw else np.zeros((0, GROUPS), np.int32)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for low, high in parts_of(h, i, j):
+        two = i[low] != j[low]
+        split = low + int(np.searchsorted(side[low:high], 1)) if two else low
+        if split == high:
+            continue
+        tree = Tree(point[split:high], size[split:high])
+        for k in range(low, split if two else high):
+            near, bound = tree.near(point[k], int(size[k]))
+            near = near + split
+            ok = label[near] != label[k]
+            near, bound = near[ok], bound[ok]
+            if nearest is not None:
+                near = near[np.argsort(-bound, kind="stable")[:nearest]]
+            a.append(np.full(len(near), c[k]))
+            b.append(c[near])
+    return unique_pairs(np.concatenate(a), np.concatenate(b))
+
+
+def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose counts in the finest common groups still allow a link."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
+            p, q = np.frombuffer(x, "<u2").astype(np.int32), np.frombuffer(y, "<u2").astype(np.int32)
+            groups = min(len(p), len(q))
+            bound = int(np.minimum(folded(p, groups), folded(q, groups)).sum())
+            keep.append((NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * int(p.sum() + q.sum()))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
@@ -305,22 +403,37 @@ def sets_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
     return materialise(found.dropDuplicates(["c"]))
 
 
-def closer(lists: DataFrame, kinds: DataFrame, texts: DataFrame, edges: DataFrame, nearest: int | None) -> DataFrame:
-    """Links between components that meet in a list."""
+def of_pairs(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """``a, b, left, right``: the pairs with the values of both ends."""
+    side = lambda end, name: values.select(F.col("c").alias(end), F.col(column).alias(name))
+    return pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right")
+
+
+def closer(lists: DataFrame, kinds: DataFrame, texts: DataFrame, edges: DataFrame, nearest: int | None, short: bool) -> DataFrame:
+    """``edges`` and the links found between components that meet in a list.
+
+    ``short`` says whether short lists are compared, which needs doing only once.
+    """
     labels = components(edges)
-    named = materialise(lists.join(small(labels), "c", "left").select("h", "c", F.coalesce("label", "c").alias("label")))
+    named = materialise(lists.join(small(labels), "c", "left").select("h", "c", "n", F.coalesce("label", "c").alias("label")))
     open_lists = named.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h", "size")
-    members = named.join(small(materialise(open_lists)), "h").join(kinds.select("c", "point"), "c")
+    members = materialise(named.join(small(materialise(open_lists)), "h"))
+    limit = 2 * FANOUT
+    long = members.where(F.col("size") > limit).join(kinds.select("c", "coarse"), "c")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), blocks).cast("int"))
-    every = members.select("h", "c", "label", "point", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = every.select("h", "c", "label", "point", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    pairs = met.groupBy("h", "i", "j").applyInArrow(lambda t: candidates(t, nearest), "a long, b long").distinct()
+    long = long.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), blocks).cast("int"))
+    every = long.select("h", "c", "n", "label", "coarse", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = every.select("h", "c", "n", "label", "coarse", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    tasks = max(1, members.count() // LIST_ROWS)  # many short lists, or blocks of long ones, to a call
+    pairs = met.groupBy(F.pmod(F.xxhash64("h", "i", "j"), F.lit(tasks)).alias("task")).applyInArrow(lambda t: tree_pairs(t, nearest), "a long, b long")
+    if short:
+        few = members.where(F.col("size") <= limit).groupBy(F.pmod(F.xxhash64("h"), F.lit(tasks)).alias("task"))
+        pairs = pairs.union(few.applyInArrow(short_pairs, "a long, b long"))
+    pairs = of_pairs(pairs.distinct(), kinds, "fine").mapInArrow(bounded, "a long, b long")
     pairs = materialise(pairs)
-    rows = kinds.select("c", "row").join(small(materialise(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct())), "c", "left_semi")
-    sets = sets_of(texts, rows)
-    full = pairs.join(sets.select(F.col("c").alias("a"), F.col("hashes").alias("left")), "a").join(sets.select(F.col("c").alias("b"), F.col("hashes").alias("right")), "b")
-    return materialise(edges.union(full.select("a", "b", "left", "right").mapInArrow(verified, "a long, b long")))
+    ends = materialise(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct())
+    sets = sets_of(texts, kinds.select("c", "row").join(small(ends), "c", "left_semi"))
+    return materialise(edges.union(of_pairs(pairs, sets, "hashes").mapInArrow(verified, "a long, b long")))
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -328,29 +441,37 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     texts = docs.select("doc_id", F.xxhash64("doc_id", text).alias("row"), text.alias("text"))
-    facts = materialise(texts.mapInArrow(summaries, "doc_id long, row long, n long, c long, point binary"))
-    kinds = materialise(facts.where("n > 0").groupBy("c").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("point").alias("point")))
+    found = materialise(texts.mapInArrow(summaries, "doc_id long, row long, n long, c long, coarse binary, fine binary"))
+    facts = found.where("n >= 0")
+    top = found.where("n < 0").groupBy("c").agg(F.sum("row").alias("count")).orderBy(F.desc("count"), "c").limit(COMMON).select("c").toArrow()
+    common = np.sort(top["c"].to_numpy().view(np.uint64))  # at most COMMON hashes
+    kinds = materialise(facts.where("n > 0").groupBy("c").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("coarse").alias("coarse"), F.first("fine").alias("fine")))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     buckets = max(8, size // (8 << 20))
-    sent = texts.select("text").mapInArrow(lambda b: postings(b, buckets), "key long, payload binary")
-    lists = materialise(sent.groupBy("key").applyInArrow(shared, "h long, c long").distinct())
+    sent = texts.select("text").mapInArrow(lambda b: postings(b, buckets, common), "key long, payload binary")
+    lists = sent.groupBy("key").applyInArrow(shared, "h long, c long").distinct()
+    lists = materialise(lists.join(small(kinds.select("c", "n")), "c"))
     # First round: classes that share a fifth of their prefix meet under their two least hashes.
     prefix = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1
-    own = lists.groupBy("c").agg(F.count(F.lit(1)).alias("shared"), F.slice(F.sort_array(F.collect_list("h")), 1, 2).alias("least"))
-    close = own.join(kinds.select("c", "n", "row"), "c").where(5 * F.col("shared") >= prefix).select("c", "row", F.explode("least").alias("h"))
+    own = lists.groupBy("c", "n").agg(F.count(F.lit(1)).alias("shared"), F.slice(F.sort_array(F.collect_list("h")), 1, 2).alias("least"))
+    close = own.where(5 * F.col("shared") >= prefix).join(kinds.select("c", "row"), "c").select("c", "row", F.explode("least").alias("h"))
     close = materialise(close)
     sizes = close.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("c").alias("pivot")).where("blocks > 0")
     dealt = close.join(small(materialise(sizes)), "h").select("h", "c", F.explode(F.when(F.col("c") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")))).alias("block"))
     sets = sets_of(texts, close)
-    edges = materialise(dealt.join(sets, "c").groupBy("h", "block").applyInArrow(clustered, "a long, b long").distinct())
-    edges = closer(lists, kinds, texts, edges, NEAREST)
-    return facts, closer(lists, kinds, texts, edges, None)
+    tasks = max(1, close.count() // LIST_ROWS)
+    met = dealt.join(sets, "c").groupBy(F.pmod(F.xxhash64("h", "block"), F.lit(tasks)).alias("task"))
+    edges = materialise(met.applyInArrow(clustered, "a long, b long").distinct())
+    edges = closer(lists, kinds, texts, edges, NEAREST, True)
+    return facts, closer(lists, kinds, texts, edges, None, False)
 
 
 def linked_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id``: the least id reachable by links.
 
+    ``row`` hashes ``doc_id`` and text, ``label`` tells components apart whatever their ids.
+
     A null or empty text has an empty set and is linked with nothing; a text of fewer than
     five words is one shingle; a null ``doc_id`` never names a component unless all of it is
     null; repeated rows link; an empty table gives no rows.
@@ -361,12 +482,12 @@ def linked_components(docs: DataFrame) -> DataFrame:
     named = least.join(small(labels), "c", "left").select("c", "least", F.coalesce("label", "c").alias("label"))
     named = materialise(named)
     whole = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_class = materialise(named.join(whole, "label").select("c", "component_id"))
-    # A class may hold a third of all rows: when it is not broadcast, its name is spread out.
+    of_class = materialise(named.join(whole, "label").select("c", "component_id", "label"))
+    # A class may hold a third of all rows, so its name is spread out.
     salts = 16
     spread = of_class.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = facts.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
-    return salted.join(spread, ["c", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return salted.join(spread, ["c", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row", "label")
 
 
 def op10_count_vector_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
