@@ -1,8 +1,8 @@
 """Personal data by weak supervision (DataFrame functions only).
 
 Fixed patterns give the base spans, which always stay.  Looser patterns, and base matches that
-failed their test, are candidates where plausible; the rest teach what a miss looks like.  Five labelers vote on every span: shape, checksum,
-gazetteer, context and boundary.  Expectation-maximisation over the counts of vote patterns
+failed their test, are candidates where plausible; the rest teach what a miss looks like.  Five
+labelers vote on every span: shape, checksum, gazetteer, context and boundary.  Expectation-maximisation over the counts of vote patterns
 estimates how reliable each labeler is; the posteriors train a naive Bayes classifier over span
 features, and candidates that it accepts are added.
 """
@@ -137,9 +137,11 @@ def votes(kind: int, match: Column, before: Column, after: Column) -> Column:
     return F.array(shape, check, gazetteer, context, edge)
 
 
-def scanned(df: DataFrame) -> DataFrame:
-    """Spans per document: base ones, and candidates that overlap none of them."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+SPANS = "array<struct<start:int,kind:int,end:int,base:boolean,able:boolean,votes:array<int>,features:array<int>>>"
+
+
+def spans_of(text: Column) -> Column:
+    """``struct<base, spare>``: base spans of a text, and candidates that overlap none of them."""
 
     def maker(kind: int, loose: bool):
         def make(start, end, match, before, after):
@@ -158,7 +160,7 @@ def scanned(df: DataFrame) -> DataFrame:
         found.append(F.when(present, located(text, pattern, maker(kind, False))))
     for kind, pattern in LOOSE.items():
         found.append(F.when(digit if kind else text.rlike(r"[\[(]at[\])]"), located(text, pattern, maker(kind, True))))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean,able:boolean,votes:array<int>,features:array<int>>>")
+    none = F.array().cast(SPANS)
     every = F.concat(*(F.coalesce(x, none) for x in found))
 
     def split(spans: Column) -> Column:
@@ -168,7 +170,7 @@ def scanned(df: DataFrame) -> DataFrame:
 
         return let(F.filter(spans, lambda s: s["base"]), free)
 
-    return df.select("doc_id", let(every, split).alias("s")).select("doc_id", "s.base", "s.spare")
+    return let(every, split)
 
 
 def reliabilities(counts: list[tuple[int, tuple[int, ...], int]]) -> dict[tuple[int, tuple[int, ...]], float]:
@@ -198,45 +200,50 @@ def reliabilities(counts: list[tuple[int, tuple[int, ...], int]]) -> dict[tuple[
     return post
 
 
+def fitted(spans: DataFrame, threshold: float):
+    """Train on ``spans`` (``base, spare``); a function from ``spare`` to the spans to add."""
+    spark = spans.sparkSession
+    each = spans.select(F.explode(F.concat("base", "spare")).alias("s")).select("s.kind", "s.votes", "s.features")
+    each = materialise(each.groupBy("kind", "votes", "features").agg(F.count(F.lit(1)).alias("n")))
+    counts = [(r["kind"], tuple(r["votes"]), r["n"]) for r in each.groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()]  # at most 4 * 3**5
+    post = reliabilities(counts)
+    if not post:
+        return lambda spare: F.array().cast(SPANS)
+    table = ", ".join(f"({k}, array({', '.join(map(str, p))}), {q!r}D)" for (k, p), q in sorted(post.items()))
+    believed = each.join(F.broadcast(spark.sql(f"SELECT * FROM VALUES {table} AS t(kind, votes, q)")), ["kind", "votes"])  # the same bound
+    values = believed.select("kind", "n", "q", F.posexplode("features").alias("slot", "value"))
+    sums = values.groupBy("kind", "slot", "value").agg(F.sum(F.col("n") * F.col("q")).alias("yes"), F.sum(F.col("n") * (1 - F.col("q"))).alias("no")).where("slot < 3").collect()
+    whole: dict[tuple[int, int], list[float]] = {}
+    for r in sums:
+        w = whole.setdefault((r["kind"], r["slot"]), [0.0, 0.0, 0.0])
+        w[0], w[1], w[2] = w[0] + r["yes"], w[1] + r["no"], w[2] + 1
+    weights = {f"{r['kind']}:{r['slot']}:{r['value']}": math.log((r["yes"] + 1) / (whole[r["kind"], r["slot"]][0] + whole[r["kind"], r["slot"]][2]))
+               - math.log((r["no"] + 1) / (whole[r["kind"], r["slot"]][1] + whole[r["kind"], r["slot"]][2])) for r in sums}
+    odds = {k: math.log((whole[k, 0][0] + 1) / (whole[k, 0][1] + 1)) for k, s in whole if s == 0}
+    belief = {f"{k}:{','.join(map(str, p))}": math.log(max(q, 1e-9) / max(1 - q, 1e-9)) for (k, p), q in post.items()}
+    weight_of = F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(v))))
+    odds_of = F.create_map(*(x for k, v in odds.items() for x in (F.lit(k), F.lit(v))))
+    belief_of = F.create_map(*(x for k, v in belief.items() for x in (F.lit(k), F.lit(v))))
+
+    def score(s: Column) -> Column:
+        """Classifier's log odds; a span that its votes speak against is held back."""
+        parts = F.transform(s["features"], lambda v, i: F.coalesce(F.try_element_at(weight_of, F.concat_ws(":", s["kind"], i, v)), F.lit(0.0)))
+        learned = odds_of[s["kind"]] + F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+        voted = F.coalesce(F.try_element_at(belief_of, F.concat_ws(":", s["kind"], F.array_join(F.transform(s["votes"], lambda v: v.cast("string")), ","))), F.lit(0.0))
+        return F.least(learned, voted)
+
+    return lambda spare: F.filter(spare, lambda s: s["able"] & (score(s) >= threshold))
+
+
 def detect(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Base and added spans per document.
 
     A null text is empty; null ids and repeated rows are kept as they are; an empty table
     gives no rows and trains nothing.
     """
-    spark = df.sparkSession
-    spans = materialise(scanned(df))
-    each = spans.select(F.explode(F.concat("base", "spare")).alias("s")).select("s.kind", "s.votes", "s.features")
-    each = materialise(each.groupBy("kind", "votes", "features").agg(F.count(F.lit(1)).alias("n")))
-    counts = [(r["kind"], tuple(r["votes"]), r["n"]) for r in each.groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()]  # at most 4 * 3**5
-    post = reliabilities(counts)
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean,able:boolean,votes:array<int>,features:array<int>>>")
-    added = none
-    if post:
-        table = ", ".join(f"({k}, array({', '.join(map(str, p))}), {q!r}D)" for (k, p), q in sorted(post.items()))
-        believed = each.join(F.broadcast(spark.sql(f"SELECT * FROM VALUES {table} AS t(kind, votes, q)")), ["kind", "votes"])  # the same bound
-        values = believed.select("kind", "n", "q", F.posexplode("features").alias("slot", "value"))
-        sums = values.groupBy("kind", "slot", "value").agg(F.sum(F.col("n") * F.col("q")).alias("yes"), F.sum(F.col("n") * (1 - F.col("q"))).alias("no")).where("slot < 3").collect()
-        whole: dict[tuple[int, int], list[float]] = {}
-        for r in sums:
-            w = whole.setdefault((r["kind"], r["slot"]), [0.0, 0.0, 0.0])
-            w[0], w[1], w[2] = w[0] + r["yes"], w[1] + r["no"], w[2] + 1
-        weights = {f"{r['kind']}:{r['slot']}:{r['value']}": math.log((r["yes"] + 1) / (whole[r["kind"], r["slot"]][0] + whole[r["kind"], r["slot"]][2]))
-                   - math.log((r["no"] + 1) / (whole[r["kind"], r["slot"]][1] + whole[r["kind"], r["slot"]][2])) for r in sums}
-        odds = {k: math.log((whole[k, 0][0] + 1) / (whole[k, 0][1] + 1)) for k, s in whole if s == 0}
-        belief = {f"{k}:{','.join(map(str, p))}": math.log(max(q, 1e-9) / max(1 - q, 1e-9)) for (k, p), q in post.items()}
-        weight_of = F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(v))))
-        odds_of = F.create_map(*(x for k, v in odds.items() for x in (F.lit(k), F.lit(v))))
-        belief_of = F.create_map(*(x for k, v in belief.items() for x in (F.lit(k), F.lit(v))))
-
-        def score(s: Column) -> Column:
-            """Classifier's log odds; a span that its votes speak against is held back."""
-            parts = F.transform(s["features"], lambda v, i: F.coalesce(F.try_element_at(weight_of, F.concat_ws(":", s["kind"], i, v)), F.lit(0.0)))
-            learned = odds_of[s["kind"]] + F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
-            voted = F.coalesce(F.try_element_at(belief_of, F.concat_ws(":", s["kind"], F.array_join(F.transform(s["votes"], lambda v: v.cast("string")), ","))), F.lit(0.0))
-            return F.least(learned, voted)
-
-        added = F.filter("spare", lambda s: s["able"] & (score(s) >= threshold))
+    found = df.select("doc_id", spans_of(F.coalesce(F.col("text"), F.lit(""))).alias("s"))
+    spans = materialise(found.select("doc_id", "s.base", "s.spare"))
+    added = fitted(spans, threshold)(F.col("spare"))
     kinds = F.array(*(F.lit(k) for k in KINDS))
 
     def joined(x: Column) -> Column:
@@ -249,5 +256,33 @@ def detect(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                                                    joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
+def redact(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``df`` with every span of its ``text`` replaced by its kind in brackets.
+
+    Overlapping spans are replaced as one, under the first one's kind.  All columns stay as
+    they are but ``text``, and ``n_chars`` if there is one; a null text stays null.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    spans = materialise(df.select(spans_of(text).alias("s")).select("s.base", "s.spare"))
+    add = fitted(spans, threshold)
+    kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+
+    def masked(every: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+        def step(a: Column, s: Column) -> Column:
+            piece = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), kinds[s["kind"]])
+            return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], piece).otherwise(a["out"]).alias("out"))
+
+        return F.aggregate(every, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
+    def sorted_spans(s: Column) -> Column:
+        return F.array_sort(F.concat(s["base"], add(s["spare"])))
+
+    clean = F.when(F.col("text").isNotNull(), let(spans_of(text), lambda s: let(sorted_spans(s), masked)))
+    sizes = {c: F.length("text").cast(t) for c, t in df.dtypes if c == "n_chars"}
+    return df.withColumn("text", clean).withColumns(sizes) if sizes else df.withColumn("text", clean)
+
+
 def op5_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(documents(spark, sf_dir))

@@ -93,15 +93,16 @@ def judge(df: DataFrame, host: str = "source", threshold: float = 0.5) -> DataFr
     each; an empty table gives no rows.  ``kept`` is false where the base rules fail or the
     host's shrunk failure rate exceeds ``threshold``.
     """
-    named = df.select("doc_id", "text", F.struct(F.col(host).isNull().alias("none"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("name")).alias("host_key"))
-    judged = materialise(with_failures(measures(named, ["doc_id", "host_key"])))
+    row = F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
+    named = df.select("doc_id", "text", row.alias("row"), F.struct(F.col(host).isNull().alias("none"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("name")).alias("host_key"))
+    judged = materialise(with_failures(measures(named, ["doc_id", "row", "host_key"])))
     verdicts = host_verdicts(judged, "host_key", threshold)
     # A host may hold a third of all rows: its documents are spread over SALTS copies of its verdict.
     spread = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = judged.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    salted = judged.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
     return salted.join(spread, ["host_key", "salt"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.col("host_kept")).alias("kept"), "host_docs", "host_failures", "host_rate")
+        (~F.col("base_failed") & F.col("host_kept")).alias("kept"), "host_docs", "host_failures", "host_rate", "row")
 
 
 def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,12 +11,14 @@ from docframe.llm.sharding import op9_feistel_sharding
 from docframe.llm.substring_dedup import op2_super_kmer_dedup
 from docframe.llm.suffix_dedup import op6_collection_bwt_dedup
 from docframe.llm.tokenising import op1_max_plus_sentencepiece
+from docframe.llm.url_filter import op4_host_trust
 
 QUERIES = {
     "op1_max_plus_sentencepiece": op1_max_plus_sentencepiece,
     "op7_pseudo_likelihood": op7_pseudo_likelihood,
     "op2_super_kmer_dedup": op2_super_kmer_dedup,
     "op3_positional_index": op3_positional_index,
+    "op4_host_trust": op4_host_trust,
     "op5_weak_supervision_pii": op5_weak_supervision_pii,
     "op6_collection_bwt_dedup": op6_collection_bwt_dedup,
     "op8_host_quality": op8_host_quality,
