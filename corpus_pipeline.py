@@ -22,7 +22,7 @@ def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     The keys are sent to all executors while they are few; beyond, both sides are shuffled.
     """
     keyed = docs.withColumn(ROW, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    gone = jaccard.small(materialise(rows.select(F.col("row").alias(ROW)).distinct()))
+    gone = decontamination.small(materialise(rows.select(F.col("row").alias(ROW)).distinct()))
     return keyed.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = materialise(jaccard.linked_components(docs).where(F.col("n_shingles") > 0))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     first = found.groupBy("label").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("label", F.col("first.row").alias("first"))
-    gone = found.join(jaccard.small(materialise(first)), "label").where(F.col("row") != F.col("first"))
+    gone = found.join(decontamination.small(materialise(first)), "label").where(F.col("row") != F.col("first"))
     rest = without(docs, gone)
     again = materialise(found.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row"))
     if not again.take(1):
