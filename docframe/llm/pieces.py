@@ -23,7 +23,7 @@ NEVER = float("-inf")
 class Vocabulary:
     """Pieces of a model; ``model`` is the file's content."""
 
-    def __init__(self, model: bytes, remember: int = 250_000):
+    def __init__(self, model: bytes, remember: int = 120_000):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.ids: dict[str, int] = {}
         self.score: dict[str, float] = {}
@@ -67,6 +67,10 @@ class Vocabulary:
         self.units: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drop what was remembered; it is found again when needed."""
+        self.pairs, self.units, self.older = {}, {}, {}
+
     def merged(self, text: str) -> list[str]:
         """The model's segmentation of a short text: merge the best pair, the leftmost of equals."""
         parts = list(text)

@@ -8,7 +8,10 @@ back on its own.  A text of one chunk needs no boundary.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
+import threading
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +36,37 @@ def vocabulary(model: bytes) -> Vocabulary:
     return Vocabulary(model)
 
 
+class Idle:
+    """Frees a worker's memory once it has had no texts for a while.
+
+    A worker keeps what it remembers from task to task, but must not hold it through other
+    stages of a job.
+    """
+
+    def __init__(self, seconds: float):
+        self.seconds, self.turn = seconds, 0
+
+    def busy(self) -> None:
+        self.turn += 1
+
+    def rest(self, v: Vocabulary) -> None:
+        self.turn += 1
+        timer = threading.Timer(self.seconds, self.free, (v, self.turn))
+        timer.daemon = True
+        timer.start()
+
+    def free(self, v: Vocabulary, turn: int) -> None:
+        if turn != self.turn:
+            return
+        v.forget()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+IDLE = Idle(4.0)
+
+
 def lists(parts: list[bytes]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype="<i4"), pa.int32()))
@@ -55,12 +89,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
 def whole_texts(batches: Iterator[pa.RecordBatch], model: bytes, back: bool) -> Iterator[pa.RecordBatch]:
     """Encode texts of one chunk; with ``back``, decode the numbers in the same pass."""
     v = vocabulary(model)
+    IDLE.busy()
     for batch in slices(batches, "text"):
         done = [v.encode(t) for t in batch.column("text").to_pylist()]
         columns = {"doc_key": batch.column("doc_key"), "ids": lists(done)}
         if back:
             columns["decoded"] = pa.array([v.decode(np.frombuffer(x, "<i4")).decode("utf-8", "replace") for x in done], pa.string())
         yield pa.RecordBatch.from_pydict(columns)
+    IDLE.rest(v)
 
 
 def matrices(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
@@ -96,6 +132,7 @@ def boundaries(table: pa.Table) -> pa.Table:
 
 def traced(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
     v = vocabulary(model)
+    IDLE.busy()
     for batch in batches:
         rows = batch.to_pylist()
         done = []
@@ -103,6 +140,7 @@ def traced(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.Recor
             enter = v.states(r["text"], r["begin"])[r["enter"]] if r["begin"] else (0, 0)
             done.append(v.backtrace(r["text"], r["begin"], r["end"], enter, v.states(r["text"], r["end"])[r["leave"]]))
         yield pa.RecordBatch.from_arrays([batch.column("doc_key"), batch.column("chunk"), lists(done)], names=["doc_key", "chunk", "ids"])
+    IDLE.rest(v)
 
 
 def read_model(path: str) -> bytes:

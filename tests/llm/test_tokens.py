@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
 import sentencepiece
 
 from docframe.llm.pieces import MARK, Vocabulary, times
-from docframe.llm.tokenising import MODEL, encode, read_model, with_tokens
+from docframe.llm.tokenising import MODEL, Idle, encode, read_model, with_tokens
 from tests.llm.conftest import SF, odd_documents
 
 
@@ -66,3 +67,15 @@ def test_real_documents_round_trip(spark):
 
 def test_empty_table(empty):
     assert with_tokens(empty).count() == 0
+
+
+def test_an_idle_worker_forgets(vocabulary):
+    idle = Idle(0.05)
+    before = vocabulary.encode("some words to remember")
+    idle.rest(vocabulary)
+    idle.busy()
+    time.sleep(0.2)
+    assert vocabulary.units
+    idle.rest(vocabulary)
+    time.sleep(0.2)
+    assert not vocabulary.units and vocabulary.encode("some words to remember") == before
