@@ -35,7 +35,8 @@ PIECE_BYTES = 4 << 20
 BLOCK = 2048
 #: Classes with one hash in a piece of the input that are passed on at once, not gathered.
 CROWD = 64
-BROADCAST_ROWS = 500_000
+#: Rows up to which a side of a join is sent to all executors: any table, and bare keys that pick texts.
+BROADCAST_ROWS, BROADCAST_KEYS = 20_000, 500_000
 NEAREST = 3
 #: Rows of lists that one call handles, about.
 LIST_ROWS = 4096
@@ -371,9 +372,9 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- flow --------------------------------------------------------------------------------------
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if its rows, counted here, are few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -399,7 +400,7 @@ def sets_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array([h[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())], names=["c", "hashes"])
 
     wanted = materialise(classes.select("c", "row").distinct())
-    found = texts.select("row", "text").join(small(wanted), "row").select("c", "text").mapInArrow(make, "c long, hashes binary")
+    found = texts.select("row", "text").join(small(wanted, BROADCAST_KEYS), "row").select("c", "text").mapInArrow(make, "c long, hashes binary")
     return materialise(found.dropDuplicates(["c"]))
 
 
