@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from operator import add
 
 import numpy as np
 import sentencepiece
@@ -168,24 +169,29 @@ class Vocabulary:
             each = ([self.ids[p]] if p in self.ids else self.byte_ids[list(p.encode())].tolist() for p in pieces)
             return array("i", [i for x in each for i in x]).tobytes()
 
-    def cut(self, text: str) -> int:
-        """Last place inside a unit between two characters that no piece holds in a row, or 0.
+    def parts(self, text: str) -> list[str]:
+        """A unit cut between every two characters that no piece holds in a row.
 
-        Every path breaks there, so both sides can be looked up by themselves.
+        Every path breaks there, so the parts can be looked up by themselves.
         """
-        for i in range(len(text) - 1, 0, -1):
-            if text[i - 1 : i + 1] not in self.inner:
-                return i
-        return 0
+        inner = self.inner
+        at = [i for i, pair in enumerate(map(add, text, text[1:]), 1) if pair not in inner]
+        return [text[a:b] for a, b in zip([0, *at], [*at, len(text)])] if at else [text]
 
-    def unit(self, text: str) -> bytes:
-        """Numbers of a unit: marks, then other characters; no piece crosses its ends."""
+    def unit(self, text: str, whole: bool = True) -> bytes:
+        """Numbers of a unit: marks, then other characters; no piece crosses its ends.
+
+        Without ``whole``, ``text`` is a part of a unit and has no break.
+        """
         known = self.units.get(text)
         if known is None:
             known = self.older.get(text)
             if known is None:
-                cut = self.cut(text)
-                known = self.unit(text[:cut]) + self.unit(text[cut:]) if cut else self.numbers(self.only_path(text))
+                parts = self.parts(text) if whole else ONE
+                if len(parts) == 1:
+                    known = self.numbers(self.only_path(text))
+                else:
+                    known = b"".join([self.unit(p, False) for p in parts])
             if len(self.units) >= self.remember:  # two generations: what is in use survives
                 self.older, self.units = self.units, {}
             self.units[text] = known

@@ -36,6 +36,21 @@ def test_whole_texts_match_the_library(library, vocabulary, sample_rows):
         assert np.frombuffer(vocabulary.encode(text), "<i4").tolist() == library.encode(text), text[:80]
 
 
+def unspaced_texts():
+    rng = random.Random(9)
+    chinese = "".join(map(chr, range(0x4E00, 0x4E00 + 900)))
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    thai, faces = "".join(map(chr, range(0x0E01, 0x0E2F))), "".join(map(chr, range(0x1F600, 0x1F640)))
+    return ["".join(rng.choice(a) for _ in range(n)) for a in ("0123456789", chinese, base64, thai, faces) for n in (6000, 40_000)]
+
+
+def test_unspaced_runs_match_the_library(spark, library, vocabulary):
+    texts = unspaced_texts()
+    assert all(np.frombuffer(vocabulary.encode(t), "<i4").tolist() == library.encode(t) for t in texts)
+    got = {r["doc_id"]: r["ids"] for r in with_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: library.encode(t) for i, t in enumerate(texts)}
+
+
 def test_max_plus_product_is_associative():
     rng = np.random.default_rng(1)
     a, b, c = (np.where(rng.random((4, 4)) < 0.4, 0.0, -np.inf) for _ in range(3))
