@@ -2,9 +2,9 @@
 
 A small network predicts a masked word from the words on both sides.  Words fall into hashed
 buckets, buckets into classes of about equal mass; the network gives the class, corpus counts
-give the bucket inside it.  Counts cover all documents.  Training masks one word in ``STRIDE``
-of every document; each group of documents trains its own copy for a round, and the copies are
-averaged by weight.  Scoring masks every word in turn and sums the log-probabilities.
+give the bucket inside it.  Counts cover all documents.  Training masks every word of
+every document in each round; each group of documents trains its own copy for a round, and the
+copies are averaged by weight.  Scoring masks every word in turn and sums the log-probabilities.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ CLASSES = 64
 WIDTH = 16
 #: Neighbours looked at, in words from the masked one.
 OFFSETS = (-2, -1, 1, 2)
-STRIDE = 8
 ROUNDS = 2
 BATCH = 512
 RATE = 0.2
@@ -123,6 +122,14 @@ def forward(model, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hidden, z
 
 
+def subtract_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """``np.subtract.at(table, at, rows)``, with the rows of one place summed first."""
+    order = np.argsort(at, kind="stable")
+    ranked = at[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    table[ranked[first]] -= np.add.reduceat(rows[order], first, axis=0)
+
+
 def trained(batches: Iterator[pa.RecordBatch], flat: np.ndarray, tables: Tables) -> Iterator[pa.RecordBatch]:
     """One partition's round of gradient steps from the shared parameters."""
     flat = flat.copy()
@@ -130,8 +137,7 @@ def trained(batches: Iterator[pa.RecordBatch], flat: np.ndarray, tables: Tables)
     seen = 0
     for _, ids, offsets in pieces(batches):
         symbols, target = tables.input_of[ids], tables.class_of[ids]
-        index = np.arange(len(ids)) - np.repeat(offsets[:-1], np.diff(offsets))
-        masked = np.flatnonzero(index % STRIDE == STRIDE // 2)
+        masked = np.random.default_rng(seen).permutation(len(ids))  # so that a batch mixes documents
         for at in range(0, len(masked), BATCH):
             now = masked[at : at + BATCH]
             around = neighbours(symbols, offsets, now)
@@ -143,7 +149,7 @@ def trained(batches: Iterator[pa.RecordBatch], flat: np.ndarray, tables: Tables)
             out -= hidden.T @ grad
             bias -= grad.sum(axis=0)
             for k in range(len(OFFSETS)):
-                np.subtract.at(into[k], around[k], back)
+                subtract_rows(into[k], around[k], back)
             seen += len(now)
     block = 256
     values = np.pad(flat, (0, -len(flat) % block)).reshape(-1, block)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from docframe.llm import lm_scoring as lm
 from tests.llm.conftest import SF
@@ -38,3 +39,14 @@ def test_odd_real_and_empty_inputs(spark, odd, empty):
     assert lm.score(odd).count() == odd.count() and lm.score(empty).count() == 0
     got = lm.score(spark.read.parquet(f"{SF}/documents.parquet")).toPandas()
     assert np.isfinite(got.log_likelihood).all() and (got.log_likelihood <= 0).all()
+
+
+def test_every_word_is_a_training_target():
+    texts = ["a b c", "d e", "", "f", " ".join(f"w{i}" for i in range(700))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(5)), "text": pa.array(texts)})
+    tables = lm.Tables(np.zeros(lm.BUCKETS, dtype=np.int64))
+    out, = lm.trained(iter([batch]), lm.fresh(), tables)
+    assert set(out["weight"].to_pylist()) == {706.0}
+    short, = lm.trained(iter([batch.slice(0, 1)]), lm.fresh(), tables)
+    flat = np.array(short["values"].to_pylist()).ravel()[: len(lm.fresh())]
+    assert short["weight"][0].as_py() == 3.0 and np.abs(flat - lm.fresh()).max() > 0
