@@ -16,7 +16,6 @@ Two operators share this flow and differ in their symbols (words or bytes), thei
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -30,10 +29,13 @@ from docframe.llm.rolling import super_runs
 
 GROUP_BYTES = 4 << 20
 MESSAGE = "key long, g int, payload binary"
+#: ``row`` is ``xxhash64(doc_id, text)``, a null text being empty; equal rows have equal results.
+OUTPUT = "doc_id long, row long, n_symbols long, spans array<struct<start: long, end: long>>, kept binary"
 #: Stands for a null doc_id, after all others.
 LAST = np.iinfo(np.int64).max
 RUN = np.dtype([("mini", "<u8"), ("row", "<i8"), ("doc", "<i8"), ("start", "<i8"), ("g", "<i4"), ("size", "<i4")])
 RANGE = np.dtype([("row", "<i8"), ("start", "<i8"), ("end", "<i8")])
+NO_SPANS = np.zeros((0, 2), dtype=np.int64)
 
 
 @dataclass
@@ -61,9 +63,8 @@ class Rule:
     within: bool
     #: ``(strings, minimisers, docs, starts, rule) -> per string, flags of the windows that start earlier elsewhere``
     kernel: Callable
-    #: ``(text, ranges, starts of symbols ...) -> output columns``
-    digest: Callable[[bytes, np.ndarray], tuple]
-    output: str
+    #: ``(text, ranges) -> number of symbols, removed spans, text that is kept``
+    keep: Callable[[bytes, np.ndarray], tuple[int, np.ndarray, bytes]]
 
 
 def pack(*parts: bytes) -> bytes:
@@ -240,25 +241,37 @@ def compared(table: pa.Table, rule: Rule) -> pa.Table:
     return messages([(0, g, pack(np.array(x, dtype=RANGE).tobytes())) for g, x in out.items()])
 
 
-def removed(table: pa.Table, answers: pa.Table, rule: Rule, schema: pa.Schema) -> pa.Table:
-    """Pass 3, in a group: the texts without the covered ranges, as the rule digests them."""
+def merged(spans: np.ndarray) -> np.ndarray:
+    """Spans as rows of start and end, in order, those that meet or overlap made one."""
+    spans = spans[np.argsort(spans["start"], kind="stable")]
+    end = np.maximum.accumulate(spans["end"])
+    first = np.flatnonzero(np.append(True, spans["start"][1:] > end[:-1]))
+    return np.column_stack([spans["start"][first], end[np.append(first[1:] - 1, len(spans) - 1)]])
+
+
+def between(spans: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """What merged spans leave of ``0 .. n``."""
+    return list(zip([0, *spans[:, 1].tolist()], [*spans[:, 0].tolist(), n]))
+
+
+def removed(table: pa.Table, answers: pa.Table, rule: Rule) -> pa.Table:
+    """Pass 3, in a group: the texts without the covered ranges, and the ranges."""
     texts = table["text"].cast(pa.binary()).to_pylist()
     ranges = [np.frombuffer(unpack(p)[0], RANGE) for p in answers["payload"].to_pylist()]
     spans = np.concatenate(ranges) if ranges else np.zeros(0, dtype=RANGE)
     spans = spans[np.argsort(spans["row"], kind="stable")]
     rows = table["row"].to_numpy()
     a, b = np.searchsorted(spans["row"], rows), np.searchsorted(spans["row"], rows, side="right")
-    done = [rule.digest(t, spans[i:j]) for t, i, j in zip(texts, a.tolist(), b.tolist())]
-    columns = [table["doc_id"], *([x[k] for x in done] for k in range(len(schema) - 1))]
-    return pa.table([c if k == 0 else pa.array(c, schema.field(k).type) for k, c in enumerate(columns)], schema=schema)
-
-
-def sha(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+    done = [rule.keep(t, spans[i:j]) for t, i, j in zip(texts, a.tolist(), b.tolist())]
+    offsets = np.concatenate([[0], np.cumsum([len(x[1]) for x in done])]).astype(np.int32)
+    cut = np.concatenate([NO_SPANS, *(x[1] for x in done)])
+    structs = pa.StructArray.from_arrays([pa.array(cut[:, 0]), pa.array(cut[:, 1])], names=["start", "end"])
+    return pa.table({"doc_id": table["doc_id"], "row": table["row"], "n_symbols": pa.array([x[0] for x in done], pa.int64()),
+                     "spans": pa.ListArray.from_arrays(pa.array(offsets), structs), "kept": pa.array([x[2] for x in done], pa.binary())})
 
 
-def repeats(docs: DataFrame, rule: Rule, arrow: pa.Schema) -> DataFrame:
-    """Run the three passes over ``doc_id`` and ``text`` of ``docs``."""
+def repeats(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Run the three passes over ``doc_id`` and ``text`` of ``docs``; the result is as ``OUTPUT`` says."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
@@ -271,4 +284,4 @@ def repeats(docs: DataFrame, rule: Rule, arrow: pa.Schema) -> DataFrame:
     shared = asked.groupBy("key").applyInArrow(lambda t: answered(t, rule), MESSAGE)
     sent = dealt.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(lambda t, a: shipped(t, a, rule, buckets), MESSAGE)
     found = sent.groupBy("key").applyInArrow(lambda t: compared(t, rule), MESSAGE)
-    return dealt.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(lambda t, a: removed(t, a, rule, arrow), rule.output)
+    return dealt.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(lambda t, a: removed(t, a, rule), OUTPUT)

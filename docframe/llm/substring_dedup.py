@@ -7,11 +7,11 @@ bucket, where the windows are sorted and counted exactly.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docframe.llm.common import documents
-from docframe.llm.repeats import Rule, Symbols, repeats, sha
+from docframe.llm.repeats import NO_SPANS, Rule, Symbols, between, merged, repeats
 from docframe.llm.rolling import gram_hash, prefix_hash, span_hash
 
 WINDOW = 50
@@ -51,20 +51,15 @@ def sorted_windows(strings: list[bytes], minis: np.ndarray, docs: np.ndarray, st
     return flags
 
 
-def digest(text: bytes, spans: np.ndarray) -> tuple[int, int, str]:
+def keep(text: bytes, spans: np.ndarray) -> tuple[int, np.ndarray, bytes]:
     words = text.split()
     if not len(spans):
-        return len(words), 0, sha(b" ".join(words))
-    gone = np.zeros(len(words) + 1, dtype=np.int32)
-    np.add.at(gone, spans["start"], 1)
-    np.add.at(gone, spans["end"], -1)
-    keep = np.cumsum(gone)[:-1] == 0
-    return len(words), int(len(words) - keep.sum()), sha(b" ".join(w for w, k in zip(words, keep.tolist()) if k))
+        return len(words), NO_SPANS, b" ".join(words)
+    cut = merged(spans)
+    return len(words), cut, b" ".join(w for a, b in between(cut, len(words)) for w in words[a:b])
 
 
-RULE = Rule(window=WINDOW, gram=GRAM, symbols=word_symbols, within=False, kernel=sorted_windows, digest=digest,
-            output="doc_id long, n_words long, n_removed long, kept_sha256 string")
-ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
+RULE = Rule(window=WINDOW, gram=GRAM, symbols=word_symbols, within=False, kernel=sorted_windows, keep=keep)
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
@@ -72,9 +67,13 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 
     A null text has no words; a null ``doc_id`` comes after all others; rows with one
     ``doc_id`` never remove from each other; an empty table gives no rows.
+    Gives ``kept_text`` (the other words, one space between them), ``spans`` (removed words, as
+    numbers from ``start`` up to ``end``) and ``row`` (the key in ``repeats.OUTPUT``), besides counts and digest.
     """
-    return repeats(docs, RULE, ARROW)
+    lost = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return repeats(docs, RULE).select("doc_id", "row", F.col("kept").cast("string").alias("kept_text"), "spans",
+                                      F.col("n_symbols").alias("n_words"), lost.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op2_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(documents(spark, sf_dir))
+    return dedup_substrings(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -8,12 +8,12 @@ share 100 bytes are neighbours in the resulting order.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docframe.llm.bwt import window_classes
 from docframe.llm.common import documents
-from docframe.llm.repeats import Rule, Symbols, repeats, sha
+from docframe.llm.repeats import NO_SPANS, Rule, Symbols, between, merged, repeats
 from docframe.llm.rolling import gram_hash
 
 WINDOW = 100
@@ -63,20 +63,14 @@ def flagged(strings: list[bytes], docs: np.ndarray, starts: np.ndarray, window:
     return [flags[a : b - window + 1] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
-def digest(text: bytes, spans: np.ndarray) -> tuple[int, int, int, str]:
+def keep(text: bytes, spans: np.ndarray) -> tuple[int, np.ndarray, bytes]:
     if not len(spans):
-        return len(text), 0, 0, sha(text)
-    gone = np.zeros(len(text) + 1, dtype=np.int32)
-    np.add.at(gone, spans["start"], 1)
-    np.add.at(gone, spans["end"], -1)
-    keep = np.cumsum(gone)[:-1] == 0
-    runs = int((~keep[1:] & keep[:-1]).sum() + (not keep[0]))
-    return len(text), int(len(text) - keep.sum()), runs, sha(np.frombuffer(text, dtype=np.uint8)[keep].tobytes())
+        return len(text), NO_SPANS, text
+    cut = merged(spans)
+    return len(text), cut, b"".join(text[a:b] for a, b in between(cut, len(text)))
 
 
-RULE = Rule(window=WINDOW, gram=GRAM, symbols=byte_symbols, within=True, kernel=transform_windows, digest=digest,
-            output="doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+RULE = Rule(window=WINDOW, gram=GRAM, symbols=byte_symbols, within=True, kernel=transform_windows, keep=keep)
 
 
 def dedup_suffixes(docs: DataFrame) -> DataFrame:
@@ -84,9 +78,13 @@ def dedup_suffixes(docs: DataFrame) -> DataFrame:
 
     A null text is empty; a null ``doc_id`` comes after all others; equal rows get equal
     results; an empty table gives no rows.
+    Gives ``kept_bytes`` (what is left; a cut may part a character), ``spans`` (removed bytes, as
+    places from ``start`` up to ``end``) and ``row`` (the key in ``repeats.OUTPUT``), besides counts and digest.
     """
-    return repeats(docs, RULE, ARROW)
+    lost = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return repeats(docs, RULE).select("doc_id", "row", F.col("kept").alias("kept_bytes"), "spans", F.col("n_symbols").alias("n_bytes"),
+                                      lost.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_collection_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_suffixes(documents(spark, sf_dir))
+    return dedup_suffixes(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

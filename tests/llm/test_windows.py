@@ -46,6 +46,19 @@ def test_null_ids_repeated_rows_and_clashing_columns(spark, operator, plain, col
     assert operator(df).count() == 4
 
 
+def test_texts_and_spans_are_given(odd):
+    texts = {d: t or "" for d, t in ODD}
+    parts = lambda s, spans: [x for i, x in enumerate(s) if not any(p["start"] <= i < p["end"] for p in spans)]
+    by_words, by_bytes = dedup_substrings(odd).collect(), dedup_suffixes(odd).collect()
+    assert any(r["spans"] for r in by_words) and any(r["spans"] for r in by_bytes)
+    for r in by_words:
+        assert r["kept_text"] == " ".join(parts(brute.words(texts[r["doc_id"]]), r["spans"])) and brute.sha(r["kept_text"]) == r["kept_sha256"]
+    for r in by_bytes:
+        assert bytes(r["kept_bytes"]) == bytes(parts(texts[r["doc_id"]].encode(), r["spans"])) and brute.sha(bytes(r["kept_bytes"])) == r["kept_sha256"]
+    keyed = odd.selectExpr("doc_id", "xxhash64(doc_id, coalesce(text, '')) AS row")
+    assert keyed.join(dedup_substrings(odd), ["doc_id", "row"]).count() == keyed.join(dedup_suffixes(odd), ["doc_id", "row"]).count() == len(ODD)
+
+
 def test_minimiser_runs_partition_the_windows():
     rng = np.random.default_rng(3)
     grams = rng.integers(0, 1 << 63, 500).astype(np.uint64)
