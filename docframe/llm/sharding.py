@@ -93,21 +93,28 @@ def number_rows(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
 def shard(df: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
     """Place documents into ``shards`` shards under the law ``rows``.
 
-    Needs ``doc_id`` and ``text``; other columns are ignored.  A null text counts as empty, a
-    null ``doc_id`` is a value like any other, repeated rows each get a place, an empty table
-    gives no rows.
+    ``document`` holds all columns of the row, beside its place and the digest of its text.
+    Needs ``doc_id`` and ``text``, and columns that can be grouped and ordered.  A null text
+    counts as empty, a null ``doc_id`` is a value like any other, repeated rows each get a
+    place, an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    lean = df.select("doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    rows, total = number_rows(lean, ["doc_id", "size", "text_crc32"])
+    whole = df.select("doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.struct(*df.columns).alias("document"))
+    rows, total = number_rows(whole, ["doc_id", "size", "text_crc32", "document"])
     if total == 0:
         place = F.lit(0).cast("long")
     else:
         place = permute(F.col("row_number"), total, seed)
     return rows.withColumn("place", place).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), (F.col("place") % shards).cast("int").alias("shard"),
-        F.call_function("div", F.col("place"), F.lit(shards)).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "row_number")
+        F.call_function("div", F.col("place"), F.lit(shards)).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "row_number", "document")
+
+
+def write_shards(df: DataFrame, path: str, shards: int = 40, seed: int = 0) -> None:
+    """Write the rows of ``df`` (``slot, document``) as Parquet, a folder to a shard, in the order of slots."""
+    placed = shard(df, shards, seed).select("shard", "slot", "document")
+    placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op9_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(documents(spark, sf_dir))
+    return shard(documents(spark, sf_dir)).drop("document")

@@ -9,7 +9,7 @@ import pytest
 
 from docframe.llm import bwt, rolling
 from docframe.llm.quality import judge
-from docframe.llm.sharding import grid, shard
+from docframe.llm.sharding import grid, shard, write_shards
 from docframe.llm.substring_dedup import dedup_substrings
 from docframe.llm.suffix_dedup import dedup_suffixes
 from tests.llm import brute
@@ -96,6 +96,18 @@ def test_shards_are_even_and_slots_gapless(spark):
     assert got[key].sort_values(key).values.tolist() == again[key].sort_values(key).values.tolist()
 
 
+def test_shards_hold_whole_rows(spark, tmp_path):
+    data = [(None, "a", "x"), (None, "a", None), (None, "a", None), (1, "b", "y"), (1, "b", "z"), (2, None, "w")]
+    df = spark.createDataFrame(data, "doc_id long, text string, shard string")
+    write_shards(df, str(tmp_path / "out"), 2)
+    placed = {}
+    for k in (0, 1):
+        got = spark.read.parquet(str(tmp_path / "out" / f"shard={k}")).collect()
+        assert [r["slot"] for r in got] == list(range(3))
+        placed[k] = [tuple(r["document"]) for r in got]
+    assert sorted(placed[0] + placed[1], key=str) == sorted(data, key=str)
+
+
 def test_a_failing_host_loses_its_documents(spark):
     good = [(i, " ".join(f"w{i}x{j}" for j in range(40)), "good") for i in range(50)]
     bad = [(100 + i, "short text", "bad") for i in range(49)] + [(149, " ".join(f"v{j}" for j in range(40)), "bad")]
