@@ -42,3 +42,14 @@ def test_query(spark, duck, name):
         found = duck.execute(catalog.ORACLES[name])
         want = table([c[0] for c in found.description], found.fetchall())
         assert got[0] == want[0] and len(got[1]) == len(want[1]) and got[1] == want[1]
+
+
+@pytest.mark.parametrize("name, source, skip", [("sort_multi_whole", "customer", 0), ("sort_nulls_whole", "lineitem", 0), ("sort_nulls_desc_whole", "lineitem", 10)])
+def test_whole_tables_are_sorted(spark, duck, name, source, skip):
+    df = catalog.QUERIES[name](spark, SF)
+    got, found = df.collect(), duck.execute(catalog.ORACLES[name])
+    columns = [c[0] for c in found.description]
+    assert [tuple(plain(r[c]) for c in columns) for r in got] == [plain(r) for r in found.fetchall()]
+    assert len(got) == duck.execute(f"SELECT count(*) FROM {source}").fetchone()[0] - skip
+    if "flag" in columns:
+        assert {r["flag"] is None for r in got} == {True, False}
