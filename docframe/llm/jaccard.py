@@ -6,45 +6,55 @@ such hash can link.  Inside a list, hashed tokens fall into groups; a class's gr
 a point, points go into an R-tree, and the summed minima of coordinates bound the overlap from
 above for single points and whole nodes alike.  Pairs that survive are verified on their sets.
 
-Links are looked for in rounds, as a pair whose ends are already connected needs no test:
-first each class with many shared hashes meets the others under its two least ones; then the
-nearest classes of other components are tried, and all pairs of short lists; last, all pairs
-that are left in long lists.
-Lists longer than a block are dealt out, and in the last round every pair of blocks meets.
+Lists of much the same members become one.  Links are looked for in rounds, as a pair whose ends
+are already connected needs no test: first each class with many shared hashes meets the others
+under its two least ones; then the nearest classes of other components are tried, and all pairs
+of short lists; last, all pairs that are left in long lists.
+A list longer than a block, in members or in bytes of sets, is split into bands of set size,
+and a band into blocks; only blocks of one band or of neighbouring ones meet, as other sizes
+cannot link.  Pairs that the bound lets through are verified where their list's sets are, so a
+set travels once a list and not once a pair.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm.common import documents, materialise
+from docframe.llm.common import discard, documents, materialise, modest_batches
 from docframe.llm.rolling import gram_hash, mix, prefix_hash, span_hash
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 GROUPS = 64
 FANOUT = 16
-PIECE_BYTES = 4 << 20
-#: Members of a list that are compared in one task.
-BLOCK = 2048
+PIECE_BYTES = 1 << 20
+#: Members of a list that are compared in one task, and shingles of their sets.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+#: Set sizes of a band span at most this ratio, so linked sets are in one band or in neighbours.
+BAND = 1.34
 #: Classes with one hash in a piece of the input that are passed on at once, not gathered.
 CROWD = 64
 #: Rows up to which a side of a join is sent to all executors: any table, and bare keys that pick texts.
 BROADCAST_ROWS, BROADCAST_KEYS = 20_000, 500_000
 NEAREST = 3
-#: Rows of lists that one call handles, about.
-LIST_ROWS = 4096
+#: Rows of lists that one call handles, about; shingles of sets that one call verifies.
+LIST_ROWS, CALL_SHINGLES = 4096, 1 << 21
+#: Pairs that are bounded at once.
+PAIRS = 1 << 18
 #: Hashes of so many classes in a piece of the input are reported as common, and at most
 #: ``COMMON`` of all reported ones come last in every prefix.  Any order that all share is
 #: exact; this one keeps what many unrelated documents share out of the lists.
 OFTEN = 4
 COMMON = 1 << 16
+#: Bound on the classes whose names are sent to all executors at the end.
+HOT_CLASSES = 10_000
 
 
 # -- shingles ---------------------------------------------------------------------------------
@@ -89,20 +99,46 @@ def points(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.bincount(owner * GROUPS + (hashes % np.uint64(GROUPS)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS).astype(np.int32)
 
 
-def fine_point(hashes: np.ndarray) -> bytes:
-    """Group counts of one set in more groups the larger it is, a power of two of them.
+def point_of(hashes: np.ndarray) -> bytes:
+    """Group counts of one set, in more groups the larger it is, a power of two of them.
 
     Group numbers are remainders, so halving the groups adds the two halves up.  With about
-    four tokens to a group, unrelated sets of any size fall short of the bound.
+    two tokens to a group, sets that share under three quarters of their tokens mostly fall short of
+    the bound.  The first byte tells the bytes of a count.
     """
     groups = GROUPS
-    while groups * 4 < len(hashes) and groups < 8192:
+    while groups * 2 < len(hashes) and groups < 8192:
         groups *= 2
-    return np.bincount((hashes % np.uint64(groups)).astype(np.int64), minlength=groups).astype("<u2").tobytes()
-
-
-def folded(point: np.ndarray, groups: int) -> np.ndarray:
-    return point.reshape(-1, groups).sum(axis=0)
+    counts = np.bincount((hashes % np.uint64(groups)).astype(np.int64), minlength=groups)
+    width = 1 if counts.max() < 256 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+class Points:
+    """Group counts of many sets, each in as many groups as suits its size."""
+
+    def __init__(self, raw: list[bytes]):
+        self.groups = np.array([(len(x) - 1) // x[0] for x in raw], dtype=np.int64)
+        self.values = [np.frombuffer(x, f"<u{x[0]}", offset=1) for x in raw]
+
+    def folded(self, rows: np.ndarray, groups: int) -> np.ndarray:
+        out = np.empty((len(rows), groups), dtype=np.int32)
+        for k, i in enumerate(rows.tolist()):
+            out[k] = self.values[i].reshape(-1, groups).sum(axis=0)
+        return out
+
+    def bounds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Most tokens that the sets at ``a`` and ``b`` can share, in the finest groups that both have."""
+        out = np.zeros(len(a), dtype=np.int64)
+        common = np.minimum(self.groups[a], self.groups[b])
+        for groups in np.unique(common).tolist():
+            mine = np.flatnonzero(common == groups)
+            rows, where = np.unique(np.concatenate([a[mine], b[mine]]), return_inverse=True)
+            table, x, y = self.folded(rows, groups), where[: len(mine)], where[len(mine) :]
+            step = max(1, (1 << 20) // groups)
+            for k in range(0, len(mine), step):
+                out[mine[k : k + step]] = np.minimum(table[x[k : k + step]], table[y[k : k + step]]).sum(axis=1)
+        return out
 
 
 def needed(size: np.ndarray) -> np.ndarray:
@@ -124,18 +160,17 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Facts of every document; rows with ``n`` of -1 report common hashes, in ``c``, with counts in ``row``."""
-    kinds = {"doc_id": pa.int64(), "row": pa.int64(), "n": pa.int64(), "c": pa.int64(), "coarse": pa.binary(), "fine": pa.binary()}
+    kinds = {"doc_id": pa.int64(), "row": pa.int64(), "n": pa.int64(), "c": pa.int64(), "point": pa.binary()}
     for batch, texts in pieces(batches):
         h, offsets = shingle_sets(texts)
         c = class_keys(h, offsets)
-        coarse = [p.tobytes() for p in points(h, offsets).astype("<u4")]
-        fine = [fine_point(h[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+        point = [point_of(h[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
         first = np.unique(c, return_index=True)[1]
         once = np.concatenate([h[offsets[i] : offsets[i + 1]] for i in first]) if len(first) else h
         often, count = np.unique(once, return_counts=True)
         often, count = often[count >= OFTEN].view(np.int64), count[count >= OFTEN]
         columns = {"doc_id": batch.column("doc_id").to_pylist() + [None] * len(often), "row": batch.column("row").to_pylist() + count.tolist(), "n": np.append(np.diff(offsets), np.full(len(often), -1)),
-                   "c": np.append(c, often), "coarse": coarse + [None] * len(often), "fine": fine + [None] * len(often)}
+                   "c": np.append(c, often), "point": point + [None] * len(often)}
         yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in columns.items()], names=list(columns))
 
 
@@ -300,73 +335,80 @@ def forest(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([find(parent, i) for i in range(len(sets))])
 
 
-def short_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of classes in two components, of sizes that may link, in many short lists at once."""
-    h, c, label, n = (table[k].to_numpy() for k in ("h", "c", "label", "n"))
-    order = np.lexsort((c, h))
-    h, c, label, n = (x[order] for x in (h, c, label, n))
-    by_size: dict[int, list[int]] = {}
-    for low, high in parts_of(h):
-        by_size.setdefault(high - low, []).append(low)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for m, lows in by_size.items():
-        x, y = np.triu_indices(m, 1)
-        at = np.array(lows)[:, None]
-        left.append((at + x).ravel())
-        right.append((at + y).ravel())
-    a, b = np.concatenate(left), np.concatenate(right)
-    ok = (label[a] != label[b]) & (DENOMINATOR * np.minimum(n[a], n[b]) >= NUMERATOR * np.maximum(n[a], n[b]))
-    return unique_pairs(c[a[ok]], c[b[ok]])
-
-
-def unique_pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    return pa.table([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=EDGE)
-
-
-def tree_pairs(table: pa.Table, nearest: int | None) -> pa.Table:
-    """The same in long lists, through an R-tree a block; each class's nearest ones, or all."""
-    h, i, j, side, c, label, size = (table[k].to_numpy() for k in ("h", "i", "j", "side", "c", "label", "n"))
-    order = np.lexsort((c, side, j, i, h))
-    h, i, j, side, c, label, size = (x[order] for x in (h, i, j, side, c, label, size))
-    raw = table["coarse"].to_pylist()
-    point = np.stack([np.frombuffer(raw[k], "<u4") for k in order.tolist()]).astype(np.int32) if raw else np.zeros((0, GROUPS), np.int32)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for low, high in parts_of(h, i, j):
-        two = i[low] != j[low]
-        split = low + int(np.searchsorted(side[low:high], 1)) if two else low
-        if split == high:
-            continue
-        tree = Tree(point[split:high], size[split:high])
-        for k in range(low, split if two else high):
-            near, bound = tree.near(point[k], int(size[k]))
-            near = near + split
-            ok = label[near] != label[k]
-            near, bound = near[ok], bound[ok]
-            if nearest is not None:
-                near = near[np.argsort(-bound, kind="stable")[:nearest]]
-            a.append(np.full(len(near), c[k]))
-            b.append(c[near])
-    return unique_pairs(np.concatenate(a), np.concatenate(b))
-
-
-def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose counts in the finest common groups still allow a link."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-            p, q = np.frombuffer(x, "<u2").astype(np.int32), np.frombuffer(y, "<u2").astype(np.int32)
-            groups = min(len(p), len(q))
-            bound = int(np.minimum(folded(p, groups), folded(q, groups)).sum())
-            keep.append((NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * int(p.sum() + q.sum()))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
+def near_pairs(table: pa.Table, nearest: int | None) -> pa.Table:
+    """Pairs of classes in two components that meet in a cell and that the bound lets through.
 
-def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
-        ok = pa.array([linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(left, right)], pa.bool_())
-        yield batch.select(["a", "b"]).filter(ok)
+    Short lists give all pairs; in others an R-tree finds them, each class's ``nearest`` or all.
+    """
+    cell, side, c, label, size = (table[k].to_numpy() for k in ("cell", "side", "c", "label", "n"))
+    order = np.lexsort((c, side, cell))
+    cell, side, c, label, size = (x[order] for x in (cell, side, c, label, size))
+    raw = table["point"].to_pylist()
+    points = Points([raw[k] for k in order.tolist()])
+    found, waiting, held = [], [], 0
+
+    def bounded() -> None:
+        a, b = (np.concatenate([w[k] for w in waiting]) for k in (0, 1))
+        waiting.clear()
+        ok = (label[a] != label[b]) & (DENOMINATOR * np.minimum(size[a], size[b]) >= NUMERATOR * np.maximum(size[a], size[b]))
+        a, b = a[ok], b[ok]
+        ok = (NUMERATOR + DENOMINATOR) * points.bounds(a, b) >= NUMERATOR * (size[a] + size[b])
+        a, b = a[ok], b[ok]
+        found.append(np.stack([np.minimum(c[a], c[b]), np.maximum(c[a], c[b]), cell[a]], axis=1))
+
+    for low, high in parts_of(cell):
+        split = low + int(np.searchsorted(side[low:high], 1))
+        two = split < high
+        if not two and high - low <= 2 * FANOUT:
+            x, y = np.triu_indices(high - low, 1)
+            waiting.append((low + x, low + y))
+            held += len(x)
+        else:
+            start = split if two else low
+            coarse = points.folded(np.arange(low, high), GROUPS)
+            tree = Tree(coarse[start - low :], size[start:high])
+            for k in range(low, split if two else high):
+                near, bound = tree.near(coarse[k - low], int(size[k]))
+                near = near + start
+                ok = label[near] != label[k]
+                near, bound = near[ok], bound[ok]
+                if nearest is not None:
+                    near = near[np.argsort(-bound, kind="stable")[:nearest]]
+                if len(near):
+                    waiting.append((np.full(len(near), k), near))
+                    held += len(near)
+                if held >= PAIRS:
+                    bounded()
+                    held = 0
+        if held >= PAIRS:
+            bounded()
+            held = 0
+    if waiting:
+        bounded()
+    both = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    both = both[np.unique(both[:, :2], axis=0, return_index=True)[1]] if len(both) else both
+    return pa.table([pa.array(both[:, k]) for k in range(3)], names=["a", "b", "cell"])
+
+
+def settled(members: pa.Table, pairs: pa.Table) -> pa.Table:
+    """The pairs that link, verified on the sets; one whose ends others connect is left out."""
+    sets = dict(zip(members["c"].to_pylist(), members["hashes"].to_pylist()))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    out = []
+    for x, y in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
+        p, q = root(x), root(y)
+        if p != q and linked(np.frombuffer(sets[x], "<u8"), np.frombuffer(sets[y], "<u8")):
+            parent[max(p, q)] = min(p, q)
+            out.append((x, y))
+    a, b = zip(*out) if out else ((), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=EDGE)
 
 
 # -- flow --------------------------------------------------------------------------------------
@@ -386,9 +428,12 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(seen, labels["c"] == seen["a"], "left").select("c", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         jump = labels.select(F.col("c").alias("label"), F.col("label").alias("next"))
         moved = materialise(lower.join(jump, "label", "left").select("c", F.least("label", "next").alias("label"), "was"))
+        discard(labels)
+        if not moved.where("label != was").take(1):
+            discard(both)
+            return moved.select("c", "label")
         labels = moved.select("c", "label")
-        if moved.where("label != was").limit(1).count() == 0:
-            return labels
+        labels.scratch_path = moved.scratch_path
 
 
 def sets_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
@@ -404,68 +449,95 @@ def sets_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
     return materialise(found.dropDuplicates(["c"]))
 
 
-def of_pairs(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
-    """``a, b, left, right``: the pairs with the values of both ends."""
-    side = lambda end, name: values.select(F.col("c").alias(end), F.col(column).alias(name))
-    return pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right")
+def cells_of(members: DataFrame) -> DataFrame:
+    """``cell, side, c, n, label``: where each member of a list meets others.
 
+    ``members`` has ``h, c, n, label`` and, of the list, ``size`` and ``volume`` (shingles).  Lists
+    of one block are one cell; in others every two blocks of a band, or of a band and the next, are one.
+    """
+    wide = (F.col("size") > BLOCK) | (F.col("volume") > BLOCK_SHINGLES)
+    narrow = members.where(~wide).select(F.xxhash64("h").alias("cell"), F.lit(0).alias("side"), "c", "n", "label")
+    banded = members.where(wide).withColumn("band", F.floor(F.log("n") / math.log(BAND)).cast("int"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    bands = banded.groupBy("h", "band").agg(blocks.alias("blocks")).groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))
+    dealt = banded.join(small(materialise(bands)), "h").withColumn("own", F.pmod(F.xxhash64("c"), F.try_element_at("blocks", F.col("band"))).cast("int"))
 
-def closer(lists: DataFrame, kinds: DataFrame, texts: DataFrame, edges: DataFrame, nearest: int | None, short: bool) -> DataFrame:
-    """``edges`` and the links found between components that meet in a list.
+    def met(step: int, entry) -> Column:
+        others = F.coalesce(F.try_element_at("blocks", F.col("band") + step), F.lit(0))
+        numbers = F.when(others > 0, F.sequence(F.lit(0), others - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, entry)
 
-    ``short`` says whether short lists are compared, which needs doing only once.
-    """
+    def cell(low, one, high, other, side):
+        return F.struct(F.xxhash64("h", low, one, high, other).alias("cell"), side.cast("int").alias("side"))
+
+    band, own = F.col("band"), F.col("own")
+    every = F.concat(met(0, lambda j: cell(band, F.least(own, j), band, F.greatest(own, j), own > j)),
+                     met(1, lambda j: cell(band, own, band + 1, j, F.lit(0))), met(-1, lambda j: cell(band - 1, j, band, own, F.lit(1))))
+    return narrow.union(dealt.select(F.explode(every).alias("at"), "c", "n", "label").select("at.cell", "at.side", "c", "n", "label"))
+
+
+def closer(lists: DataFrame, kinds: DataFrame, texts: DataFrame, edges: DataFrame, nearest: int | None, least: int) -> DataFrame:
+    """``edges`` and the links found between components that meet in a list of over ``least`` members."""
     labels = components(edges)
-    named = materialise(lists.join(small(labels), "c", "left").select("h", "c", "n", F.coalesce("label", "c").alias("label")))
-    open_lists = named.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h", "size")
+    named = materialise(lists.where(F.col("size") > least).join(small(labels), "c", "left").select("h", "c", "n", "size", F.coalesce("label", "c").alias("label")))
+    open_lists = named.groupBy("h").agg(F.sum("n").alias("volume"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h", "volume")
     members = materialise(named.join(small(materialise(open_lists)), "h"))
-    limit = 2 * FANOUT
-    long = members.where(F.col("size") > limit).join(kinds.select("c", "coarse"), "c")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    long = long.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), blocks).cast("int"))
-    every = long.select("h", "c", "n", "label", "coarse", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = every.select("h", "c", "n", "label", "coarse", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    tasks = max(1, members.count() // LIST_ROWS)  # many short lists, or blocks of long ones, to a call
-    pairs = met.groupBy(F.pmod(F.xxhash64("h", "i", "j"), F.lit(tasks)).alias("task")).applyInArrow(lambda t: tree_pairs(t, nearest), "a long, b long")
-    if short:
-        few = members.where(F.col("size") <= limit).groupBy(F.pmod(F.xxhash64("h"), F.lit(tasks)).alias("task"))
-        pairs = pairs.union(few.applyInArrow(short_pairs, "a long, b long"))
-    pairs = of_pairs(pairs.distinct(), kinds, "fine").mapInArrow(bounded, "a long, b long")
-    pairs = materialise(pairs)
-    ends = materialise(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct())
-    sets = sets_of(texts, kinds.select("c", "row").join(small(ends), "c", "left_semi"))
-    return materialise(edges.union(of_pairs(pairs, sets, "hashes").mapInArrow(verified, "a long, b long")))
+    met = cells_of(members).join(kinds.select("c", "point"), "c")
+    tasks = max(1, members.count() // LIST_ROWS)
+    pairs = met.groupBy(F.pmod(F.xxhash64("cell"), F.lit(tasks)).alias("task")).applyInArrow(lambda t: near_pairs(t, nearest), "a long, b long, cell long")
+    pairs = materialise(pairs.groupBy("a", "b").agg(F.min("cell").alias("cell")))
+    discard(named, members)
+    ends = materialise(pairs.select("cell", F.col("a").alias("c")).union(pairs.select("cell", "b")).distinct().join(kinds.select("c", "n", "row"), "c"))
+    calls = max(1, (ends.agg(F.sum("n")).first()[0] or 0) // CALL_SHINGLES)
+    sets = sets_of(texts, ends)
+    task = F.pmod(F.xxhash64("cell"), F.lit(calls)).alias("task")
+    there = ends.join(sets, "c").select(task, "c", "hashes").groupBy("task")
+    out = materialise(edges.union(there.cogroup(pairs.select(task, "a", "b").groupBy("task")).applyInArrow(settled, "a long, b long")))
+    discard(pairs, ends, sets, edges)
+    return out
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per document ``doc_id, row, n, c``, and links between classes that connect what links."""
-    spark = docs.sparkSession
+    modest_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     texts = docs.select("doc_id", F.xxhash64("doc_id", text).alias("row"), text.alias("text"))
-    found = materialise(texts.mapInArrow(summaries, "doc_id long, row long, n long, c long, coarse binary, fine binary"))
+    found = materialise(texts.mapInArrow(summaries, "doc_id long, row long, n long, c long, point binary"))
     facts = found.where("n >= 0")
     top = found.where("n < 0").groupBy("c").agg(F.sum("row").alias("count")).orderBy(F.desc("count"), "c").limit(COMMON).select("c").toArrow()
     common = np.sort(top["c"].to_numpy().view(np.uint64))  # at most COMMON hashes
-    kinds = materialise(facts.where("n > 0").groupBy("c").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("coarse").alias("coarse"), F.first("fine").alias("fine")))
+    kinds = materialise(facts.where("n > 0").groupBy("c").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("point").alias("point")))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     buckets = max(8, size // (8 << 20))
     sent = texts.select("text").mapInArrow(lambda b: postings(b, buckets, common), "key long, payload binary")
-    lists = sent.groupBy("key").applyInArrow(shared, "h long, c long").distinct()
-    lists = materialise(lists.join(small(kinds.select("c", "n")), "c"))
+    every = sent.groupBy("key").applyInArrow(shared, "h long, c long").distinct()
+    every = materialise(every.join(small(kinds.select("c", "n")), "c"))
+    # Lists of much the same members (two least hashes of them, and the size's order) become one list
+    # of all their members, so that a pair is looked at once and not under each hash it shares.
+    alike = every.groupBy("h").agg(F.floor(F.log2(F.count(F.lit(1)))).alias("order"), F.min(F.xxhash64("c")).alias("x"), F.min(F.xxhash64("c", F.lit(1))).alias("y"))
+    owner = alike.groupBy("order", "x", "y").agg(F.min("h").alias("own"), F.collect_list("h").alias("h")).select("own", F.explode("h").alias("h"))
+    lists = materialise(every.join(owner, "h").select(F.col("own").alias("h"), "c", "n").distinct())
+    sizes = materialise(lists.groupBy("h").agg(F.count(F.lit(1)).alias("size")))
+    lists = materialise(lists.join(small(sizes), "h"))
     # First round: classes that share a fifth of their prefix meet under their two least hashes.
     prefix = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1
-    own = lists.groupBy("c", "n").agg(F.count(F.lit(1)).alias("shared"), F.slice(F.sort_array(F.collect_list("h")), 1, 2).alias("least"))
-    close = own.where(5 * F.col("shared") >= prefix).join(kinds.select("c", "row"), "c").select("c", "row", F.explode("least").alias("h"))
+    own = every.groupBy("c", "n").agg(F.count(F.lit(1)).alias("shared"), F.slice(F.sort_array(F.collect_list("h")), 1, 2).alias("least"))
+    close = own.where(5 * F.col("shared") >= prefix).join(kinds.select("c", "row"), "c").select("c", "n", "row", F.explode("least").alias("h"))
     close = materialise(close)
-    sizes = close.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("c").alias("pivot")).where("blocks > 0")
+    discard(every)
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = close.groupBy("h").agg(blocks.alias("blocks"), F.min("c").alias("pivot"))
     dealt = close.join(small(materialise(sizes)), "h").select("h", "c", F.explode(F.when(F.col("c") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")))).alias("block"))
     sets = sets_of(texts, close)
-    tasks = max(1, close.count() // LIST_ROWS)
+    tasks = max(1, (close.agg(F.sum("n")).first()[0] or 0) // CALL_SHINGLES)
     met = dealt.join(sets, "c").groupBy(F.pmod(F.xxhash64("h", "block"), F.lit(tasks)).alias("task"))
     edges = materialise(met.applyInArrow(clustered, "a long, b long").distinct())
-    edges = closer(lists, kinds, texts, edges, NEAREST, True)
-    return facts, closer(lists, kinds, texts, edges, None, False)
+    discard(close, sets)
+    edges = closer(lists, kinds, texts, edges, NEAREST, 1)
+    edges = closer(lists, kinds, texts, edges, None, 2 * FANOUT)
+    discard(lists)
+    return facts, edges
 
 
 def linked_components(docs: DataFrame) -> DataFrame:
@@ -479,16 +551,16 @@ def linked_components(docs: DataFrame) -> DataFrame:
     """
     facts, edges = links(docs)
     labels = components(edges)
-    least = facts.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
-    named = least.join(small(labels), "c", "left").select("c", "least", F.coalesce("label", "c").alias("label"))
+    least = facts.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("docs"))
+    named = least.join(small(labels), "c", "left").select("c", "least", "docs", F.coalesce("label", "c").alias("label"))
     named = materialise(named)
     whole = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_class = materialise(named.join(whole, "label").select("c", "component_id", "label"))
-    # A class may hold a third of all rows, so its name is spread out.
-    salts = 16
-    spread = of_class.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = facts.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
-    return salted.join(spread, ["c", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row", "label")
+    of_class = materialise(named.join(whole, "label").select("c", "docs", "component_id", "label"))
+    # A class may hold a third of all rows: the largest, at most HOT_CLASSES, are joined without a shuffle.
+    hot = of_class.where(F.col("docs") > max(1, facts.count() // HOT_CLASSES)).drop("docs")
+    rest = facts.join(F.broadcast(hot.select("c")), "c", "left_anti").join(of_class.drop("docs"), "c", "left")
+    both = rest.unionByName(facts.join(F.broadcast(hot), "c"))
+    return both.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row", "label")
 
 
 def op10_count_vector_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
