@@ -18,13 +18,17 @@ import numpy as np
 import sentencepiece
 
 MARK = "▁"
+#: Numbers of characters without a piece begin here; all numbers are below 2 ** WIDTH.
+NO_PIECE, WIDTH = 1 << 21, 22
+#: Bytes of remembered words in a generation, by estimate.
+MEMORY = 48 << 20
 NEVER = float("-inf")
 
 
 class Vocabulary:
     """Pieces of a model; ``model`` is the file's content."""
 
-    def __init__(self, model: bytes, remember: int = 120_000):
+    def __init__(self, model: bytes, remember: int = 60_000, memory: int = MEMORY, many: int = 500_000):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.ids: dict[str, int] = {}
         self.score: dict[str, float] = {}
@@ -63,15 +67,14 @@ class Vocabulary:
                 known = long.get(begin, set()) if k == 4 else set()
                 table[begin] = tuple(sorted(known | {n for n in range(2, min(k, 3) + 1) if begin[:n] in self.ids} | {1}, reverse=True))
         self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.remember = remember
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.remember, self.many = remember, many
+        self.pairs: dict[int, bool] = {}
         self.units: dict[str, bytes] = {}
+        #: Words between single spaces, in two generations of at most ``memory`` bytes each, about.
+        self.memory, self.held = memory, 0
+        self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def forget(self) -> None:
-        """Drop what was remembered; it is found again when needed."""
-        self.pairs, self.units, self.older = {}, {}, {}
-
     def merged(self, text: str) -> list[str]:
         """The model's segmentation of a short text: merge the best pair, the leftmost of equals."""
         parts = list(text)
@@ -86,12 +89,17 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def number(self, piece: str) -> int:
+        """A number that tells pieces apart, also characters that are none."""
+        known = self.ids.get(piece)
+        return known if known is not None else NO_PIECE + ord(piece)
+
     def weight(self, left: str, right: str) -> bool:
         """Whether the edge between two neighbouring pieces has weight 0."""
-        key = (left, right)
+        key = self.number(left) << WIDTH | self.number(right)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > self.remember:
+            if len(self.pairs) >= self.many:
                 self.pairs.clear()
             known = self.pairs[key] = self.merged(left + right) == [left, right]
         return known
@@ -121,9 +129,9 @@ class Vocabulary:
         Every prefix has one path of weight 0, so an end that was entered once and led nowhere
         is never entered again.
         """
-        ids, pairs, size = self.ids, self.pairs, len(text)
+        numbers, pairs, size = self.ids.get, self.pairs, len(text)
         four, three, two = self.lengths
-        at, left = 0, ""
+        at, left, above = 0, "", -1
         steps = iter(four.get(text[:4]) or three.get(text[:3]) or two.get(text[:2]) or ONE)
         taken, out, entered = [], [], set()
         while at < size:
@@ -132,23 +140,26 @@ class Vocabulary:
                 if end > size or end in entered:
                     continue
                 right = text[at:end]
-                if length > 4 and right not in ids:
-                    continue
-                if left:
-                    known = pairs.get((left, right))
+                number = numbers(right)
+                if number is None:
+                    if length > 1:
+                        continue
+                    number = NO_PIECE + ord(right)
+                if above >= 0:
+                    known = pairs.get(above | number)
                     if known is None:
                         known = self.weight(left, right)
                     if not known:
                         continue
                 break
             else:
-                at, left, steps = taken.pop()
+                at, left, above, steps = taken.pop()
                 out.pop()
                 continue
-            taken.append((at, left, steps))
+            taken.append((at, left, above, steps))
             out.append(right)
             entered.add(end)
-            at, left = end, right
+            at, left, above = end, right, number << WIDTH
             steps = iter(four.get(text[at : at + 4]) or three.get(text[at : at + 3]) or two.get(text[at : at + 2]) or ONE)
         return out
 
@@ -178,39 +189,60 @@ class Vocabulary:
         at = [i for i, pair in enumerate(map(add, text, text[1:]), 1) if pair not in inner]
         return [text[a:b] for a, b in zip([0, *at], [*at, len(text)])] if at else [text]
 
-    def unit(self, text: str, whole: bool = True) -> bytes:
-        """Numbers of a unit: marks, then other characters; no piece crosses its ends.
-
-        Without ``whole``, ``text`` is a part of a unit and has no break.
-        """
-        known = self.units.get(text)
-        if known is None:
-            known = self.older.get(text)
-            if known is None:
-                parts = self.parts(text) if whole else ONE
-                if len(parts) == 1:
-                    known = self.numbers(self.only_path(text))
-                else:
-                    known = b"".join([self.unit(p, False) for p in parts])
-            if len(self.units) >= self.remember:  # two generations: what is in use survives
-                self.older, self.units = self.units, {}
-            self.units[text] = known
+    def solve(self, text: str) -> bytes:
+        """Numbers of a unit: marks, then other characters; no piece crosses its ends."""
+        parts = self.parts(text)
+        if len(parts) == 1:
+            return self.numbers(self.only_path(text))
+        return b"".join([self.units.get(p) or self.part(p) for p in parts])
+
+    def part(self, text: str) -> bytes:
+        """Numbers of a part of a unit, which has no break, remembered."""
+        if len(self.units) >= self.remember:
+            self.units.clear()
+        known = self.units[text] = self.numbers(self.only_path(text))
         return known
 
     def units_of(self, text: str) -> list[bytes]:
         """Numbers of the units of a text whose spaces are marks."""
-        out, unit = [], self.unit
+        out = []
         for line in self.alone.split(text):
             if line in self.lone:
                 out.append(self.lone[line])
             elif line:
-                known = self.units.get  # bound anew: the generations may have changed
-                out += [known(u) or unit(u) for u in UNIT.findall(line)]
+                out += [self.word(u[1:]) if u[:1] == MARK and u[1:2] != MARK else self.solve(u) for u in UNIT.findall(line)]
         return out
 
+    def word(self, word: str) -> bytes:
+        """Numbers of what stands between two spaces, without the mark; a leading line end has no mark."""
+        known = self.words.get(word)
+        if known is None:
+            known = self.older.get(word)
+            if known is None:
+                known = self.solve(MARK + word) if word[:1] != "\n" or "\n" not in self.lone else self.lone["\n"] + (self.solve(word[1:]) if word[1:] else b"")
+            self.held += 200 + 2 * len(word) + len(known)
+            if self.held > self.memory:  # what is in use survives the change of generations
+                self.older, self.words, self.held = self.words, {}, 0
+            self.words[word] = known
+        return known
+
     def encode(self, text: str) -> bytes:
         """Numbers of a whole text that is one chunk."""
-        return b"".join(self.units_of(MARK + text.replace(" ", MARK))) if text else b""
+        return b"".join(self.marked(MARK + text)) if text else b""
+
+    def marked(self, text: str) -> list[bytes]:
+        """Numbers by unit of a text that begins with a mark; its spaces may be marks or not.
+
+        Where single spaces part all words, the words are looked up as they are.
+        """
+        body = text[1:].replace(MARK, " ")
+        if "  " in body or " \n" in body or body[:1] == " " or "\n" not in self.lone:
+            return self.units_of(text.replace(" ", MARK))
+        words = body.replace("\n", " \n").split(" ")
+        found = list(map(self.words.get, words))
+        if None in found:
+            found = [known if known is not None else self.word(w) for known, w in zip(found, words)]
+        return found
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a sequence of numbers, without the mark that encoding puts in front."""
@@ -264,7 +296,7 @@ class Vocabulary:
             return self.numbers(self.back(self.paths(text, b, text[a:b], end), leave[1], b))
         head = self.numbers(self.back(self.paths(text, b, text[a:b], first), first, b))
         tail = self.numbers(self.back(self.paths(text, last, "", end), leave[1], last))
-        return head + b"".join(self.units_of(text[first:last])) + tail
+        return head + b"".join(self.marked(text[first:last]) if last > first else []) + tail
 
 
 ONE = (1,)

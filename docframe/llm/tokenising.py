@@ -2,16 +2,13 @@
 
 A giant text is split into chunks.  Each chunk yields a matrix from the states at its first
 boundary to those at its last (see ``pieces``); the matrices of a text are combined with an
-associative product, which fixes the state at every boundary, and each chunk is then traced
-back on its own.  A text of one chunk needs no boundary.
+associative product in a tree, whose way down fixes the state at every boundary, and each chunk
+is then traced back on its own.  A text of one chunk needs no boundary.
 """
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import functools
-import threading
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm.common import documents
+from docframe.llm.common import documents, materialise, modest_batches
 from docframe.llm.pieces import MARK, NEVER, Vocabulary, times
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -28,7 +25,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768
 #: Characters of context on either side of a chunk; no piece is longer.
 MARGIN = 64
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+#: Nodes that one product combines.
+FAN = 64
 
 
 @functools.lru_cache(maxsize=1)
@@ -36,37 +35,6 @@ def vocabulary(model: bytes) -> Vocabulary:
     return Vocabulary(model)
 
 
-class Idle:
-    """Frees a worker's memory once it has had no texts for a while.
-
-    A worker keeps what it remembers from task to task, but must not hold it through other
-    stages of a job.
-    """
-
-    def __init__(self, seconds: float):
-        self.seconds, self.turn = seconds, 0
-
-    def busy(self) -> None:
-        self.turn += 1
-
-    def rest(self, v: Vocabulary) -> None:
-        self.turn += 1
-        timer = threading.Timer(self.seconds, self.free, (v, self.turn))
-        timer.daemon = True
-        timer.start()
-
-    def free(self, v: Vocabulary, turn: int) -> None:
-        if turn != self.turn:
-            return
-        v.forget()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only where the C library can
-            ctypes.CDLL(None).malloc_trim(0)
-
-
-IDLE = Idle(4.0)
-
-
 def lists(parts: list[bytes]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype="<i4"), pa.int32()))
@@ -89,14 +57,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
 def whole_texts(batches: Iterator[pa.RecordBatch], model: bytes, back: bool) -> Iterator[pa.RecordBatch]:
     """Encode texts of one chunk; with ``back``, decode the numbers in the same pass."""
     v = vocabulary(model)
-    IDLE.busy()
     for batch in slices(batches, "text"):
         done = [v.encode(t) for t in batch.column("text").to_pylist()]
         columns = {"doc_key": batch.column("doc_key"), "ids": lists(done)}
         if back:
             columns["decoded"] = pa.array([v.decode(np.frombuffer(x, "<i4")).decode("utf-8", "replace") for x in done], pa.string())
         yield pa.RecordBatch.from_pydict(columns)
-    IDLE.rest(v)
 
 
 def matrices(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
@@ -107,32 +73,61 @@ def matrices(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.Rec
         for r in batch.to_pylist():
             m = v.transfer(r["text"], r["begin"], r["end"])
             out.append({"doc_key": r["doc_key"], "chunk": r["chunk"], "rows": m.shape[0], "matrix": (m == 0.0).astype(np.uint8).tobytes()})
-        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_key", pa.binary()), ("chunk", pa.int32()), ("rows", pa.int32()), ("matrix", pa.binary())]))
+        yield pa.RecordBatch.from_pylist(out, schema=NODE)
+
+
+NODE = pa.schema([("doc_key", pa.binary()), ("chunk", pa.int32()), ("rows", pa.int32()), ("matrix", pa.binary())])
+ENDS = pa.schema([("doc_key", pa.binary()), ("chunk", pa.int32()), ("enter", pa.int32()), ("leave", pa.int32())])
 
 
-def boundaries(table: pa.Table) -> pa.Table:
-    """For a giant text, the state at every boundary: an up and a down sweep of products.
+def weights(row: dict) -> np.ndarray:
+    return np.where(np.frombuffer(row["matrix"], np.uint8).reshape(row["rows"], -1) == 1, 0.0, NEVER)
 
-    Suffix products say which states can still reach the end; going forward, the one state
-    that is reachable and can finish is taken.
+
+def combined(table: pa.Table, fan: int) -> pa.Table:
+    """One node for up to ``fan`` consecutive ones: the product of their matrices."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
+    m = functools.reduce(times, map(weights, rows))
+    return pa.Table.from_pylist([{"doc_key": rows[0]["doc_key"], "chunk": rows[0]["chunk"] // fan, "rows": m.shape[0], "matrix": (m == 0.0).astype(np.uint8).tobytes()}], schema=NODE)
+
+
+def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the node of a whole text: it is entered at the start and left by the last piece of the best path."""
+    for batch in batches:
+        out = [{"doc_key": r["doc_key"], "chunk": r["chunk"], "enter": 0, "leave": reached(weights(r)[0])} for r in batch.to_pylist()]
+        yield pa.RecordBatch.from_pylist(out, schema=ENDS)
+
+
+def reached(weight: np.ndarray) -> int:
+    to = int(np.argmax(weight))
+    if weight[to] == NEVER:
+        raise ValueError("no path through a chunk")
+    return to
+
+
+def parted(table: pa.Table, above: pa.Table) -> pa.Table:
+    """The states at both ends of each node, from those of the node that combines them.
+
+    Products from the right say which states can still reach the end; going forward, the one
+    state that is reachable and can finish is taken.
     """
     rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-    ms = [np.where(np.frombuffer(r["matrix"], np.uint8).reshape(r["rows"], -1) == 1, 0.0, NEVER) for r in rows]
-    ends = [np.zeros((ms[-1].shape[1], 1))]
-    for m in reversed(ms):
-        ends.append(times(m, ends[-1]))
-    ends = ends[::-1]
-    state, out = 0, []
-    for r, m, rest in zip(rows, ms, ends[1:]):
-        to = int(np.argmax(m[state] + rest[:, 0]))
+    ms = list(map(weights, rows))
+    last = np.full((ms[-1].shape[1], 1), NEVER)
+    last[above["leave"][0].as_py()] = 0.0
+    rest = [last]
+    for m in reversed(ms[1:]):
+        rest.append(times(m, rest[-1]))
+    state, out = above["enter"][0].as_py(), []
+    for r, m, after in zip(rows, ms, rest[::-1]):
+        to = reached(m[state] + after[:, 0])
         out.append({"doc_key": r["doc_key"], "chunk": r["chunk"], "enter": state, "leave": to})
         state = to
-    return pa.Table.from_pylist(out, schema=pa.schema([("doc_key", pa.binary()), ("chunk", pa.int32()), ("enter", pa.int32()), ("leave", pa.int32())]))
+    return pa.Table.from_pylist(out, schema=ENDS)
 
 
 def traced(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
     v = vocabulary(model)
-    IDLE.busy()
     for batch in batches:
         rows = batch.to_pylist()
         done = []
@@ -140,7 +135,6 @@ def traced(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.Recor
             enter = v.states(r["text"], r["begin"])[r["enter"]] if r["begin"] else (0, 0)
             done.append(v.backtrace(r["text"], r["begin"], r["end"], enter, v.states(r["text"], r["end"])[r["leave"]]))
         yield pa.RecordBatch.from_arrays([batch.column("doc_key"), batch.column("chunk"), lists(done)], names=["doc_key", "chunk", "ids"])
-    IDLE.rest(v)
 
 
 def read_model(path: str) -> bytes:
@@ -168,10 +162,14 @@ def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) -> Data
 
 
 def encode_giant(giant: DataFrame, model: bytes, chunk: int) -> DataFrame:
-    """The parallel scan: chunks, their matrices, the states at boundaries, the traces."""
+    """The parallel scan: chunks, their matrices, a tree of products up and down, the traces.
+
+    The giant texts are written first, as their keys must not change if a task runs again.
+    """
     marked = F.concat(F.lit(MARK), F.replace("text", F.lit(" "), F.lit(MARK)))
-    giant = giant.select("doc_key", marked.alias("text"))
+    giant = materialise(giant.select("doc_key", marked.alias("text")))
     size = F.length("text")
+    longest = giant.agg(F.max(size)).first()[0] or 0
     parts = giant.select("doc_key", "text", size.alias("size"), F.explode(F.sequence(F.lit(0), ((size - MARGIN) / chunk).cast("int"))).alias("chunk"))
     last = ((F.col("size") - MARGIN) / chunk).cast("int")
     begin = F.col("chunk") * chunk
@@ -180,7 +178,15 @@ def encode_giant(giant: DataFrame, model: bytes, chunk: int) -> DataFrame:
     parts = parts.select("doc_key", "chunk", F.substring("text", left + 1, end + MARGIN - left).alias("text"), (begin - left).cast("int").alias("begin"), (end - left).cast("int").alias("end"))
     parts = parts.repartition(int(giant.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_key", "chunk")
     found = parts.mapInArrow(lambda b: matrices(b, model), "doc_key binary, chunk int, rows int, matrix binary")
-    fixed = found.groupBy("doc_key").applyInArrow(boundaries, "doc_key binary, chunk int, enter int, leave int")
+    levels, nodes, fan = [materialise(found)], -(-longest // chunk), FAN
+    group = F.floor(F.col("chunk") / fan).cast("int").alias("group")
+    while nodes > 1:
+        levels.append(levels[-1].groupBy("doc_key", group).applyInArrow(lambda t: combined(t, fan), "doc_key binary, chunk int, rows int, matrix binary"))
+        nodes = -(-nodes // fan)
+    fixed = levels.pop().mapInArrow(ended, "doc_key binary, chunk int, enter int, leave int")
+    while levels:
+        below = levels.pop().groupBy("doc_key", group)
+        fixed = below.cogroup(fixed.groupBy("doc_key", F.col("chunk").alias("group"))).applyInArrow(parted, "doc_key binary, chunk int, enter int, leave int")
     pieces = parts.join(fixed, ["doc_key", "chunk"]).select("doc_key", "chunk", "text", "begin", "end", "enter", "leave").mapInArrow(lambda b: traced(b, model), "doc_key binary, chunk int, ids array<int>")
     joined = pieces.groupBy("doc_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
     return joined
@@ -206,6 +212,7 @@ def with_tokens(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) ->
 
     Null texts have no pieces; null ids and repeated rows are kept; an empty table gives no rows.
     """
+    modest_batches(docs.sparkSession)
     # The key carries doc_id through; equal rows are told apart, so that no two giant texts meet.
     key = F.encode(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.monotonically_increasing_id().cast("string")), "UTF-8")
     keyed = docs.select(key.alias("doc_key"), "text")

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
-import time
 
 import numpy as np
 import pytest
 import sentencepiece
 
+from docframe.llm import tokenising
 from docframe.llm.pieces import MARK, Vocabulary, times
-from docframe.llm.tokenising import MODEL, Idle, encode, read_model, with_tokens
+from docframe.llm.tokenising import MODEL, encode, read_model, with_tokens
 from tests.llm.conftest import SF, odd_documents
 
 
@@ -84,13 +84,26 @@ def test_empty_table(empty):
     assert with_tokens(empty).count() == 0
 
 
-def test_an_idle_worker_forgets(vocabulary):
-    idle = Idle(0.05)
-    before = vocabulary.encode("some words to remember")
-    idle.rest(vocabulary)
-    idle.busy()
-    time.sleep(0.2)
-    assert vocabulary.units
-    idle.rest(vocabulary)
-    time.sleep(0.2)
-    assert not vocabulary.units and vocabulary.encode("some words to remember") == before
+def test_what_is_remembered_is_bounded(library):
+    small = Vocabulary(read_model(MODEL), remember=50, memory=20_000)
+    texts = [" ".join(f"word{i * k}" for i in range(60)) + "\n" * (k % 3) + "next" for k in range(40)]
+    assert all(np.frombuffer(small.encode(t), "<i4").tolist() == library.encode(t) for t in texts)
+    assert len(small.words) + len(small.older) < 200 and len(small.units) <= 50
+
+
+def test_a_deep_tree_of_products(spark, library, monkeypatch):
+    monkeypatch.setattr(tokenising, "FAN", 3)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a in ("abcdefghij ", "中ab", "theinon▁ ", "  a") for n in (5000, 1300)]
+    df = spark.createDataFrame([(str(i).encode(), t) for i, t in enumerate(texts)], "doc_key binary, text string")
+    got = {int(r["doc_key"]): r["ids"] for r in encode(df, chunk=150).collect()}
+    assert got == {i: library.encode(t) for i, t in enumerate(texts)}
+
+
+def test_repeated_giants_null_ids_and_clashing_columns(spark, library):
+    text = " ".join(f"w{i}" for i in range(3000))
+    rows_in = [(None, text, b"x", 1), (7, text, b"y", 2), (7, text, b"y", 2), (8, None, None, None), (None, "", b"z", 0)]
+    docs = spark.createDataFrame(rows_in, "doc_id long, text string, doc_key binary, chunk int")
+    got = with_tokens(docs, chunk=1000).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"]) for r in got) == sorted((d is None, d or 0, len(library.encode(t or ""))) for d, t, *_ in rows_in)
+    assert sum(r["ids"] == library.encode(text) for r in got) == 3
