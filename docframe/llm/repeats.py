@@ -3,14 +3,16 @@
 Two operators share this flow and differ in their symbols (words or bytes), their rule for
 "earlier" and the exact kernel inside a bucket.
 
-* Documents are dealt once into groups of a few MB by a hash of the row; that one exchange
-  serves all three passes.
+* Documents are dealt once into groups of a few MB by a hash of the row and its input partition, so
+  that equal rows spread; that one exchange serves all three passes.
 * Pass 1: each group sends the minimisers of its windows, once each, to hashed buckets; a
   bucket answers each group with the minimisers that occur elsewhere as well.
 * Pass 2: runs of consecutive windows under such a minimiser travel as one packed string to
   the minimiser's bucket.  Of equal strings in a group only the earliest travels: the others
   are settled on the spot, so copies of one passage cost a bucket one string a group however
   many there are.  The bucket compares all windows exactly.
+* A minimiser of very many runs, such as one inside a licence line, would fill its bucket: the answer
+  marks it as hot, and each of its windows then travels by itself, keyed by its first and last gram.
 * Pass 3: the covered ranges go back to their group and are cut out of the texts.
 """
 
@@ -25,7 +27,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.rolling import super_runs
+from docframe.llm.common import modest_batches
+from docframe.llm.rolling import mix, super_runs
 
 GROUP_BYTES = 4 << 20
 MESSAGE = "key long, g int, payload binary"
@@ -65,6 +68,8 @@ class Rule:
     kernel: Callable
     #: ``(text, ranges) -> number of symbols, removed spans, text that is kept``
     keep: Callable[[bytes, np.ndarray], tuple[int, np.ndarray, bytes]]
+    #: Runs under one minimiser beyond which it is hot.
+    hot: int = 4_000
 
 
 def pack(*parts: bytes) -> bytes:
@@ -115,7 +120,7 @@ def runs_of(table: pa.Table, rule: Rule) -> tuple[Symbols, np.ndarray] | None:
 
 
 def offered(table: pa.Table, rule: Rule, buckets: int) -> pa.Table:
-    """Pass 1, in a group: its distinct minimisers with least and greatest doc and whether repeated."""
+    """Pass 1, in a group: its distinct minimisers with least and greatest doc and how many runs."""
     got = runs_of(table, rule)
     if got is None:
         return messages([])
@@ -124,7 +129,7 @@ def offered(table: pa.Table, rule: Rule, buckets: int) -> pa.Table:
     mini, doc = runs["mini"][order], runs["doc"][order]
     first = np.flatnonzero(np.append(True, mini[1:] != mini[:-1]))
     last = np.append(first[1:], len(mini)) - 1
-    lo, hi, many = doc[first], doc[last], last > first
+    lo, hi, many = doc[first], doc[last], last - first + 1
     mini = mini[first]
     key = (mini % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(key, kind="stable")
@@ -136,7 +141,7 @@ def offered(table: pa.Table, rule: Rule, buckets: int) -> pa.Table:
 def answered(table: pa.Table, rule: Rule) -> pa.Table:
     """Pass 1, in a bucket: to each group its minimisers that occur elsewhere too."""
     groups = table["g"].to_pylist()
-    parts = [[np.frombuffer(x, kind) for x, kind in zip(unpack(p), ("<u8", "<i8", "<i8", "?"))] for p in table["payload"].to_pylist()]
+    parts = [[np.frombuffer(x, kind) for x, kind in zip(unpack(p), ("<u8", "<i8", "<i8", "<i8"))] for p in table["payload"].to_pylist()]
     mini = np.concatenate([p[0] for p in parts])
     lo, hi, many = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
     values, inverse = np.unique(mini, return_inverse=True)
@@ -144,25 +149,40 @@ def answered(table: pa.Table, rule: Rule) -> pa.Table:
     np.minimum.at(least, inverse, lo)
     np.maximum.at(most, inverse, hi)
     shared = least < most
+    runs = np.bincount(inverse, weights=many, minlength=len(values))
     if rule.within:
-        shared |= (np.bincount(inverse, minlength=len(values)) > 1) | (np.bincount(inverse, weights=many, minlength=len(values)) > 0)
-    keep, out, at = shared[inverse], [], 0
+        shared |= runs > 1
+    keep, hot, out, at = shared[inverse], (runs > rule.hot)[inverse], [], 0
     for g, p in zip(groups, parts):
-        mine = p[0][keep[at : at + len(p[0])]]
+        here = slice(at, at + len(p[0]))
         at += len(p[0])
-        if len(mine):
-            out.append((0, g, pack(mine.tobytes())))
+        if keep[here].any():
+            out.append((0, g, pack(p[0][keep[here]].tobytes(), p[0][keep[here] & hot[here]].tobytes())))
     return messages(out)
 
 
+def single(sym: Symbols, runs: np.ndarray, rule: Rule) -> np.ndarray:
+    """Runs as windows of their own, each keyed by the minimiser and the grams at its two ends."""
+    count = runs["size"] - rule.window + 1
+    out = np.repeat(runs, count)
+    out["start"] += np.arange(len(out)) - np.repeat(np.cumsum(count) - count, count)
+    out["size"] = rule.window
+    first, last = sym.grams[out["start"]], sym.grams[out["start"] + rule.window - rule.gram]
+    out["mini"] = mix(out["mini"] + mix(first) * np.uint64(3) + mix(last) * np.uint64(5))
+    return out
+
+
 def shipped(table: pa.Table, answers: pa.Table, rule: Rule, buckets: int) -> pa.Table:
     """Pass 2, in a group: strings under shared minimisers, equal ones once; the rest as ranges."""
     got = runs_of(table, rule) if answers.num_rows else None
     if got is None:
         return messages([])
     sym, runs = got
-    wanted = np.concatenate([np.frombuffer(unpack(p)[0], "<u8") for p in answers["payload"].to_pylist()])
+    wanted, hot = (np.concatenate([np.frombuffer(p[k], "<u8") for p in map(unpack, answers["payload"].to_pylist())]) for k in (0, 1))
     runs = runs[np.isin(runs["mini"], wanted)]
+    if len(hot):
+        apart = np.isin(runs["mini"], hot)
+        runs = np.concatenate([runs[~apart], single(sym, runs[apart], rule)])
     local = runs["start"] - sym.offsets[np.searchsorted(sym.offsets, runs["start"], side="right") - 1]
     order = np.lexsort((local, runs["doc"]))
     runs, local = runs[order], local[order]
@@ -273,13 +293,14 @@ def removed(table: pa.Table, answers: pa.Table, rule: Rule) -> pa.Table:
 def repeats(docs: DataFrame, rule: Rule) -> DataFrame:
     """Run the three passes over ``doc_id`` and ``text`` of ``docs``; the result is as ``OUTPUT`` says."""
     spark = docs.sparkSession
+    modest_batches(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     groups = max(1, -(-size // GROUP_BYTES))
     buckets = max(4, groups // 2)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     row = F.xxhash64("doc_id", text)
-    dealt = docs.select("doc_id", text.alias("text"), row.alias("row"), F.pmod(row, F.lit(groups)).cast("int").alias("g")).repartition(parts, "g")
+    dealt = docs.select("doc_id", text.alias("text"), row.alias("row"), F.pmod(F.hash(row, F.spark_partition_id()), F.lit(groups)).cast("int").alias("g")).repartition(parts, "g")
     asked = dealt.groupBy("g").applyInArrow(lambda t: offered(t, rule, buckets), MESSAGE)
     shared = asked.groupBy("key").applyInArrow(lambda t: answered(t, rule), MESSAGE)
     sent = dealt.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(lambda t, a: shipped(t, a, rule, buckets), MESSAGE)

@@ -33,21 +33,26 @@ def word_symbols(texts: list[bytes]) -> Symbols:
 
 
 def sorted_windows(strings: list[bytes], minis: np.ndarray, docs: np.ndarray, starts: np.ndarray, rule: Rule) -> list[np.ndarray]:
-    """Sort all windows of a bucket; flag those that a document with a smaller id has too."""
-    flags, table = [], []
-    for s, (text, doc) in enumerate(zip(strings, docs.tolist())):
-        cuts = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == SPACE)
-        begin, end = np.append(0, cuts + 1).tolist(), np.append(cuts, len(text)).tolist()
-        n = len(begin) - rule.window + 1
-        table += [(text[begin[i] : end[i + rule.window - 1]], doc, s, i) for i in range(n)]
-        flags.append(np.zeros(n, dtype=bool))
-    table.sort()
-    last, least = None, 0
-    for text, doc, s, i in table:
-        if text != last:
-            last, least = text, doc
-        elif doc > least:
-            flags[s][i] = True
+    """Sort the windows of each minimiser; flag those that a document with a smaller id has too."""
+    flags: list[np.ndarray] = [np.zeros(0, dtype=bool)] * len(strings)
+    order = np.argsort(minis, kind="stable")
+    cuts = np.flatnonzero(np.append(True, minis[order][1:] != minis[order][:-1])).tolist()
+    for low, high in zip(cuts, [*cuts[1:], len(order)]):
+        table = []
+        for s in order[low:high].tolist():
+            text, doc = strings[s], int(docs[s])
+            gaps = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == SPACE)
+            begin, end = np.append(0, gaps + 1).tolist(), np.append(gaps, len(text)).tolist()
+            n = len(begin) - rule.window + 1
+            table += [(text[begin[i] : end[i + rule.window - 1]], doc, s, i) for i in range(n)]
+            flags[s] = np.zeros(n, dtype=bool)
+        table.sort()
+        last, least = None, 0
+        for text, doc, s, i in table:
+            if text != last:
+                last, least = text, doc
+            elif doc > least:
+                flags[s][i] = True
     return flags
 
 
@@ -62,16 +67,17 @@ def keep(text: bytes, spans: np.ndarray) -> tuple[int, np.ndarray, bytes]:
 RULE = Rule(window=WINDOW, gram=GRAM, symbols=word_symbols, within=False, kernel=sorted_windows, keep=keep)
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
+def dedup_substrings(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """Remove words covered by a 50-word window that starts in a document with a smaller id.
 
     A null text has no words; a null ``doc_id`` comes after all others; rows with one
-    ``doc_id`` never remove from each other; an empty table gives no rows.
+    ``doc_id`` never remove from each other; an empty table gives no rows; other columns are left
+    out, whatever their names; texts may be of any length that a row can hold.
     Gives ``kept_text`` (the other words, one space between them), ``spans`` (removed words, as
     numbers from ``start`` up to ``end``) and ``row`` (the key in ``repeats.OUTPUT``), besides counts and digest.
     """
     lost = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return repeats(docs, RULE).select("doc_id", "row", F.col("kept").cast("string").alias("kept_text"), "spans",
+    return repeats(docs, rule).select("doc_id", "row", F.col("kept").cast("string").alias("kept_text"), "spans",
                                       F.col("n_symbols").alias("n_words"), lost.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 

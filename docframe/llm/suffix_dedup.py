@@ -73,16 +73,17 @@ def keep(text: bytes, spans: np.ndarray) -> tuple[int, np.ndarray, bytes]:
 RULE = Rule(window=WINDOW, gram=GRAM, symbols=byte_symbols, within=True, kernel=transform_windows, keep=keep)
 
 
-def dedup_suffixes(docs: DataFrame) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """Remove bytes covered by a 100-byte string that also starts earlier.
 
     A null text is empty; a null ``doc_id`` comes after all others; equal rows get equal
-    results; an empty table gives no rows.
+    results; an empty table gives no rows; other columns are left out, whatever their names; texts may
+    be of any length that a row can hold.
     Gives ``kept_bytes`` (what is left; a cut may part a character), ``spans`` (removed bytes, as
     places from ``start`` up to ``end``) and ``row`` (the key in ``repeats.OUTPUT``), besides counts and digest.
     """
     lost = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return repeats(docs, RULE).select("doc_id", "row", F.col("kept").alias("kept_bytes"), "spans", F.col("n_symbols").alias("n_bytes"),
+    return repeats(docs, rule).select("doc_id", "row", F.col("kept").alias("kept_bytes"), "spans", F.col("n_symbols").alias("n_bytes"),
                                       lost.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
 
-from docframe.llm import bwt, rolling
+from docframe.llm import bwt, rolling, substring_dedup, suffix_dedup
 from docframe.llm.quality import judge
 from docframe.llm.sharding import grid, shard, write_shards
 from docframe.llm.substring_dedup import dedup_substrings
@@ -59,6 +60,19 @@ def test_texts_and_spans_are_given(odd):
     assert keyed.join(dedup_substrings(odd), ["doc_id", "row"]).count() == keyed.join(dedup_suffixes(odd), ["doc_id", "row"]).count() == len(ODD)
 
 
+@pytest.mark.parametrize("hot", [0, 40])
+def test_hot_minimisers_and_repeated_rows(spark, odd, hot):
+    rng = random.Random(6)
+    line = " ".join(f"licence{i}" for i in range(70))
+    prose = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(n))
+    docs = [(i, f"{prose(rng.randint(0, 30))} {line} {prose(rng.randint(0, 60))}") for i in range(150)] + ODD
+    docs += [(docs[5][0], docs[5][1])] * 60
+    df = spark.createDataFrame([(1000 + i if k >= 150 else i, t) for k, (i, t) in enumerate(docs)], "doc_id long, text string").repartition(7)
+    held = [tuple(r) for r in df.collect()]
+    assert rows(dedup_substrings(df, replace(substring_dedup.RULE, hot=hot)), *CASES[0][2]) == brute.op2(held)
+    assert rows(dedup_suffixes(df, replace(suffix_dedup.RULE, hot=hot)), *CASES[1][2]) == brute.op6(held)
+
+
 def test_minimiser_runs_partition_the_windows():
     rng = np.random.default_rng(3)
     grams = rng.integers(0, 1 << 63, 500).astype(np.uint64)
