@@ -1,36 +1,46 @@
 """Documents scored by masked pseudo-likelihood.
 
-A small network predicts a masked word from the words on both sides.  Words fall into hashed
-buckets, buckets into classes of about equal mass; the network gives the class, corpus counts
-give the bucket inside it.  Counts cover all documents.  Training masks every word of
-every document in each round; each group of documents trains its own copy for a round, and the
-copies are averaged by weight.  Scoring masks every word in turn and sums the log-probabilities.
+A small network predicts a masked word from the words on both sides: first its class, by a
+softmax over classes of about equal mass, then the word inside the class, by a walk down the
+class's Huffman tree with a yes-or-no unit at every node.  Both see the context, and the
+probabilities of all words sum to one.  Words are hashed into buckets, whose number follows the
+vocabulary that the counts show, up to ``MOST_BUCKETS``.  Counts and training cover all documents:
+each word is masked in one of the rounds; each group of documents trains its own copy for a
+round, and the copies are averaged by weight.  Scoring masks every word in turn and sums the
+log-probabilities.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm.common import documents
+from docframe.llm.common import discard, documents, materialise, modest_batches
 from docframe.llm.rolling import prefix_hash, span_hash
 
-BUCKETS = 1 << 15
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 10, 1 << 15
 #: Input symbols of the network: the frequent buckets by themselves, the others hashed together.
-INPUTS = 1024
+INPUTS = 2048
 CLASSES = 64
 WIDTH = 16
 #: Neighbours looked at, in words from the masked one.
 OFFSETS = (-2, -1, 1, 2)
+#: Each word is a target in one of the rounds.
 ROUNDS = 2
-BATCH = 512
-RATE = 0.2
-PIECE_BYTES = 2 << 20
+BATCH = 2048
+#: Steps for what all words share, and for what belongs to one word or node.
+RATE, OWN_RATE = 6.0 / BATCH, 0.03
+PIECE_BYTES = 1 << 20
 OUTSIDE = INPUTS
+#: Parameters to a row that is sent for averaging, and rows averaged at once.
+BLOCK, FAN = 1 << 14, 64
+UPDATE = "block int, part int, weight double, payload binary"
 
 
 def bucket_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +53,7 @@ def bucket_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, dtype=np.int64), offsets
     gaps = np.flatnonzero(data == 32)
     begin, end = np.append(0, gaps + 1), np.append(gaps, len(data))
-    return (span_hash(prefix_hash(data), begin, end) % np.uint64(BUCKETS)).astype(np.int64), offsets
+    return (span_hash(prefix_hash(data), begin, end) % np.uint64(MOST_BUCKETS)).astype(np.int64), offsets
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -60,140 +70,224 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, dtype=np.int64)
+    total = np.zeros(MOST_BUCKETS, dtype=np.int64)
     for _, ids, _ in pieces(batches):
-        total += np.bincount(ids, minlength=BUCKETS)
+        total += np.bincount(ids, minlength=MOST_BUCKETS)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
 
 
 class Tables:
-    """What the counts fix: classes of about equal mass, input symbols, shares inside classes."""
+    """What the counts fix: buckets, classes of about equal mass, input symbols, a tree in each class.
+
+    ``nodes[first[w] : first[w + 1]]`` are the nodes on the way to bucket ``w`` from the root of
+    its class, ``signs`` the turns taken there.  A class of one bucket has no node.
+    """
 
     def __init__(self, counts: np.ndarray):
+        used = max(1, int(np.count_nonzero(counts)))
+        self.buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (4 * used - 1).bit_length()))
+        counts = counts.reshape(-1, self.buckets).sum(axis=0)
         order = np.argsort(-counts, kind="stable")
         mass = np.cumsum(counts[order] + 1.0)
-        self.class_of = np.empty(BUCKETS, dtype=np.int64)
+        self.class_of = np.empty(self.buckets, dtype=np.int64)
         self.class_of[order] = np.minimum(CLASSES - 1, (mass - (counts[order] + 1.0)) * CLASSES / mass[-1]).astype(np.int64)
-        self.input_of = np.empty(BUCKETS, dtype=np.int64)
-        head = INPUTS // 2
+        self.input_of = np.empty(self.buckets, dtype=np.int16)
+        head = min(INPUTS, self.buckets) // 2
         self.input_of[order[:head]] = np.arange(head)
-        self.input_of[order[head:]] = head + np.arange(BUCKETS - head) % (INPUTS - head)
-        in_class = np.bincount(self.class_of, weights=counts + 1.0, minlength=CLASSES)
-        self.log_share = np.log((counts + 1.0) / in_class[self.class_of]).astype(np.float32)
-
-
-def fresh(seed: int = 11) -> np.ndarray:
-    """Starting parameters: input embeddings by side, output weights, output biases."""
+        self.input_of[order[head:]] = head + np.arange(self.buckets - head) % (INPUTS - head)
+        self.trees(counts + 1)
+
+    def trees(self, counts: np.ndarray) -> None:
+        ways: list[list[tuple[int, int]]] = [[] for _ in counts]
+        self.inner = 0
+        for c in range(CLASSES):
+            mine = np.flatnonzero(self.class_of == c).tolist()
+            heap = [(int(counts[w]), w) for w in mine]  # ties by bucket; joined nodes come after all buckets
+            heapq.heapify(heap)
+            below: dict[int, tuple[int, int, int]] = {}
+            while len(heap) > 1:
+                (n, a), (m, b) = heapq.heappop(heap), heapq.heappop(heap)
+                key = len(counts) + self.inner
+                below[key] = (self.inner, a, b)
+                self.inner += 1
+                heapq.heappush(heap, (n + m, key))
+            todo = [(heap[0][1], [])] if heap else []
+            while todo:
+                at, way = todo.pop()
+                if at in below:
+                    node, a, b = below[at]
+                    todo += [(a, [*way, (node, 1)]), (b, [*way, (node, -1)])]
+                else:
+                    ways[at] = way
+        self.first = np.concatenate([[0], np.cumsum([len(w) for w in ways])]).astype(np.int64)
+        flat = [x for w in ways for x in w]
+        self.nodes = np.array([x[0] for x in flat], dtype=np.int16)  # fewer than MOST_BUCKETS
+        self.signs = np.array([x[1] for x in flat], dtype=np.float32)
+
+    def ways(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes and turns of all words, the position of each one's word, and the lengths of the ways."""
+        begin = self.first.take(words)
+        length = self.first.take(words + 1) - begin
+        owner = np.repeat(np.arange(len(words)), length)
+        at = np.arange(len(owner)) + np.repeat(begin - (np.cumsum(length) - length), length)
+        return self.nodes.take(at), self.signs.take(at), owner, length
+
+
+def fresh(tables: Tables, seed: int = 11) -> np.ndarray:
+    """Starting parameters: input embeddings by side, output weights, output biases, tree nodes."""
     rng = np.random.default_rng(seed)
-    into = rng.normal(0, 0.1, (len(OFFSETS), INPUTS + 1, WIDTH))
+    into = rng.normal(0, 0.1, (len(OFFSETS) * (INPUTS + 1), WIDTH))
     out = rng.normal(0, 0.1, (WIDTH, CLASSES))
-    return np.concatenate([into.ravel(), out.ravel(), np.zeros(CLASSES)]).astype(np.float32)
+    return np.concatenate([into.ravel(), out.ravel(), np.zeros(CLASSES + tables.inner * WIDTH)]).astype(np.float32)
 
 
-def parts(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def parts(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     a = len(OFFSETS) * (INPUTS + 1) * WIDTH
     b = a + WIDTH * CLASSES
-    return flat[:a].reshape(len(OFFSETS), INPUTS + 1, WIDTH), flat[a:b].reshape(WIDTH, CLASSES), flat[b:]
+    c = b + CLASSES
+    return flat[:a].reshape(-1, WIDTH), flat[a:b].reshape(WIDTH, CLASSES), flat[b:c], flat[c:].reshape(-1, WIDTH)
 
 
 def neighbours(symbols: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Input symbols around positions; beyond a document's ends there is ``OUTSIDE``."""
+    """Rows of the input embeddings around positions; beyond a document's ends there is ``OUTSIDE``."""
     doc = np.searchsorted(offsets, at, side="right") - 1
-    low, high = offsets[doc], offsets[doc + 1]
-    out = np.full((len(OFFSETS), len(at)), OUTSIDE, dtype=np.int64)
+    low, high = offsets.take(doc), offsets.take(doc + 1)
+    out = np.empty((len(OFFSETS), len(at)), dtype=np.int16)
     for k, step in enumerate(OFFSETS):
         p = at + step
-        ok = (p >= low) & (p < high)
-        out[k, ok] = symbols[p[ok]]
+        inside = (p >= low) & (p < high)
+        out[k] = np.where(inside, symbols.take(p, mode="clip"), OUTSIDE) + k * (INPUTS + 1)
     return out
 
 
 def forward(model, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hidden layer and log-probabilities of the classes."""
-    into, out, bias = model
-    hidden = into[0][around[0]]
+    into, out, bias, _ = model
+    hidden = into.take(around[0], axis=0)  # take is several times faster here than indexing
     for k in range(1, len(OFFSETS)):
-        hidden = hidden + into[k][around[k]]
-    hidden = np.tanh(hidden)
-    z = hidden @ out + bias
-    z -= z.max(axis=1, keepdims=True)
+        hidden += into.take(around[k], axis=0)
+    np.tanh(hidden, out=hidden)
+    z = hidden @ out
+    z += bias
+    z -= z.max()  # one shift for all rows: hidden values are in -1 .. 1, so rows are of one magnitude
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return hidden, z
 
 
 def subtract_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """``np.subtract.at(table, at, rows)``, with the rows of one place summed first."""
+    """``np.subtract.at(table, at, rows)``, with the rows of one place summed first; ``rows`` may repeat."""
+    if not len(at):
+        return
     order = np.argsort(at, kind="stable")
-    ranked = at[order]
+    ranked = at.take(order)
     first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    table[ranked[first]] -= np.add.reduceat(rows[order], first, axis=0)
-
-
-def trained(batches: Iterator[pa.RecordBatch], flat: np.ndarray, tables: Tables) -> Iterator[pa.RecordBatch]:
-    """One partition's round of gradient steps from the shared parameters."""
+    table[ranked[first]] -= np.add.reduceat(rows.take(order % len(rows) if len(at) > len(rows) else order, axis=0), first, axis=0)
+
+
+def step(model, tables: Tables, words: np.ndarray, around: np.ndarray) -> None:
+    """One gradient step of a batch."""
+    into, out, bias, tree = model
+    hidden, logp = forward(model, around)
+    grad = np.exp(logp)
+    grad[np.arange(len(words)), tables.class_of[words]] -= 1.0
+    back = grad @ out.T
+    nodes, signs, owner, length = tables.ways(words)
+    if len(nodes):
+        there, rows = hidden.take(owner, axis=0), tree.take(nodes, axis=0)
+        miss = -signs / (1 + np.exp(signs * np.einsum("ij,ij->i", there, rows)))
+        some = np.flatnonzero(length)
+        begin = (np.cumsum(length) - length)[some]
+        back[some] += np.add.reduceat(rows * miss[:, None], begin, axis=0)
+        subtract_rows(tree, nodes, there * (OWN_RATE * miss)[:, None])
+    back *= OWN_RATE * (1 - hidden * hidden)
+    grad *= RATE
+    out -= hidden.T @ grad
+    bias -= grad.sum(axis=0)
+    subtract_rows(into, around.ravel(), back)
+
+
+def trained(batches: Iterator[pa.RecordBatch], flat: np.ndarray, tables: Tables, turn: int) -> Iterator[pa.RecordBatch]:
+    """One partition's round of gradient steps from the shared parameters, over the words whose turn it is."""
     flat = flat.copy()
-    model = into, out, bias = parts(flat)
+    model = parts(flat)
     seen = 0
     for _, ids, offsets in pieces(batches):
-        symbols, target = tables.input_of[ids], tables.class_of[ids]
-        masked = np.random.default_rng(seen).permutation(len(ids))  # so that a batch mixes documents
+        words = ids & (tables.buckets - 1)
+        symbols = tables.input_of[words]
+        masked = np.random.default_rng(seen).permutation(np.arange(turn, len(ids), ROUNDS))  # so that a batch mixes documents
         for at in range(0, len(masked), BATCH):
             now = masked[at : at + BATCH]
-            around = neighbours(symbols, offsets, now)
-            hidden, logp = forward(model, around)
-            grad = np.exp(logp)
-            grad[np.arange(len(now)), target[now]] -= 1.0
-            grad *= RATE / 16
-            back = (grad @ out.T) * (1 - hidden * hidden)
-            out -= hidden.T @ grad
-            bias -= grad.sum(axis=0)
-            for k in range(len(OFFSETS)):
-                subtract_rows(into[k], around[k], back)
-            seen += len(now)
-    block = 256
-    values = np.pad(flat, (0, -len(flat) % block)).reshape(-1, block)
-    rows = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * block, pa.int32()), pa.array(values.ravel().astype(np.float64)))
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(np.full(len(values), float(seen))), rows], names=["block", "weight", "values"])
-
-
-def averaged(updates: DataFrame, size: int) -> np.ndarray:
-    """Parameters averaged over partitions by their number of masked words; a fixed number of blocks."""
-    sums = updates.select("block", "weight", F.posexplode("values").alias("i", "v")).groupBy("block", "i").agg(
-        F.sum(F.col("v") * F.col("weight")).alias("v"), F.sum("weight").alias("w"))
-    rows = sums.select("block", "i", (F.col("v") / F.col("w")).alias("v")).where("w > 0").toArrow()
-    out = np.zeros(-(-size // 256) * 256, dtype=np.float32)
-    out[rows["block"].to_numpy() * 256 + rows["i"].to_numpy()] = rows["v"].to_numpy()
-    return out[:size] if rows.num_rows else fresh()
+            step(model, tables, words.take(now), neighbours(symbols, offsets, now))
+        seen += len(masked)
+    context = TaskContext.get()
+    values = [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
+    columns = [pa.array(range(len(values)), pa.int32()), pa.array([context.partitionId() if context else 0] * len(values), pa.int32()),
+               pa.array([float(seen)] * len(values)), pa.array(values, pa.binary())]
+    yield pa.RecordBatch.from_arrays(columns, names=["block", "part", "weight", "payload"])
+
+
+def mean(table: pa.Table) -> pa.Table:
+    """One row for up to about ``FAN`` of a block: their mean by weight, and the sum of the weights."""
+    weights = table["weight"].to_numpy()
+    order = np.argsort(table["part"].to_numpy(), kind="stable")  # a fixed order gives fixed sums
+    payloads, total = table["payload"].to_pylist(), float(weights.sum())
+    out = sum(np.frombuffer(payloads[i], "<f4").astype(np.float64) * (weights[i] / total if total else 1 / len(order)) for i in order.tolist())
+    return pa.table({"block": table["block"][:1], "part": pa.array([int(table["part"].to_numpy().min())], pa.int32()), "weight": pa.array([total]), "payload": pa.array([out.astype("<f4").tobytes()], pa.binary())})
+
+
+def averaged(updates: DataFrame) -> np.ndarray:
+    """Parameters averaged over partitions by their number of masked words, a few at a time."""
+    updates = materialise(updates)
+    many = updates.where("block = 0").count()
+    while many > 1:
+        many = -(-many // FAN)
+        fewer = materialise(updates.groupBy("block", F.pmod(F.hash("part"), F.lit(many))).applyInArrow(mean, UPDATE))
+        discard(updates)
+        updates = fewer
+        many = updates.where("block = 0").count()
+    rows = sorted((r["block"], bytes(r["payload"])) for r in updates.select("block", "payload").collect())  # one copy of the parameters
+    discard(updates)
+    return np.frombuffer(b"".join(x for _, x in rows), "<f4").copy()
+
+
+def log_probabilities(model, tables: Tables, words: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Of each word, given its neighbours."""
+    hidden, classes = forward(model, around)
+    out = classes[np.arange(len(words)), tables.class_of[words]].astype(np.float64)
+    nodes, signs, owner, _ = tables.ways(words)
+    turns = signs * np.einsum("ij,ij->i", hidden.take(owner, axis=0), model[3].take(nodes, axis=0))
+    return out + np.bincount(owner, weights=-np.logaddexp(0, -turns), minlength=len(words))
 
 
 def scored(batches: Iterator[pa.RecordBatch], flat: np.ndarray, tables: Tables) -> Iterator[pa.RecordBatch]:
     model = parts(flat)
     for batch, ids, offsets in pieces(batches):
-        symbols, target = tables.input_of[ids], tables.class_of[ids]
-        logp = tables.log_share[ids].astype(np.float64)
-        for at in range(0, len(ids), 1 << 14):
-            now = np.arange(at, min(len(ids), at + (1 << 14)))
-            _, classes = forward(model, neighbours(symbols, offsets, now))
-            logp[now] += classes[np.arange(len(now)), target[now]]
+        words = ids & (tables.buckets - 1)
+        symbols = tables.input_of[words]
+        logp = np.zeros(len(ids))
+        for at in range(0, len(ids), 1 << 12):
+            now = np.arange(at, min(len(ids), at + (1 << 12)))
+            logp[now] = log_probabilities(model, tables, words.take(now), neighbours(symbols, offsets, now))
         total = np.concatenate([[0.0], np.cumsum(logp)])
-        words = np.diff(offsets)
-        sums = np.where(words > 0, total[offsets[1:]] - total[offsets[:-1]], 0.0)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words), pa.array(sums), pa.array(sums / np.maximum(words, 1))],
+        count = np.diff(offsets)
+        sums = np.where(count > 0, total[offsets[1:]] - total[offsets[:-1]], 0.0)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count), pa.array(sums), pa.array(sums / np.maximum(count, 1))],
                                          names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
 
 
 def fit(docs: DataFrame) -> tuple[np.ndarray, Tables]:
     """Counts and parameters from all documents."""
+    modest_batches(docs.sparkSession)
     text = docs.select("doc_id", "text")
-    counts = np.zeros(BUCKETS, dtype=np.int64)
-    sums = text.mapInArrow(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
+    counts = np.zeros(MOST_BUCKETS, dtype=np.int64)
+    sums = text.mapInArrow(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most MOST_BUCKETS rows
     counts[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
     tables = Tables(counts)
-    flat = fresh()
-    for _ in range(ROUNDS):
-        updates = text.mapInArrow(lambda b, f=flat: trained(b, f, tables), "block int, weight double, values array<double>")
-        flat = averaged(updates, len(flat))
+    flat = fresh(tables)
+    for turn in range(ROUNDS):
+        updates = text.mapInArrow(lambda b, f=flat, t=turn: trained(b, f, tables, t), UPDATE)
+        flat = averaged(updates)
     return flat, tables
 
 
@@ -201,7 +295,8 @@ def score(docs: DataFrame) -> DataFrame:
     """Sum and mean of the conditional log-probabilities of every document's words.
 
     A null or empty text scores 0 over 0 words; null ids and repeated rows are scored as they
-    are; an empty table gives no rows.
+    are; ties need no rule; other columns are left out, whatever their names; texts may be of any
+    length that a row can hold; an empty table gives no rows.
     """
     flat, tables = fit(docs)
     return docs.select("doc_id", "text").mapInArrow(lambda b: scored(b, flat, tables), "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")

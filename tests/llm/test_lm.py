@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -11,19 +12,50 @@ from docframe.llm import lm_scoring as lm
 from tests.llm.conftest import SF
 
 
-def test_scores_equal_a_plain_loop(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "b c"), (3, None), (4, "")], "doc_id long, text string")
+def plain_probability(model, tables, symbols, i, word):
+    """Probability of a word at a place, by loops over classes and tree nodes."""
+    into, out, bias, tree = model
+    h = np.zeros(lm.WIDTH)
+    for k, s in enumerate(lm.OFFSETS):
+        h += into[k * (lm.INPUTS + 1) + (symbols[i + s] if 0 <= i + s < len(symbols) else lm.OUTSIDE)]
+    h = np.tanh(h)
+    z = [math.exp(h @ out[:, c] + bias[c]) for c in range(lm.CLASSES)]
+    p = z[tables.class_of[word]] / sum(z)
+    for node, sign in zip(tables.nodes[tables.first[word] : tables.first[word + 1]], tables.signs[tables.first[word] : tables.first[word + 1]]):
+        p /= 1 + math.exp(-sign * (h @ tree[node]))
+    return p
+
+
+def test_scores_equal_a_plain_loop_and_all_words_sum_to_one(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "b c"), (3, None), (4, ""), (None, "b c")], "doc_id long, text string")
     flat, tables = lm.fit(docs)
-    into, out, bias = lm.parts(flat)
+    model = lm.parts(flat.astype(np.float64))
     got = {r["doc_id"]: r for r in lm.score(docs).collect()}
-    ids, offsets = lm.bucket_ids([b"a b c d e f"])
-    total = 0.0
-    for i in range(6):
-        h = sum(into[k][tables.input_of[ids[i + s]] if 0 <= i + s < 6 else lm.OUTSIDE] for k, s in enumerate(lm.OFFSETS))
-        z = np.tanh(h) @ out + bias
-        total += z[tables.class_of[ids[i]]] - np.log(np.exp(z).sum()) + tables.log_share[ids[i]]
+    words = lm.bucket_ids([b"a b c d e f"])[0] % tables.buckets
+    symbols = tables.input_of[words].tolist()
+    total = sum(math.log(plain_probability(model, tables, symbols, i, w)) for i, w in enumerate(words.tolist()))
     assert abs(got[1]["log_likelihood"] - total) < 1e-3
-    assert got[3]["n_words"] == 0 and got[3]["log_likelihood"] == 0.0 and got[4]["n_words"] == 0
+    assert abs(sum(plain_probability(model, tables, symbols, 2, w) for w in range(tables.buckets)) - 1) < 1e-9
+    assert got[3]["n_words"] == 0 and got[3]["log_likelihood"] == 0.0 and got[4]["n_words"] == 0 and got[None]["log_likelihood"] == got[2]["log_likelihood"]
+
+
+def test_a_step_follows_the_gradient_of_the_plain_loss():
+    rng = np.random.default_rng(4)
+    tables = lm.Tables(rng.integers(0, 50, lm.MOST_BUCKETS) * (np.arange(lm.MOST_BUCKETS) < 200))
+    flat = (lm.fresh(tables) + rng.normal(0, 0.05, len(lm.fresh(tables)))).astype(np.float64)
+    words = np.array([3, 7, 3, 150, 9, 21, 3, 8])
+    symbols = tables.input_of[words]
+    loss = lambda f: -sum(math.log(plain_probability(lm.parts(f), tables, symbols.tolist(), i, int(words[i]))) for i in range(len(words)))
+    after = flat.copy()
+    lm.step(lm.parts(after), tables, words, lm.neighbours(symbols, np.array([0, len(words)]), np.arange(len(words))))
+    moved = np.flatnonzero(after != flat)
+    shared = range(len(lm.OFFSETS) * (lm.INPUTS + 1) * lm.WIDTH, len(flat) - tables.inner * lm.WIDTH)
+    for i in rng.choice(moved, 60, replace=False).tolist():
+        up, down = flat.copy(), flat.copy()
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        slope = (loss(up) - loss(down)) / 2e-5
+        assert abs((flat[i] - after[i]) / (lm.RATE if i in shared else lm.OWN_RATE) - slope) < 1e-4 * max(1, abs(slope))
 
 
 def test_context_is_learned(spark):
@@ -41,12 +73,31 @@ def test_odd_real_and_empty_inputs(spark, odd, empty):
     assert np.isfinite(got.log_likelihood).all() and (got.log_likelihood <= 0).all()
 
 
-def test_every_word_is_a_training_target():
-    texts = ["a b c", "d e", "", "f", " ".join(f"w{i}" for i in range(700))]
-    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(5)), "text": pa.array(texts)})
-    tables = lm.Tables(np.zeros(lm.BUCKETS, dtype=np.int64))
-    out, = lm.trained(iter([batch]), lm.fresh(), tables)
-    assert set(out["weight"].to_pylist()) == {706.0}
-    short, = lm.trained(iter([batch.slice(0, 1)]), lm.fresh(), tables)
-    flat = np.array(short["values"].to_pylist()).ravel()[: len(lm.fresh())]
-    assert short["weight"][0].as_py() == 3.0 and np.abs(flat - lm.fresh()).max() > 0
+def test_every_word_is_a_training_target_once():
+    texts = ["a b c", "d e", "", None, "f", " ".join(f"w{i}" for i in range(700))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(6)), "text": pa.array(texts)})
+    tables = lm.Tables(np.zeros(lm.MOST_BUCKETS, dtype=np.int64))
+    start = lm.fresh(tables)
+    rounds = [next(lm.trained(iter([batch]), start, tables, turn)) for turn in range(lm.ROUNDS)]
+    assert [set(r["weight"].to_pylist()) for r in rounds] == [{353.0}, {353.0}]
+    after = np.frombuffer(b"".join(rounds[0]["payload"].to_pylist()), "<f4")
+    assert len(after) == len(start) and np.abs(after - start).max() > 0
+
+
+def test_averaging_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FAN", 3)
+    values = [(b, p, float(p), np.full(4, 10 * b + p, "<f4").tobytes()) for b in range(2) for p in range(20)]
+    got = lm.averaged(spark.createDataFrame(values, lm.UPDATE))
+    mean = sum(p * p for p in range(20)) / sum(range(20))
+    assert np.allclose(got, [mean] * 4 + [10 + mean] * 4)
+
+
+def test_the_vocabulary_sizes_the_network():
+    few, many = (lm.Tables((np.arange(lm.MOST_BUCKETS) < n).astype(np.int64)) for n in (10, 5000))
+    assert few.buckets == lm.LEAST_BUCKETS and many.buckets == lm.MOST_BUCKETS and many.inner > few.inner
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b", 2, 0), (1, "a b", 2, 0), (None, None, 0, 1)], "doc_id long, text string, n_words int, log_likelihood int")
+    got = lm.score(docs).collect()
+    assert len(got) == 3 and len({r["log_likelihood"] for r in got if r["doc_id"] == 1}) == 1
