@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 from docframe.llm.common import ascii_lower, documents, materialise
 
 GRAM = 8
+#: Words within which all distinct terms of an item make a proximity match.
+WIDTH = 100
 NOT_TERM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: No term is empty, so the empty one marks a document's end.
 END = ""
@@ -68,9 +70,13 @@ def index_of(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return materialise(tokens.join(small(wanted), "term", "left_semi").select("row", "doc_id", "term", "pos"))
 
 
-def exact_matches(index: DataFrame, phrases: Phrases) -> DataFrame:
-    """Every occurrence ``row, wid, start, n`` of every phrase."""
-    counts = materialise(index.groupBy("term").agg(F.count(F.lit(1)).alias("postings")))
+def lengths(index: DataFrame) -> DataFrame:
+    """``term, postings``: how long each list is."""
+    return materialise(index.groupBy("term").agg(F.count(F.lit(1)).alias("postings")))
+
+
+def exact_matches(index: DataFrame, phrases: Phrases, counts: DataFrame) -> DataFrame:
+    """Every occurrence ``row, wid, start, n`` of every phrase; ``counts`` has the lists' lengths."""
     ranked = materialise(
         phrases.terms.join(small(counts), "term").withColumn("rank", F.row_number().over(Window.partitionBy("wid").orderBy("postings", "off")))
         .withColumn("known", F.count(F.lit(1)).over(Window.partitionBy("wid")))
@@ -92,29 +98,37 @@ def exact_matches(index: DataFrame, phrases: Phrases) -> DataFrame:
     return full.select("row", "wid", "start", "n").union(starts.where("n <= 2").select("row", "wid", "start", "n"))
 
 
-def proximity_matches(index: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
-    """Places ``row, item_id, start`` from which all distinct terms of an item occur within ``width`` words."""
-    wanted = benchmark.select("item_id", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
-    wanted = materialise(wanted.withColumn("needed", F.count(F.lit(1)).over(Window.partitionBy("item_id"))))
-    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("postings"))
-    rare = wanted.join(small(materialise(counts)), "term").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("postings", "term")))
-    near = index.join(small(materialise(rare.where("rank = 1").select("item_id", "term"))), "term").select("row", "item_id").distinct()
-    postings = index.join(small(wanted), "term").join(near, ["row", "item_id"], "left_semi").distinct()
+def proximity_matches(index: DataFrame, benchmark: DataFrame, counts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Places ``row, item_id, start`` from which all distinct terms of an item occur within ``width`` words.
+
+    Only documents that hold an item's rarest term are looked at.
+    """
+    wanted = benchmark.select("item_id", F.explode(terms_of(F.col("text"))).alias("term")).distinct()
+    wanted = materialise(wanted.withColumn("needed", F.count(F.lit(1)).over(Window.partitionBy("item_id"))).where(F.col("needed") <= width))
+    rare = wanted.join(small(counts), "term").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("postings", "term")))
+    rare = rare.withColumn("known", F.count(F.lit(1)).over(Window.partitionBy("item_id"))).where("rank = 1 AND known = needed").select("item_id", "term")
+    near = materialise(index.join(small(materialise(rare)), "term").select("row", "item_id").distinct())
+    there = index.join(small(materialise(near.select("row").distinct())), "row", "left_semi")
+    postings = there.join(small(wanted), "term").join(small(near), ["row", "item_id"], "left_semi").select("row", "item_id", "needed", "term", "pos").distinct()
     ahead = Window.partitionBy("row", "item_id").orderBy("pos").rangeBetween(0, width - 1)
     return postings.withColumn("seen", F.size(F.collect_set("term").over(ahead))).where("seen = needed").select("row", "item_id", F.col("pos").alias("start"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, least_items: int = 2) -> DataFrame:
-    """Words hit and items found per document.
+    """Words hit and items found per document; ``n_near`` items have a proximity match.
 
     A document is contaminated if windows of at least ``least_items`` items occur in it.  Null
     and empty texts have no words; null ids are ids like any other; repeated rows get equal
     results; an empty benchmark hits nothing.  A document with a null ``item_id`` among its
-    items ignores that item.
+    items ignores that item.  Other columns are left out, whatever their names; texts may be of
+    any length that a row can hold.
     """
-    phrases = phrases_of(benchmark.where(F.col("item_id").isNotNull()), gram)
+    benchmark = benchmark.where(F.col("item_id").isNotNull())
+    phrases = phrases_of(benchmark, gram)
     index = index_of(docs, phrases.terms)
-    matches = materialise(exact_matches(index, phrases))
+    counts = lengths(index)
+    matches = materialise(exact_matches(index, phrases, counts))
+    near = proximity_matches(index, benchmark, counts).groupBy("row").agg(F.count_distinct("item_id").alias("n_near"))
     items = matches.select("row", "wid").distinct().join(small(phrases.items), "wid").groupBy("row").agg(
         F.collect_set(F.col("item_id").cast("string")).alias("items"))
 
@@ -125,11 +139,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, least
             F.greatest(a["end"], s["start"] + s["n"]).alias("end")))["hit"]
 
     hits = matches.select("row", "start", "n").distinct().groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("spans"))
-    found = items.join(hits, "row").select("row", F.col("items"), cover(F.col("spans")).cast("long").alias("n_hit"))
+    found = items.join(hits, "row").select("row", F.col("items"), cover(F.col("spans")).cast("long").alias("n_hit")).join(near, "row", "full")
     ids = F.coalesce(F.array_sort("items"), F.array().cast("array<string>"))
     return index.where(F.col("term") == END).join(small(materialise(found)), "row", "left").select(
         "doc_id", F.col("pos").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size(ids) >= least_items).alias("contaminated"), "row")
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size(ids) >= least_items).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "row")
 
 
 def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:

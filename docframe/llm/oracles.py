@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docframe.llm import decontamination as dc
 from docframe.llm import url_filter as uf
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -30,9 +31,16 @@ pos AS (SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT
 met AS (SELECT rid, i, n, g FROM pos JOIN phrases USING (g, n)),
 hit AS (SELECT rid, count(DISTINCT j) AS n FROM met, unnest(range(i, i + n)) u(j) GROUP BY rid),
 item AS (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM met JOIN win USING (g, n)),
-items AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM item GROUP BY rid)
+items AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM item GROUP BY rid),
+bt AS (SELECT DISTINCT item_id, unnest(w) AS term FROM b),
+need AS (SELECT item_id, count(*) AS k FROM bt GROUP BY item_id),
+place AS (SELECT rid, item_id, j, term FROM (SELECT rid, j, w[j] AS term FROM t, unnest(range(1, len(w) + 1)) u(j)) JOIN bt USING (term)),
+full_set AS (SELECT rid, item_id, k FROM place JOIN need USING (item_id) GROUP BY rid, item_id, k HAVING count(DISTINCT term) = k),
+held AS (SELECT rid, item_id, j, term, k FROM place JOIN full_set USING (rid, item_id)),
+near AS (SELECT DISTINCT x.rid, x.item_id FROM held x JOIN held y ON x.rid = y.rid AND x.item_id = y.item_id AND y.j BETWEEN x.j AND x.j + {dc.WIDTH - 1} GROUP BY x.rid, x.item_id, x.j, x.k HAVING count(DISTINCT y.term) = x.k),
+nears AS (SELECT rid, count(*) AS n FROM near GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items, sha256(coalesce(items.s, '')) AS items_sha256,
- coalesce(items.n, 0) >= 2 AS contaminated FROM t LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)"""
+ coalesce(items.n, 0) >= 2 AS contaminated, coalesce(nears.n, 0)::BIGINT AS n_near FROM t LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid) LEFT JOIN nears USING (rid)"""
 
 OP8 = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(source, '') AS host, source IS NULL AS nohost, {TEXT} AS x, {WORDS.format(TEXT)} AS w FROM documents),

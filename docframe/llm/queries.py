@@ -25,7 +25,7 @@ def of(query, *columns: str):
 QUERIES = {
     "op1_max_plus_sentencepiece": op1_max_plus_sentencepiece,
     "op2_super_kmer_dedup": op2_super_kmer_dedup,
-    "op3_positional_index": of(op3_positional_index, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"),
+    "op3_positional_index": of(op3_positional_index, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"),
     "op4_host_trust": op4_host_trust,
     "op5_weak_supervision_pii": op5_weak_supervision_pii,
     "op6_collection_bwt_dedup": op6_collection_bwt_dedup,
