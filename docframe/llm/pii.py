@@ -26,23 +26,38 @@ BASE = (
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
 NEEDS = ("@", ".", "", "+")
-#: Looser forms: an address spelled out, and a telephone number without its plus.
+#: Looser forms: an address spelled out; an address defanged, or of version 6; a card number parted
+#: by other signs; a telephone number without its plus.
 LOOSE = {
     0: r"[A-Za-z0-9._-]{1,64}\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\[dot\]|\(dot\)|\.)\x20?[A-Za-z]{2,24}){1,3}",
+    1: r"(?<![0-9A-Fa-f:.])(?:[0-9]{1,3}(?:\x20?[\[(](?:\.|dot)[\])]\x20?[0-9]{1,3}){3}(?![0-9])|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:]))",
+    2: r"(?<![0-9._/])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9._/])",
     3: r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
 }
+#: What a text must hold for a looser form to be looked for.
+HINTS = {0: r"[\[(]at[\])]", 1: r"[0-9]\x20?[\[(](?:\.|dot)[\])]|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", 2: r"[0-9]{4}[._/][0-9]{4}[._/]", 3: "[0-9]{3}[\\x20.-][0-9]{4}"}
+DOT = r"\x20?[\[(](?:\.|dot)[\])]\x20?"
 # Words that speak for each kind just before a span, and against any.
 CUES = (
-    r"(?i)(e-?mail|mail|contact|write to|reach)\W*$",
-    r"(?i)(ip|address|host|server|from|login)\W*$",
-    r"(?i)(card|visa|credit|debit|payment|account)\W*$",
-    r"(?i)(tel|phone|call|mobile|cell|fax|contact|whatsapp)\W*$",
+    r"(?i)(e-?mail|mail|contact|write to|reach|address|adresse|correo|kontakt)\W*$",
+    r"(?i)(ip|address|adresse|host|server|from|login|gateway|dns|ping|client)\W*$",
+    r"(?i)(card|carte|karte|tarjeta|visa|mastercard|amex|credit|debit|payment|account)\W*$",
+    r"(?i)(tel|phone|call|mobile|cell|fax|contact|whatsapp|telefon|téléphone|teléfono|handy)\W*$",
 )
-AGAINST = r"(?i)(version|release|order|invoice|isbn|issn|serial|sku|ref|page|section|id|no|total)\W*$"
-DOMAINS = r"(?i)(com|org|net|edu|gov|io|co|de|fr|es|uk|eu|info)$"
+AGAINST = r"(?i)(version|release|build|order|invoice|isbn|issn|doi|serial|sku|ref|page|section|chapter|id|no|total|figure|table|rfc)\W*$"
+# Generic top-level domains; every two letters are a country's.
+DOMAINS = r"(?i)[. )\]](com|org|net|edu|gov|mil|int|info|biz|name|pro|app|dev|cloud|online|site|shop|store|tech|blog|news|xyz|eu|[a-z]{2})$"
+# Networks that no host on the internet has (this, private, loopback, link-local, test, multicast and above).
+RESERVED = r"^(0|10|127|22[4-9]|2[34][0-9]|25[0-5])\.|^169\.254\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^192\.168\.|^192\.0\.[02]\.|^198\.(1[89]|51\.100)\.|^203\.0\.113\."
+# Leading digits that card issuers have, and how many digits their cards have.
+ISSUERS = r"^(4([0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|2(22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}|3[47][0-9]{13}|3(0[0-5]|[68][0-9])[0-9]{11}|6(011|5[0-9]{2}|4[4-9][0-9])[0-9]{12}|35(2[89]|[3-8][0-9])[0-9]{12}|62[0-9]{14,17})$"
+# Country calling codes.
+CALLING = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-689][0-9]|3[578][0-9]|42[0-9]|5[09][0-9]|6[789][0-9]|8[05789][0-9]|9[679][0-9])"
 LABELERS = 5
 ROUNDS = 40
 CONTEXTS = 64
+#: Values that are summed up in one go.
+STRETCH = 128
 #: Least posterior odds (as a logarithm) at which a candidate is added.
 THRESHOLD = 2.2
 
@@ -82,13 +97,33 @@ def plausible(kind: int, match: Column) -> Column:
     if kind == 0:
         return F.lit(True)
     if kind == 1:
-        return F.lit(False)
+        return F.when(match.contains(":"), True).otherwise(match.rlike(DOT) & passes(1, F.regexp_replace(match, DOT, ".")))
     n = F.length(digits(match))
     if kind == 2:
-        return F.when(n == 13, luhn(digits(match))).otherwise(False)
+        return F.when((n == 13) | match.rlike("[._/]"), luhn(digits(match))).otherwise(False)
     return n.between(8, 15)
 
 
+def prefix_sums(values: Column) -> Column:
+    """For each value, the sum of those before it.
+
+    An array grows by copying, so the sums are taken in stretches: of each stretch, then inside.
+    """
+    zero = F.array().cast("array<int>")
+
+    def running(x: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("at"), zero.alias("sums"))
+        return F.aggregate(x, start, lambda a, v: F.struct((a["at"] + v).alias("at"), F.array_append(a["sums"], a["at"]).alias("sums")))["sums"]
+
+    def stretch(i: Column) -> Column:
+        return F.slice(values, i * STRETCH + 1, F.lit(STRETCH))
+
+    numbers = F.sequence(F.lit(0), F.call_function("div", F.size(values) - 1, F.lit(STRETCH)).cast("int"))
+    sums = F.transform(numbers, lambda i: F.aggregate(stretch(i), F.lit(0), lambda a, v: a + v))
+    many = let(let(sums, lambda x: running(x, F.lit(0))), lambda begins: F.flatten(F.transform(numbers, lambda i: running(stretch(i), begins[i]))))
+    return F.when(F.size(values) <= STRETCH, running(values, F.lit(0))).otherwise(many)
+
+
 def located(text: Column, pattern: str, make) -> Column:
     """``make(start, end, match, before, after)`` for every match, offsets in code points.
 
@@ -96,13 +131,8 @@ def located(text: Column, pattern: str, make) -> Column:
     """
 
     def walk(found: Column, pieces: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-
-        def step(a: Column, i: Column) -> Column:
-            begin = a["at"] + F.length(pieces[i])
-            return F.struct((begin + F.length(found[i])).alias("at"), F.array_append(a["starts"], begin).alias("starts"))
-
-        starts = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["starts"]
+        begins = let(F.transform(found, lambda m, i: F.length(pieces[i]) + F.length(m)), prefix_sums)
+        starts = F.transform(begins, lambda b, i: b + F.length(pieces[i]))
         return F.transform(starts, lambda s, i: make(s, s + F.length(found[i]), found[i], F.right(pieces[i], F.lit(24)), F.left(pieces[i + 1], F.lit(2))))
 
     def split(found: Column) -> Column:
@@ -120,17 +150,21 @@ def votes(kind: int, match: Column, before: Column, after: Column) -> Column:
     nothing = F.lit(False)
     shape = (
         vote(match.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}$"), match.rlike(r"\.\.|^[.%+-]")),
-        vote(match.rlike(r"^[1-9][0-9]{0,2}(\.(0|[1-9][0-9]{0,2})){3}$"), match.rlike(r"(^|\.)0[0-9]|[0-9]{4}")),
+        vote(match.rlike(r"^[1-9][0-9]{0,2}(\.(0|[1-9][0-9]{0,2})){3}$|:"), match.rlike(r"(^|\.)0[0-9]|[0-9]{4}")),
         vote(match.rlike(r"^([0-9]{15,16}|[0-9]{4}([\x20-][0-9]{4}){3})$"), match.rlike(r"\x20.*-|-.*\x20")),
         vote(match.rlike(r"^(\+[0-9]{1,3}[\x20-])?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-]?[0-9]{3,6}$"), match.rlike(r"[().-]{3}")),
     )[kind]
-    test = passes(kind, match)
+    if kind == 1:
+        match = F.regexp_replace(match, DOT, ".")
+    elif kind == 2:
+        match = F.regexp_replace(match, "[._/]", "-")
+    test = passes(kind, match) | match.contains(":") if kind == 1 else passes(kind, match)
     check = (vote(nothing, nothing), vote(test, ~test), vote(test, ~test), vote(test, ~test))[kind]
     gazetteer = (
         vote(match.rlike(DOMAINS), match.rlike(r"[0-9]$")),
-        vote(nothing, match.rlike(r"^(0|127|255)\.")),
-        vote(match.rlike(r"^[3-6]"), match.rlike(r"^[07-9]")),
-        vote(match.rlike(r"^\+(1|33|34|44|49)[^0-9]|555"), match.rlike(r"^\+?0{2}")),
+        vote(~match.rlike(RESERVED), match.rlike(r"^(0|127|255)\.")),
+        vote(digits(match).rlike(ISSUERS), match.rlike(r"^[07-9]")),
+        vote(match.rlike(CALLING) | match.rlike(r"555"), match.rlike(r"^\+?0{2}")),
     )[kind]
     context = vote(before.rlike(CUES[kind]), before.rlike(AGAINST))
     edge = vote((before == "") | before.rlike(r"[\s(\"'<:,]$"), before.rlike(r"[\p{L}\p{N}#/=_]$") | after.rlike(r"^[\p{L}\p{N}/=_]|^[.-][0-9]"))
@@ -159,7 +193,7 @@ def spans_of(text: Column) -> Column:
         present = F.contains(text, F.lit(NEEDS[kind])) & (digit if kind else F.lit(True))
         found.append(F.when(present, located(text, pattern, maker(kind, False))))
     for kind, pattern in LOOSE.items():
-        found.append(F.when(digit if kind else text.rlike(r"[\[(]at[\])]"), located(text, pattern, maker(kind, True))))
+        found.append(F.when(text.rlike(HINTS[kind]), located(text, pattern, maker(kind, True))))
     none = F.array().cast(SPANS)
     every = F.concat(*(F.coalesce(x, none) for x in found))
 
@@ -239,7 +273,9 @@ def detect(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Base and added spans per document.
 
     A null text is empty; null ids and repeated rows are kept as they are; an empty table
-    gives no rows and trains nothing.
+    gives no rows and trains nothing; spans that start together are listed by kind; other columns
+    are left out, whatever their names; texts may be of any length that a row can hold.
+    ``n_spans`` counts all spans, ``n_added`` those beyond the base ones.
     """
     found = df.select("doc_id", spans_of(F.coalesce(F.col("text"), F.lit(""))).alias("s"))
     spans = materialise(found.select("doc_id", "s.base", "s.spare"))
@@ -253,7 +289,8 @@ def detect(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
 
     return spans.withColumn("added", added).select("doc_id", *(count(k) for k in range(len(KINDS))), F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
-                                                   joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+                                                   joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"),
+                                                   (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
 def redact(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
