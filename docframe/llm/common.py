@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docframe.llm import rolling
+
 #: White space that separates words: space and the five ASCII controls from tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
@@ -38,6 +43,19 @@ def modest_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(value))
 
 
+def release(result=None):
+    """``result``, after giving back to the system what a Python worker has freed.
+
+    Workers live on from stage to stage, next to others; the end of a partition or of a group is
+    where their memory is let go.
+    """
+    rolling.forget()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+    return result
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 

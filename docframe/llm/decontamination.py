@@ -114,9 +114,11 @@ def proximity_matches(index: DataFrame, benchmark: DataFrame, counts: DataFrame,
     return postings.withColumn("seen", F.size(F.collect_set("term").over(ahead))).where("seen = needed").select("row", "item_id", F.col("pos").alias("start"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, least_items: int = 2) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, least_items: int = 2, width: int | None = WIDTH) -> DataFrame:
     """Words hit and items found per document; ``n_near`` items have a proximity match.
 
+    Without ``width``, proximity is not looked at and ``n_near`` is null.
+
     A document is contaminated if windows of at least ``least_items`` items occur in it.  Null
     and empty texts have no words; null ids are ids like any other; repeated rows get equal
     results; an empty benchmark hits nothing.  A document with a null ``item_id`` among its
@@ -128,7 +130,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, least
     index = index_of(docs, phrases.terms)
     counts = lengths(index)
     matches = materialise(exact_matches(index, phrases, counts))
-    near = proximity_matches(index, benchmark, counts).groupBy("row").agg(F.count_distinct("item_id").alias("n_near"))
+    near = None if width is None else proximity_matches(index, benchmark, counts, width).groupBy("row").agg(F.count_distinct("item_id").alias("n_near"))
     items = matches.select("row", "wid").distinct().join(small(phrases.items), "wid").groupBy("row").agg(
         F.collect_set(F.col("item_id").cast("string")).alias("items"))
 
@@ -139,11 +141,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, least
             F.greatest(a["end"], s["start"] + s["n"]).alias("end")))["hit"]
 
     hits = matches.select("row", "start", "n").distinct().groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("spans"))
-    found = items.join(hits, "row").select("row", F.col("items"), cover(F.col("spans")).cast("long").alias("n_hit")).join(near, "row", "full")
+    found = items.join(hits, "row").select("row", F.col("items"), cover(F.col("spans")).cast("long").alias("n_hit"))
+    found = found.withColumn("n_near", F.lit(None).cast("long")) if near is None else found.join(near.select("row", "n_near"), "row", "full")
     ids = F.coalesce(F.array_sort("items"), F.array().cast("array<string>"))
     return index.where(F.col("term") == END).join(small(materialise(found)), "row", "left").select(
         "doc_id", F.col("pos").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size(ids) >= least_items).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "row")
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size(ids) >= least_items).alias("contaminated"), (F.coalesce("n_near", F.lit(0)) if near is not None else F.col("n_near")).cast("long").alias("n_near"), "row")
 
 
 def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:

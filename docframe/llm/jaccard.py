@@ -27,16 +27,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm.common import discard, documents, materialise, modest_batches
+from docframe.llm.common import discard, documents, materialise, modest_batches, release
 from docframe.llm.rolling import gram_hash, mix, prefix_hash, span_hash
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 GROUPS = 64
 FANOUT = 16
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 #: Members of a list that are compared in one task, and shingles of their sets.
-BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 19
 #: Set sizes of a band span at most this ratio, so linked sets are in one band or in neighbours.
 BAND = 1.34
 #: Classes with one hash in a piece of the input that are passed on at once, not gathered.
@@ -45,7 +45,7 @@ CROWD = 64
 BROADCAST_ROWS, BROADCAST_KEYS = 20_000, 500_000
 NEAREST = 3
 #: Rows of lists that one call handles, about; shingles of sets that one call verifies.
-LIST_ROWS, CALL_SHINGLES = 4096, 1 << 21
+LIST_ROWS, CALL_SHINGLES = 4096, 1 << 20
 #: Pairs that are bounded at once.
 PAIRS = 1 << 18
 #: Hashes of so many classes in a piece of the input are reported as common, and at most
@@ -172,6 +172,7 @@ def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = {"doc_id": batch.column("doc_id").to_pylist() + [None] * len(often), "row": batch.column("row").to_pylist() + count.tolist(), "n": np.append(np.diff(offsets), np.full(len(often), -1)),
                    "c": np.append(c, often), "point": point + [None] * len(often)}
         yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in columns.items()], names=list(columns))
+    release()
 
 
 # -- which classes share a prefix hash ---------------------------------------------------------
@@ -219,6 +220,7 @@ def postings(batches: Iterator[pa.RecordBatch], buckets: int, common: np.ndarray
             keys.append(int(ranked[a]))
             payloads.append(pack(ph[order[a:b]], pc[order[a:b]]))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(payloads, pa.binary())], names=["key", "payload"])
+    release()
 
 
 def shared(table: pa.Table) -> pa.Table:
@@ -443,6 +445,7 @@ def sets_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
         for batch, found in pieces(batches):
             h, offsets = shingle_sets(found)
             yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array([h[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())], names=["c", "hashes"])
+        release()
 
     wanted = materialise(classes.select("c", "row").distinct())
     found = texts.select("row", "text").join(small(wanted, BROADCAST_KEYS), "row").select("c", "text").mapInArrow(make, "c long, hashes binary")
@@ -484,7 +487,7 @@ def closer(lists: DataFrame, kinds: DataFrame, texts: DataFrame, edges: DataFram
     members = materialise(named.join(small(materialise(open_lists)), "h"))
     met = cells_of(members).join(kinds.select("c", "point"), "c")
     tasks = max(1, members.count() // LIST_ROWS)
-    pairs = met.groupBy(F.pmod(F.xxhash64("cell"), F.lit(tasks)).alias("task")).applyInArrow(lambda t: near_pairs(t, nearest), "a long, b long, cell long")
+    pairs = met.groupBy(F.pmod(F.xxhash64("cell"), F.lit(tasks)).alias("task")).applyInArrow(lambda t: release(near_pairs(t, nearest)), "a long, b long, cell long")
     pairs = materialise(pairs.groupBy("a", "b").agg(F.min("cell").alias("cell")))
     discard(named, members)
     ends = materialise(pairs.select("cell", F.col("a").alias("c")).union(pairs.select("cell", "b")).distinct().join(kinds.select("c", "n", "row"), "c"))
@@ -492,7 +495,7 @@ def closer(lists: DataFrame, kinds: DataFrame, texts: DataFrame, edges: DataFram
     sets = sets_of(texts, ends)
     task = F.pmod(F.xxhash64("cell"), F.lit(calls)).alias("task")
     there = ends.join(sets, "c").select(task, "c", "hashes").groupBy("task")
-    out = materialise(edges.union(there.cogroup(pairs.select(task, "a", "b").groupBy("task")).applyInArrow(settled, "a long, b long")))
+    out = materialise(edges.union(there.cogroup(pairs.select(task, "a", "b").groupBy("task")).applyInArrow(lambda m, p: release(settled(m, p)), "a long, b long")))
     discard(pairs, ends, sets, edges)
     return out
 
@@ -510,7 +513,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     buckets = max(8, size // (8 << 20))
     sent = texts.select("text").mapInArrow(lambda b: postings(b, buckets, common), "key long, payload binary")
-    every = sent.groupBy("key").applyInArrow(shared, "h long, c long").distinct()
+    every = sent.groupBy("key").applyInArrow(lambda t: release(shared(t)), "h long, c long").distinct()
     every = materialise(every.join(small(kinds.select("c", "n")), "c"))
     # Lists of much the same members (two least hashes of them, and the size's order) become one list
     # of all their members, so that a pair is looked at once and not under each hash it shares.
@@ -532,7 +535,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = sets_of(texts, close)
     tasks = max(1, (close.agg(F.sum("n")).first()[0] or 0) // CALL_SHINGLES)
     met = dealt.join(sets, "c").groupBy(F.pmod(F.xxhash64("h", "block"), F.lit(tasks)).alias("task"))
-    edges = materialise(met.applyInArrow(clustered, "a long, b long").distinct())
+    edges = materialise(met.applyInArrow(lambda t: release(clustered(t)), "a long, b long").distinct())
     discard(close, sets)
     edges = closer(lists, kinds, texts, edges, NEAREST, 1)
     edges = closer(lists, kinds, texts, edges, None, 2 * FANOUT)

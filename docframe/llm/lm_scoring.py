@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm.common import discard, documents, materialise, modest_batches
+from docframe.llm.common import discard, documents, materialise, modest_batches, release
 from docframe.llm.rolling import prefix_hash, span_hash
 
 LEAST_BUCKETS, MOST_BUCKETS = 1 << 10, 1 << 15
@@ -225,6 +225,7 @@ def trained(batches: Iterator[pa.RecordBatch], flat: np.ndarray, tables: Tables,
     columns = [pa.array(range(len(values)), pa.int32()), pa.array([context.partitionId() if context else 0] * len(values), pa.int32()),
                pa.array([float(seen)] * len(values)), pa.array(values, pa.binary())]
     yield pa.RecordBatch.from_arrays(columns, names=["block", "part", "weight", "payload"])
+    release()
 
 
 def mean(table: pa.Table) -> pa.Table:
@@ -274,6 +275,7 @@ def scored(batches: Iterator[pa.RecordBatch], flat: np.ndarray, tables: Tables)
         sums = np.where(count > 0, total[offsets[1:]] - total[offsets[:-1]], 0.0)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count), pa.array(sums), pa.array(sums / np.maximum(count, 1))],
                                          names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
+    release()
 
 
 def fit(docs: DataFrame) -> tuple[np.ndarray, Tables]:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import modest_batches
+from docframe.llm.common import modest_batches, release
 from docframe.llm.rolling import mix, super_runs
 
 GROUP_BYTES = 4 << 20
@@ -301,8 +301,8 @@ def repeats(docs: DataFrame, rule: Rule) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     row = F.xxhash64("doc_id", text)
     dealt = docs.select("doc_id", text.alias("text"), row.alias("row"), F.pmod(F.hash(row, F.spark_partition_id()), F.lit(groups)).cast("int").alias("g")).repartition(parts, "g")
-    asked = dealt.groupBy("g").applyInArrow(lambda t: offered(t, rule, buckets), MESSAGE)
-    shared = asked.groupBy("key").applyInArrow(lambda t: answered(t, rule), MESSAGE)
-    sent = dealt.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(lambda t, a: shipped(t, a, rule, buckets), MESSAGE)
-    found = sent.groupBy("key").applyInArrow(lambda t: compared(t, rule), MESSAGE)
-    return dealt.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(lambda t, a: removed(t, a, rule), OUTPUT)
+    asked = dealt.groupBy("g").applyInArrow(lambda t: release(offered(t, rule, buckets)), MESSAGE)
+    shared = asked.groupBy("key").applyInArrow(lambda t: release(answered(t, rule)), MESSAGE)
+    sent = dealt.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(lambda t, a: release(shipped(t, a, rule, buckets)), MESSAGE)
+    found = sent.groupBy("key").applyInArrow(lambda t: release(compared(t, rule)), MESSAGE)
+    return dealt.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(lambda t, a: release(removed(t, a, rule)), OUTPUT)

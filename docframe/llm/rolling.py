@@ -16,7 +16,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
     if not _powers or len(_powers["up"]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = max(1, -(-n // (1 << 16))) << 16
         for name, factor in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
             steps = np.full(size, factor, dtype=np.uint64)
             steps[0] = 1
@@ -24,6 +24,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def forget() -> None:
+    """Drop the powers; they are found again when needed."""
+    _powers.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of 64-bit keys over the whole word."""
     x = x ^ (x >> np.uint64(30))

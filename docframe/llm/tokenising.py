@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm.common import documents, materialise, modest_batches
-from docframe.llm.pieces import MARK, NEVER, Vocabulary, times
+from docframe.llm.common import documents, materialise, modest_batches, release
+from docframe.llm.pieces import MARK, MEMORY, NEVER, Vocabulary, times
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters to a chunk, and so the longest text that is encoded in one go.
@@ -31,8 +31,9 @@ FAN = 64
 
 
 @functools.lru_cache(maxsize=1)
-def vocabulary(model: bytes) -> Vocabulary:
-    return Vocabulary(model)
+def vocabulary(model: bytes, memory: int = MEMORY) -> Vocabulary:
+    """The model's vocabulary, which remembers about ``memory`` bytes of words in a generation, and pairs in proportion."""
+    return Vocabulary(model, memory=memory, many=memory // 100)
 
 
 def lists(parts: list[bytes]) -> pa.ListArray:
@@ -54,15 +55,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             yield batch.slice(at)
 
 
-def whole_texts(batches: Iterator[pa.RecordBatch], model: bytes, back: bool) -> Iterator[pa.RecordBatch]:
+def whole_texts(batches: Iterator[pa.RecordBatch], model: bytes, back: bool, memory: int = MEMORY) -> Iterator[pa.RecordBatch]:
     """Encode texts of one chunk; with ``back``, decode the numbers in the same pass."""
-    v = vocabulary(model)
+    v = vocabulary(model, memory)
     for batch in slices(batches, "text"):
         done = [v.encode(t) for t in batch.column("text").to_pylist()]
         columns = {"doc_key": batch.column("doc_key"), "ids": lists(done)}
         if back:
             columns["decoded"] = pa.array([v.decode(np.frombuffer(x, "<i4")).decode("utf-8", "replace") for x in done], pa.string())
         yield pa.RecordBatch.from_pydict(columns)
+    v.forget()  # a worker lives on after its partition, for other work
+    release()
 
 
 def matrices(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
@@ -135,6 +138,8 @@ def traced(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.Recor
             enter = v.states(r["text"], r["begin"])[r["enter"]] if r["begin"] else (0, 0)
             done.append(v.backtrace(r["text"], r["begin"], r["end"], enter, v.states(r["text"], r["end"])[r["leave"]]))
         yield pa.RecordBatch.from_arrays([batch.column("doc_key"), batch.column("chunk"), lists(done)], names=["doc_key", "chunk", "ids"])
+    v.forget()
+    release()
 
 
 def read_model(path: str) -> bytes:
@@ -207,10 +212,12 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     return encoded.mapInArrow(lambda b: decoded(b, model), "doc_key binary, ids array<int>, decoded string")
 
 
-def with_tokens(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+def with_tokens(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK, memory: int = MEMORY) -> DataFrame:
     """Encode and decode documents: ``doc_id, n_tokens, ids, decoded_sha256``.
 
-    Null texts have no pieces; null ids and repeated rows are kept; an empty table gives no rows.
+    Null texts have no pieces; null ids and repeated rows are kept; an empty table gives no rows;
+    other columns are left out, whatever their names; texts may be of any length that a row can
+    hold.  A worker remembers up to two generations of about ``memory`` bytes of words.
     """
     modest_batches(docs.sparkSession)
     # The key carries doc_id through; equal rows are told apart, so that no two giant texts meet.
@@ -218,7 +225,7 @@ def with_tokens(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) ->
     keyed = docs.select(key.alias("doc_key"), "text")
     short, giant = split_by_length(keyed, chunk)
     model = read_model(model_path)
-    both = short.mapInArrow(lambda b: whole_texts(b, model, True), "doc_key binary, ids array<int>, decoded string")
+    both = short.mapInArrow(lambda b: whole_texts(b, model, True, memory), "doc_key binary, ids array<int>, decoded string")
     out = both.union(decode(encode_giant(giant, model, chunk), model_path))
     name = F.split_part(F.decode("doc_key", "UTF-8"), F.lit(":"), F.lit(1))
     return out.select(F.when(name != "null", name.cast("long")).alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
