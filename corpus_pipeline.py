@@ -1,8 +1,10 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination, personal data, tokens.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept.  All but
-the last return the columns of ``docs``.  Rows are told apart by a hash of ``doc_id`` and text,
-so stages need no unique or non-null ids.
+the last return the columns of ``docs``, whatever these are called.  Rows are told apart by a 64-bit
+hash of ``doc_id`` and text, so stages need no unique or non-null ids; rows equal in both share
+every verdict.  Null and empty texts have no words; texts may be of any length that a row can
+hold; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -13,7 +15,20 @@ from pyspark.sql import functions as F
 from docframe.llm import decontamination, jaccard, pii, quality, tokenising
 from docframe.llm.common import materialise
 
-ROW = "_row_of_stage"
+#: Bytes of words that a worker remembers while encoding; a stage shares its executor with those before.
+MEMORY = 32 << 20
+
+
+def free_name(docs: DataFrame) -> str:
+    """A name for the row's key that no column of ``docs`` has, in any case."""
+    name, taken = "_row_of_stage", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def with_key(docs: DataFrame, key: str) -> DataFrame:
+    return docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
 
 
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -21,20 +36,24 @@ def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     The keys are sent to all executors while they are few; beyond, both sides are shuffled.
     """
-    keyed = docs.withColumn(ROW, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    gone = decontamination.small(materialise(rows.select(F.col("row").alias(ROW)).distinct()))
-    return keyed.join(gone, ROW, "left_anti").select(*docs.columns)
+    key = free_name(docs)
+    gone = decontamination.small(materialise(rows.select(F.col("row").alias(key)).distinct()))
+    return with_key(docs, key).join(gone, key, "left_anti").select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that fail the base rules or whose host fails too often."""
+    """Drop documents that fail the base rules or whose host fails too often.
+
+    Documents without words fail; a null source is a host of its own.
+    """
     return without(docs, quality.judge(docs).where(~F.col("kept")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group: the least id, and of equal ids the least key.
 
-    Documents without words belong to no group and stay; of equal rows one stays.
+    Documents without words belong to no group and stay; of equal rows one stays; a null id comes
+    after all others.
     """
     found = materialise(jaccard.linked_components(docs).where(F.col("n_shingles") > 0))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
@@ -44,25 +63,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = materialise(found.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row"))
     if not again.take(1):
         return rest
-    keyed = rest.withColumn(ROW, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    twice = keyed.join(again.select(F.col("row").alias(ROW)), ROW, "left_semi").dropDuplicates([ROW])
-    return keyed.join(again.select(F.col("row").alias(ROW)), ROW, "left_anti").select(*docs.columns).union(twice.select(*docs.columns))
+    key = free_name(docs)
+    keyed, twice = with_key(rest, key), again.select(F.col("row").alias(key))
+    once = keyed.join(twice, key, "left_semi").dropDuplicates([key])
+    return keyed.join(twice, key, "left_anti").select(*docs.columns).union(once.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which windows of at least two benchmark items occur."""
+    """Drop documents in which windows of at least two benchmark items occur; an empty benchmark drops none."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return without(docs, decontamination.contamination(docs, benchmark).where("contaminated"))
+    return without(docs, decontamination.contamination(docs, benchmark, width=None).where("contaminated"))
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data in the texts by its kind."""
+    """Replace personal data in the texts by its kind; null texts stay null."""
     return pii.redact(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece numbers of every text that is left, and a digest of their decoding."""
-    return tokenising.with_tokens(docs)
+    """Piece numbers of every text that is left, and a digest of their decoding; null texts have no pieces."""
+    return tokenising.with_tokens(docs, memory=MEMORY)
 
 
 STAGES = [
