@@ -75,10 +75,6 @@ class Vocabulary:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def forget(self) -> None:
-        """Drop what was remembered; it is found again when needed."""
-        self.pairs, self.units, self.words, self.older, self.held = {}, {}, {}, {}, 0
-
     def merged(self, text: str) -> list[str]:
         """The model's segmentation of a short text: merge the best pair, the leftmost of equals."""
         parts = list(text)

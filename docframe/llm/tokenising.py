@@ -55,7 +55,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             yield batch.slice(at)
 
 
-def whole_texts(batches: Iterator[pa.RecordBatch], model: bytes, back: bool, memory: int = MEMORY) -> Iterator[pa.RecordBatch]:
+def whole_texts(batches: Iterator[pa.RecordBatch], model: bytes, back: bool, memory: int) -> Iterator[pa.RecordBatch]:
     """Encode texts of one chunk; with ``back``, decode the numbers in the same pass."""
     v = vocabulary(model, memory)
     for batch in slices(batches, "text"):
@@ -64,13 +64,12 @@ def whole_texts(batches: Iterator[pa.RecordBatch], model: bytes, back: bool, mem
         if back:
             columns["decoded"] = pa.array([v.decode(np.frombuffer(x, "<i4")).decode("utf-8", "replace") for x in done], pa.string())
         yield pa.RecordBatch.from_pydict(columns)
-    v.forget()  # a worker lives on after its partition, for other work
     release()
 
 
-def matrices(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
+def matrices(batches: Iterator[pa.RecordBatch], model: bytes, memory: int) -> Iterator[pa.RecordBatch]:
     """Per chunk of a giant text: its states at both ends and its matrix."""
-    v = vocabulary(model)
+    v = vocabulary(model, memory)
     for batch in batches:
         out = []
         for r in batch.to_pylist():
@@ -129,8 +128,8 @@ def parted(table: pa.Table, above: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, schema=ENDS)
 
 
-def traced(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
-    v = vocabulary(model)
+def traced(batches: Iterator[pa.RecordBatch], model: bytes, memory: int) -> Iterator[pa.RecordBatch]:
+    v = vocabulary(model, memory)
     for batch in batches:
         rows = batch.to_pylist()
         done = []
@@ -138,7 +137,6 @@ def traced(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.Recor
             enter = v.states(r["text"], r["begin"])[r["enter"]] if r["begin"] else (0, 0)
             done.append(v.backtrace(r["text"], r["begin"], r["end"], enter, v.states(r["text"], r["end"])[r["leave"]]))
         yield pa.RecordBatch.from_arrays([batch.column("doc_key"), batch.column("chunk"), lists(done)], names=["doc_key", "chunk", "ids"])
-    v.forget()
     release()
 
 
@@ -155,7 +153,7 @@ def split_by_length(docs: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
     return texts.where(F.length("text") <= chunk), texts.where(F.length("text") > chunk)
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK, memory: int = MEMORY) -> DataFrame:
     """``doc_key, ids``: the model's piece numbers of every text.
 
     ``docs`` has ``doc_key`` (binary) and ``text``.  A null or empty text has no pieces; keys
@@ -163,10 +161,10 @@ def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) -> Data
     """
     short, giant = split_by_length(docs, chunk)
     model = read_model(model_path)
-    return short.mapInArrow(lambda b: whole_texts(b, model, False), "doc_key binary, ids array<int>").union(encode_giant(giant, model, chunk))
+    return short.mapInArrow(lambda b: whole_texts(b, model, False, memory), "doc_key binary, ids array<int>").union(encode_giant(giant, model, chunk, memory))
 
 
-def encode_giant(giant: DataFrame, model: bytes, chunk: int) -> DataFrame:
+def encode_giant(giant: DataFrame, model: bytes, chunk: int, memory: int) -> DataFrame:
     """The parallel scan: chunks, their matrices, a tree of products up and down, the traces.
 
     The giant texts are written first, as their keys must not change if a task runs again.
@@ -182,7 +180,7 @@ def encode_giant(giant: DataFrame, model: bytes, chunk: int) -> DataFrame:
     left = F.greatest(F.lit(0), begin - MARGIN)
     parts = parts.select("doc_key", "chunk", F.substring("text", left + 1, end + MARGIN - left).alias("text"), (begin - left).cast("int").alias("begin"), (end - left).cast("int").alias("end"))
     parts = parts.repartition(int(giant.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_key", "chunk")
-    found = parts.mapInArrow(lambda b: matrices(b, model), "doc_key binary, chunk int, rows int, matrix binary")
+    found = parts.mapInArrow(lambda b: matrices(b, model, memory), "doc_key binary, chunk int, rows int, matrix binary")
     levels, nodes, fan = [materialise(found)], -(-longest // chunk), FAN
     group = F.floor(F.col("chunk") / fan).cast("int").alias("group")
     while nodes > 1:
@@ -192,13 +190,13 @@ def encode_giant(giant: DataFrame, model: bytes, chunk: int) -> DataFrame:
     while levels:
         below = levels.pop().groupBy("doc_key", group)
         fixed = below.cogroup(fixed.groupBy("doc_key", F.col("chunk").alias("group"))).applyInArrow(parted, "doc_key binary, chunk int, enter int, leave int")
-    pieces = parts.join(fixed, ["doc_key", "chunk"]).select("doc_key", "chunk", "text", "begin", "end", "enter", "leave").mapInArrow(lambda b: traced(b, model), "doc_key binary, chunk int, ids array<int>")
+    pieces = parts.join(fixed, ["doc_key", "chunk"]).select("doc_key", "chunk", "text", "begin", "end", "enter", "leave").mapInArrow(lambda b: traced(b, model, memory), "doc_key binary, chunk int, ids array<int>")
     joined = pieces.groupBy("doc_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
     return joined
 
 
-def decoded(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
-    v = vocabulary(model)
+def decoded(batches: Iterator[pa.RecordBatch], model: bytes, memory: int) -> Iterator[pa.RecordBatch]:
+    v = vocabulary(model, memory)
     for batch in batches:
         ids = batch.column("ids")
         flat, offsets = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
@@ -206,10 +204,10 @@ def decoded(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column("doc_key"), ids, pa.array(texts, pa.string())], names=["doc_key", "ids", "decoded"])
 
 
-def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
+def decode(encoded: DataFrame, model_path: str = MODEL, memory: int = MEMORY) -> DataFrame:
     """Add ``decoded``, the text of every row's ``ids``."""
     model = read_model(model_path)
-    return encoded.mapInArrow(lambda b: decoded(b, model), "doc_key binary, ids array<int>, decoded string")
+    return encoded.mapInArrow(lambda b: decoded(b, model, memory), "doc_key binary, ids array<int>, decoded string")
 
 
 def with_tokens(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK, memory: int = MEMORY) -> DataFrame:
@@ -226,7 +224,7 @@ def with_tokens(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK, me
     short, giant = split_by_length(keyed, chunk)
     model = read_model(model_path)
     both = short.mapInArrow(lambda b: whole_texts(b, model, True, memory), "doc_key binary, ids array<int>, decoded string")
-    out = both.union(decode(encode_giant(giant, model, chunk), model_path))
+    out = both.union(decode(encode_giant(giant, model, chunk, memory), model_path, memory))
     name = F.split_part(F.decode("doc_key", "UTF-8"), F.lit(":"), F.lit(1))
     return out.select(F.when(name != "null", name.cast("long")).alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
