@@ -16,7 +16,7 @@ from docframe.llm import decontamination, jaccard, pii, quality, tokenising
 from docframe.llm.common import materialise
 
 #: Bytes of words that a worker remembers while encoding; a stage shares its executor with those before.
-MEMORY = 32 << 20
+MEMORY = 12 << 20
 
 
 def free_name(docs: DataFrame) -> str:
