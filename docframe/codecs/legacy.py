@@ -71,7 +71,10 @@ def parse_payload(payload: bytes, codec: str) -> tuple[str, str, dict | None]:
 
 
 def import_files(spark: SparkSession, path: str) -> DataFrame:
-    """Operations ``file, seq, op, collection, _id, json`` of all files that ``path`` matches."""
+    """Operations ``file, seq, op, collection, _id, json`` of all files that ``path`` matches.
+
+    ``op`` is ``put``, ``del`` or, for a dropped collection, ``dro``.
+    """
 
     def read(batches):
         for batch in batches:
@@ -84,6 +87,8 @@ def import_files(spark: SparkSession, path: str) -> DataFrame:
                 for seq, (op, payload) in enumerate(committed(records(data))):
                     if op not in OPERATIONS:
                         raise DocframeError(f"Unknown operation identifier {op}.")
+                    if op == "dco1":  # documents of the collection so far are gone
+                        out.append((name, seq, "dro", payload[:4].hex(), None, None))
                     if op in ("put1", "del1"):
                         collection, key, document = parse_payload(payload, codec)
                         out.append((name, seq, op[:3], collection, key, None if document is None else json.dumps(document)))

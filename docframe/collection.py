@@ -138,9 +138,12 @@ class Collection:
             raise
         return name
 
-    def _commit(self, name: str, count: int) -> None:
+    def _commit(self, name: str, count: int, source: tuple[str, int] | None = None) -> None:
         def add(m):
-            m.collections[self.name]["files"].append(name)
+            entry = m.collections[self.name]
+            entry["files"].append(name)
+            if source:
+                entry.setdefault("sources", {})[source[0]] = source[1]
             m.next_seq += count
 
         self._db.commit(add)
@@ -152,14 +155,18 @@ class Collection:
                 continue
             batch = self._db.spark.read.schema(LOG).parquet(self._db.folder.uri(name)).where("op = 'put'")
             key = index_key(index)
-            mine = batch.select(F.col("_id").alias("me"), key.alias("key")).where("key IS NOT NULL")
+            mine = batch.select("_seq", F.col("_id").alias("me"), key.alias("key")).where("key IS NOT NULL")
             theirs = self.live().select("_id", key.alias("key"))
             clash = mine.join(theirs, "key").where("me != _id").select("key", "me", "_id").limit(1).collect()
-            twice = mine.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("me").alias("me"), F.max("me").alias("_id")).where("n > 1").limit(1).collect()
+            twice = mine.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("me", "_seq").alias("me"), F.max_by("me", "_seq").alias("_id")).where("n > 1").limit(1).collect()
             if clash or twice:
                 r = (clash or twice)[0]
                 self._db.folder.delete(name)
-                raise DocframeError(f'Cannot write document "{r["me"]}": unique index on "{index["name"]}" already has the value of document "{r["_id"]}".')
+                value = json.dumps(r["key"]) if index["type"] == "string" else r["key"]
+                # The texts of the two conflicts.
+                if clash:
+                    raise DocframeError(f'Cannot write document "{r["me"]}": value {value} for unique index "{index["name"]}" is already used by document "{r["_id"]}".')
+                raise DocframeError(f'Cannot write documents "{r["me"]}" and "{r["_id"]}": both use value {value} for unique index "{index["name"]}".')
 
     def _append(self, rows: DataFrame, count: int = 1) -> int:
         """Write, check and commit a batch; the number of its operations."""
@@ -198,17 +205,38 @@ class Collection:
             self._append(self._rows(ready, self._db.manifest.next_seq), len(ready))
         return {"acknowledged": True, "insertedCount": len(ready), "insertedIds": [d["_id"] for d in ready]}
 
-    def insert_frame(self, df: DataFrame, doc_column: str = "doc") -> int:
-        """Insert a distributed table of documents (a VARIANT or JSON string column) without collecting it."""
+    def insert_frame(self, df: DataFrame, doc_column: str = "doc", source: tuple[str, int] | None = None) -> int:
+        """Insert a distributed table of documents (a VARIANT or JSON string column) without collecting it.
+
+        A document keeps its ``_id`` if it has one; ids must be new and differ.  ``source`` names a
+        feed and the number of its batch: a batch that was committed before is not inserted again.
+        """
         self._check()
+        if source and self._entry().get("sources", {}).get(source[0], -1) >= source[1]:
+            return 0
         base = self._db.manifest.next_seq
         doc = F.col(doc_column) if dict(df.dtypes)[doc_column] == "variant" else F.parse_json(doc_column)
         seq = F.lit(base) + F.monotonically_increasing_id()
-        key = F.substring(F.sha2(F.concat_ws(":", F.lit(uuid.uuid4().hex), seq), 256), 1, 24)
-        rows = df.select(seq.alias("_seq"), key.alias("_id"), doc.alias("d"))
+        made = F.substring(F.sha2(F.concat_ws(":", F.lit(uuid.uuid4().hex), seq), 256), 1, 24)
+        rows = df.select(seq.alias("_seq"), made.alias("made"), doc.alias("d")).withColumn("given", F.variant_get("d", "$._id", "string"))
+        wrong = F.raise_error(F.concat(F.lit('Invalid _id "'), F.col("given"), F.lit('".'))).cast("string")
+        key = F.when(F.col("given").isNull(), F.col("made")).when(F.col("given").rlike("^[0-9a-fA-F]{24}$"), F.lower("given")).otherwise(wrong)
+        rows = rows.withColumn("_id", key)
         fields = F.map_concat(F.map_filter(F.col("d").cast("map<string,variant>"), lambda k, _: k != "_id"), F.create_map(F.lit("_id"), F.col("_id").cast("variant")))
-        rows = rows.select("_seq", F.col("_seq").alias("_first"), "_id", F.lit("put").alias("op"), F.to_variant_object(fields).alias("doc"))
-        return self._append(rows, 1 << 50)
+        name = self._write(rows.select("_seq", F.col("_seq").alias("_first"), "_id", F.lit("put").alias("op"), F.to_variant_object(fields).alias("doc")))
+        batch = self._db.spark.read.schema(LOG).parquet(self._db.folder.uri(name))
+        twice = batch.groupBy("_id").count().where("count > 1").select("_id").limit(1).collect()
+        known = twice or (batch.select("_id").join(self.live().select("_id"), "_id", "left_semi").limit(1).collect() if self._entry()["files"] else [])
+        if known:
+            self._db.folder.delete(name)
+            raise DocframeError(f'Cannot insert document: duplicate _id "{known[0][0]}".' if not twice else f'Cannot insert documents: duplicate _id "{known[0][0]}" in batch.')
+        self._unique(name)
+        written = batch.agg(F.count(F.lit(1)).alias("n"), F.max("_seq").alias("last")).first()
+        if not written["n"]:
+            self._db.folder.delete(name)
+            return 0
+        self._commit(name, written["last"] - base + 1, source)
+        return written["n"]
 
     def _changed(self, rows: DataFrame, doc: Column | None) -> DataFrame:
         seq = F.lit(self._db.manifest.next_seq)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docframe.codecs import frames as codecs
 from docframe.database import open_db
+from docframe.errors import DocframeError
 from docframe.operators import frames
 from docframe.update.lower import apply_update
 
@@ -44,6 +45,7 @@ def found(name: str, source: str, query: dict, where: str, prepare=None, columns
 
 # -- scans and predicates ---------------------------------------------------------------------
 
+register("scan_lineitem", lambda s, d: frames.find(table(s, d, "lineitem")).to_df(), "SELECT * FROM lineitem")
 register("scan_all", lambda s, d: frames.find(table(s, d, "nation")).to_df(), "SELECT * FROM nation")
 found("eq_implicit", "lineitem", {"l_returnflag": "R"}, "l_returnflag = 'R'")
 found("eq", "orders", {"o_orderkey": {"$eq": 7}}, "o_orderkey = 7")
@@ -251,6 +253,9 @@ updated("upd_multi_op_order", "customer", {"c_acctbal": {"$lt": 0}}, {"$mul": {"
 register("upd_current_date", lambda s, d: apply_update(table(s, d, "nation"), {}, {"$currentDate": {"at": True, "ms": {"$type": "timestamp"}}}))
 register("upd_variant", lambda s, d: apply_update(variants(table(s, d, "events")), {"v": {"$type": "number"}}, {"$inc": {"v": 1000}, "$set": {"w": "x"}, "$rename": {"id": "key"}}, doc_column="doc").select("event_id", F.to_json("doc").alias("json")).where(F.col("json").contains('"w"')).select("event_id", F.get_json_object("json", "$.v").cast("long").alias("v"), F.get_json_object("json", "$.key").cast("long").alias("key")),
          f"SELECT event_id, (num + 1000)::BIGINT AS v, event_id AS key FROM {VARIANTS} WHERE kind = 'number'")
+EIGHT = [f"c{i}" for i in range(8)]
+register("upd_variant_many", lambda s, d: apply_update(table(s, d, "events").select("event_id", F.parse_json(F.to_json(F.struct(*(F.pmod("user_id", F.lit(i + 2)).alias(c) for i, c in enumerate(EIGHT))))).alias("doc")), {}, {"$inc": {c: 10 * i for i, c in enumerate(EIGHT)}}, doc_column="doc").select("event_id", *(F.variant_get("doc", f"$.{c}", "long").alias(c) for c in EIGHT)),
+         "SELECT event_id, " + ", ".join(f"(user_id % {i + 2} + {10 * i})::BIGINT AS {c}" for i, c in enumerate(EIGHT)) + " FROM events")
 register("upd_variant_arrays", lambda s, d: apply_update(variants(table(s, d, "events")), {"v": {"$type": "array"}}, {"$push": {"v": "z"}, "$pull": {"v": {"$lt": 2}}, "$addToSet": {"v": 3}}, doc_column="doc").where(F.schema_of_variant(F.variant_get("doc", "$.v", "variant")).startswith("ARRAY")).select("event_id", F.to_json(F.variant_get("doc", "$.v", "variant")).alias("v")),
          f"""SELECT event_id, CASE item WHEN 2 THEN '[2,"z",3]' WHEN 3 THEN '[3,"z"]' ELSE '["z",3]' END AS v FROM {VARIANTS} WHERE kind = 'array'""")
 register("duplicate_keys", lambda s, d: frames.duplicates(table(s, d, "nation"), "n_regionkey", "number"), "SELECT n_regionkey AS value, count(*) AS n FROM nation GROUP BY 1 HAVING count(*) > 1")
@@ -312,6 +317,33 @@ register("store_replace_one", after(lambda _, c: c.replace_one(c.find_one({"n_na
 register("store_compact", after(lambda _, c: c.delete_many({"n_regionkey": 1}), lambda _, c: c.create_index("n_name"), lambda db, _: db.compact()), "SELECT * FROM nation WHERE n_regionkey <> 1")
 
 
+def refused(step, text: str):
+    """A step that must fail with ``text`` in its message."""
+
+    def run(db, nations):
+        try:
+            step(db, nations)
+        except DocframeError as e:
+            if text not in str(e):
+                raise
+        else:
+            raise AssertionError(f"not refused: {text}")
+
+    return run
+
+
+register("store_insert_one", after(lambda _, c: c.insert_one({"n_nationkey": 200, "n_name": "ONE", "n_regionkey": 1})), "SELECT * FROM nation UNION ALL VALUES (200, 'ONE', 1)")
+register("store_unique_conflict", after(lambda _, c: c.create_index("n_name", unique=True), refused(lambda _, c: c.insert_one({"n_nationkey": 300, "n_name": c.find_one({"n_nationkey": 3})["n_name"]}), "is already used by document"),
+                                        refused(lambda _, c: c.insert_many([{"n_name": "TWICE"}, {"n_name": "TWICE"}]), "both use value"), refused(lambda _, c: c.update_many({"n_regionkey": 2}, {"$set": {"n_name": "SAME"}}), "both use value")), "SELECT * FROM nation")
+def found(cursor) -> DataFrame:
+    return fields(cursor.to_df().select(F.parse_json("json").alias("doc")))
+
+
+register("store_find_by_id", stored(lambda _, c: found(c.find({"_id": c.find_one({"n_nationkey": 9})["_id"]}))), "SELECT * FROM nation WHERE n_nationkey = 9")
+register("store_drop", stored(lambda db, c: (c.drop(), db.collection("nations").insert_one({"n_nationkey": 1}), fields(db.collection("nations").to_df()))[2]), "SELECT 1::INT AS n_nationkey, NULL::VARCHAR AS n_name, NULL::INT AS n_regionkey")
+register("store_indexed_find", stored(lambda _, c: (c.create_index("n_regionkey", "number"), c.create_index("n_name"), c.drop_index("n_name"), found(c.find({"n_regionkey": 2})))[3]), "SELECT * FROM nation WHERE n_regionkey = 2")
+
+
 def _stats(db, nations):
     nations.delete_many({"n_regionkey": 1})
     s = db.stats()

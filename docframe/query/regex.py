@@ -5,6 +5,11 @@ from __future__ import annotations
 import functools
 import re
 
+from docframe.errors import DocframeError
+
+# The white space of JavaScript's \\s, as the inside of a class.
+SPACE = r"\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 
 def _translate(pattern: str, flags: str, end: str, code: str) -> str:
     """Rewrite what the dialects spell differently.
@@ -21,7 +26,18 @@ def _translate(pattern: str, flags: str, end: str, code: str) -> str:
                 out.append(code.format(int(brace[1], 16)))
                 i += len(brace[0])
                 continue
-            out.append("/" if two == "\\/" else two)
+            if two == "\\s":
+                out.append(SPACE if in_class else f"[{SPACE}]")
+            elif two == "\\S" and not in_class:
+                out.append(f"[^{SPACE}]")
+            else:
+                out.append("/" if two == "\\/" else two)
+            i += 2
+            continue
+        if not in_class and (pattern.startswith("(?>", i) or (c == "+" and pattern[i - 1 : i] in ("*", "+", "?", "}") and i and pattern[i - 2 : i - 1] != "\\")):
+            raise DocframeError(f"Invalid regular expression: /{pattern}/.")
+        if in_class and two == "&&":
+            out.append(r"&\&")
             i += 2
             continue
         if not in_class and pattern.startswith("[^]", i):

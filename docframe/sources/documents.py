@@ -20,5 +20,8 @@ def write_json(df: DataFrame, path: str, column: str = "doc") -> None:
 
 def read_framed(spark: SparkSession, path: str) -> DataFrame:
     """Live documents ``file, collection, _id, doc`` of files in the older framed format."""
-    last = import_files(spark, path).groupBy("file", "collection", "_id").agg(F.max_by(F.struct("op", "json"), "seq").alias("r"))
-    return last.where("r.op = 'put'").select("file", "collection", "_id", F.parse_json("r.json").alias("doc"))
+    operations = import_files(spark, path)
+    last = operations.where("op != 'dro'").groupBy("file", "collection", "_id").agg(F.max_by(F.struct("op", "json", "seq"), "seq").alias("r"))
+    gone = operations.where("op = 'dro'").groupBy("file", "collection").agg(F.max("seq").alias("gone"))
+    kept = last.where("r.op = 'put'").join(gone, ["file", "collection"], "left").where("gone IS NULL OR r.seq > gone")
+    return kept.select("file", "collection", "_id", F.parse_json("r.json").alias("doc"))

@@ -171,47 +171,68 @@ def other_keys(*names: str):
     return lambda key, _: ~key.isin(*names)
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` planned and computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def variant_update(doc: Column, changes: list) -> Column:
-    """The changed document: fields as a map of variants, edited, and made one object again."""
-    fields = doc.cast("map<string,variant>")
-    for c in changes:
-        old = F.try_element_at(fields, F.lit(c.field))
-        typed = VariantValue(old)
+    """The changed document: fields as a map of variants, edited, and made one object again.
 
-        def guard(kind: str, value: Column, c=c, typed=typed) -> Column:
-            error = F.raise_error(F.lit(cannot(c.op, c.field, f"expected an existing {kind} field"))).cast("variant")
-            return F.when(F.coalesce(typed.is_kind(kind), F.lit(False)), value).otherwise(error)
+    Every step is bound before the next one, so the plan grows with the number of operators.
+    """
 
-        drop = lambda name, m=fields: F.map_filter(m, other_keys(name))
-        put = lambda name, value, m=fields: F.map_concat(F.map_filter(m, other_keys(name)), F.create_map(F.lit(name), value))
-        if c.op == "$set":
-            fields = put(c.field, variant(c.value))
-        elif c.op == "$unset":
-            fields = drop(c.field)
-        elif c.op == "$rename":
-            rest = F.map_filter(fields, other_keys(c.field, c.value))
-            moved = F.map_concat(rest, F.create_map(F.lit(c.value), old))
-            fields = F.when(old.isNotNull(), moved).otherwise(fields)
-        elif c.op == "$currentDate":
-            fields = put(c.field, now_of(c.value).cast("variant"))
-        elif c.op in NUMERIC:
-            number, v = typed.as_kind("number"), F.lit(float(c.value))
-            new = {"$min": F.least(number, v), "$max": F.greatest(number, v), "$inc": number + v, "$mul": number * v}[c.op]
-            whole = (new == F.floor(new)) & (F.abs(new) < 1e15)
-            fields = put(c.field, guard("number", F.when(whole, new.cast("long").cast("variant")).otherwise(new.cast("variant"))))
-        else:
-            items = old.cast("array<variant>")
+    def run(fields: Column, rest: list) -> Column:
+        if not rest:
+            return F.to_variant_object(fields)
+        return bound(changed(fields, rest[0]), lambda m: run(m, rest[1:]))
+
+    return bound(doc.cast("map<string,variant>"), lambda m: run(m, list(changes)))
+
+
+def changed(fields: Column, c) -> Column:
+    """The fields after one operator."""
+
+    def put(name: str, value: Column) -> Column:
+        return F.map_concat(F.map_filter(fields, other_keys(name)), F.create_map(F.lit(name), value))
+
+    def guard(kind: str, old: Column, value: Column) -> Column:
+        error = F.raise_error(F.lit(cannot(c.op, c.field, f"expected an existing {kind} field"))).cast("variant")
+        return F.when(F.coalesce(VariantValue(old).is_kind(kind), F.lit(False)), value).otherwise(error)
+
+    def number(old: Column) -> Column:
+        v = F.lit(float(c.value))
+        new = {"$min": F.least, "$max": F.greatest, "$inc": lambda a, b: a + b, "$mul": lambda a, b: a * b}[c.op](VariantValue(old).as_kind("number"), v)
+
+        def written(x: Column) -> Column:
+            whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
+            return F.when(whole, x.cast("long").cast("variant")).otherwise(x.cast("variant"))
+
+        return put(c.field, guard("number", old, bound(new, written)))
+
+    def array(old: Column) -> Column:
+        def edited(items: Column) -> Column:
             if c.op == "$push":
-                new = F.array_append(items, variant(c.value))
-            elif c.op == "$addToSet":
-                same = element_equal(VariantValue, c.value)
-                new = F.when(F.exists(items, same), items).otherwise(F.array_append(items, variant(c.value)))
-            elif c.op == "$pop":
-                new = F.slice(items, F.lit(1) if c.value == 1 else F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))
-            else:
-                new = without(items, VariantValue, c)
-            fields = put(c.field, guard("array", new.cast("variant")))
-    return F.to_variant_object(fields)
+                return F.array_append(items, variant(c.value))
+            if c.op == "$addToSet":
+                return F.when(F.exists(items, element_equal(VariantValue, c.value)), items).otherwise(F.array_append(items, variant(c.value)))
+            if c.op == "$pop":
+                return F.slice(items, F.lit(1) if c.value == 1 else F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))
+            return without(items, VariantValue, c)
+
+        return put(c.field, guard("array", old, edited(old.cast("array<variant>")).cast("variant")))
+
+    old = F.try_element_at(fields, F.lit(c.field))
+    if c.op == "$set":
+        return put(c.field, variant(c.value))
+    if c.op == "$unset":
+        return F.map_filter(fields, other_keys(c.field))
+    if c.op == "$currentDate":
+        return put(c.field, now_of(c.value).cast("variant"))
+    if c.op == "$rename":
+        rest = F.map_filter(fields, other_keys(c.field, c.value))
+        return F.when(old.isNotNull(), F.map_concat(rest, F.create_map(F.lit(c.value), old))).otherwise(fields)
+    return bound(old, number if c.op in NUMERIC else array)
 
 
 def apply_update(df: DataFrame, query: dict | None, update: dict, *, doc_column: str | None = None, null_means: str = "missing", string_order: str = "locale") -> DataFrame:

@@ -158,3 +158,14 @@ def test_sorted_slice_is_one_top_k(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     text = plan(frames.find(df).sort({"l_extendedprice": -1}).skip(5).limit(10).to_df())
     assert "TakeOrderedAndProject" in text
+
+
+def test_white_space_and_ampersands_mean_the_same_in_both_dialects(spark):
+    values = ["a\u00a0b", "a b", "a\ufeffb", "a&b", "ab", "a\x1cb"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for pattern in (r"a\sb", r"a\Sb", r"a[\s]b", r"[a&&b]{3}"):
+        got = {r["v"] for r in frames.find(df, {"v": {"$regex": pattern}}).to_df().collect()}
+        assert got == {v for v in values if matches({"v": v}, {"v": {"$regex": pattern}})}, pattern
+    for pattern in ("a++b", "(?>a)"):
+        with pytest.raises(DocframeError):
+            frames.find(df, {"v": {"$regex": pattern}}).to_df()

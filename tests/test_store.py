@@ -248,3 +248,23 @@ def test_frames_of_tables(spark):
     assert frames.distinct_limited(df, "v", order_by=["k"]) == ["b", "a"]
     with pytest.raises(DocframeError, match="Too many"):
         frames.distinct_limited(df, "v", limit=1)
+
+
+def test_insert_frame_keeps_ids_and_takes_a_batch_once(spark, tmp_path):
+    db = open_db(spark, str(tmp_path / "ids"))
+    try:
+        c = db.collection("c")
+        given = "0123456789abcdef01234567"
+        frame = spark.createDataFrame([(f'{{"_id": "{given}", "a": 1}}',), ('{"a": 2}',)], "doc string")
+        assert c.insert_frame(frame, source=("feed", 4)) == 2
+        assert c.find_one(given)["a"] == 1 and c.document_count == 2
+        assert c.insert_frame(frame, source=("feed", 4)) == 0 and c.document_count == 2
+        with pytest.raises(DocframeError, match="duplicate _id"):
+            c.insert_frame(frame)
+        with pytest.raises(DocframeError, match="in batch"):
+            c.insert_frame(spark.createDataFrame([('{"_id": "aaaaaaaaaaaaaaaaaaaaaaaa"}',)] * 2, "doc string"))
+        with pytest.raises(DocframeError, match="Invalid _id"):
+            c.insert_frame(spark.createDataFrame([('{"_id": "short"}',)], "doc string"))
+        assert db.manifest.next_seq < 1 << 45
+    finally:
+        db.close()
