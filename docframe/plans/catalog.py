@@ -185,20 +185,14 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("sort_top", cursor("lineitem", {"l_returnflag": "R", "l_quantity": {"$gt": 45}}, {"l_extendedprice": -1, "l_orderkey": 1, "l_linenumber": 1}, limit=10),
          "SELECT * FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10")
-register("sort_multi", cursor("customer", {}, {"c_mktsegment": 1, "c_acctbal": -1, "c_custkey": 1}, limit=100),
-         "SELECT * FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey LIMIT 100")
 register("sort_skip_limit", cursor("orders", {"o_orderstatus": "F"}, {"o_totalprice": 1, "o_orderkey": 1}, 20, 30),
          "SELECT * FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice, o_orderkey LIMIT 30 OFFSET 20")
-register("sort_nulls", cursor("lineitem", {}, {"flag": 1, "l_orderkey": -1, "l_linenumber": 1}, limit=200, prepare=holes),
-         f"SELECT * FROM {HOLES} ORDER BY flag ASC NULLS FIRST, l_orderkey DESC, l_linenumber LIMIT 200")
-register("sort_nulls_desc", cursor("lineitem", {"l_orderkey": {"$lt": 50}}, {"flag": -1, "l_orderkey": 1, "l_linenumber": 1}, 10, prepare=holes),
-         f"SELECT * FROM {HOLES} WHERE l_orderkey < 50 ORDER BY flag DESC NULLS LAST, l_orderkey, l_linenumber OFFSET 10")
-# The same three orders over whole tables: no rows cut off, no ids picked.
-register("sort_multi_whole", cursor("customer", {}, {"c_mktsegment": 1, "c_acctbal": -1, "c_custkey": 1}),
+# Whole tables in order: no rows cut off, no ids picked.
+register("sort_multi", cursor("customer", {}, {"c_mktsegment": 1, "c_acctbal": -1, "c_custkey": 1}),
          "SELECT * FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey")
-register("sort_nulls_whole", cursor("lineitem", {}, {"flag": 1, "l_orderkey": -1, "l_linenumber": 1}, prepare=holes),
+register("sort_nulls", cursor("lineitem", {}, {"flag": 1, "l_orderkey": -1, "l_linenumber": 1}, prepare=holes),
          f"SELECT * FROM {HOLES} ORDER BY flag ASC NULLS FIRST, l_orderkey DESC, l_linenumber")
-register("sort_nulls_desc_whole", cursor("lineitem", {}, {"flag": -1, "l_orderkey": 1, "l_linenumber": 1}, 10, prepare=holes),
+register("sort_nulls_desc", cursor("lineitem", {}, {"flag": -1, "l_orderkey": 1, "l_linenumber": 1}, 10, prepare=holes),
          f"SELECT * FROM {HOLES} ORDER BY flag DESC NULLS LAST, l_orderkey, l_linenumber OFFSET 10")
 register("find_one_sorted", cursor("part", {}, {"p_retailprice": -1, "p_partkey": 1}, limit=1), "SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 1")
 register("limit_zero", cursor("part", {}, {"p_partkey": 1}, limit=0), "SELECT * FROM part LIMIT 0")

@@ -179,22 +179,43 @@ def bound(value: Column, body) -> Column:
 def variant_update(doc: Column, changes: list) -> Column:
     """The changed document: fields as a map of variants, edited, and made one object again.
 
-    Every step is bound before the next one, so the plan grows with the number of operators.
+    Every step is bound before the next one, so the plan grows with the number of operators;
+    consecutive operators that set values of different fields are one step.
     """
+    steps: list[list] = []
+    for c in changes:
+        alone = c.op in ("$unset", "$rename")
+        if alone or not steps or steps[-1][0].op in ("$unset", "$rename") or c.field in {x.field for x in steps[-1]}:
+            steps.append([])
+        steps[-1].append(c)
 
-    def run(fields: Column, rest: list) -> Column:
+    def run(fields: Column, rest: list[list]) -> Column:
         if not rest:
             return F.to_variant_object(fields)
         return bound(changed(fields, rest[0]), lambda m: run(m, rest[1:]))
 
-    return bound(doc.cast("map<string,variant>"), lambda m: run(m, list(changes)))
+    return bound(doc.cast("map<string,variant>"), lambda m: run(m, steps))
 
 
-def changed(fields: Column, c) -> Column:
-    """The fields after one operator."""
+def changed(fields: Column, step: list) -> Column:
+    """The fields after one step."""
+    c, names = step[0], [c.field for c in step]
+    old = F.try_element_at(fields, F.lit(c.field))
+    if c.op == "$unset":
+        return F.map_filter(fields, other_keys(c.field))
+    if c.op == "$rename":
+        rest = F.map_filter(fields, other_keys(c.field, c.value))
+        return F.when(old.isNotNull(), F.map_concat(rest, F.create_map(F.lit(c.value), old))).otherwise(fields)
+    entries = [x for c in step for x in (F.lit(c.field), value_after(F.try_element_at(fields, F.lit(c.field)), c))]
+    return F.map_concat(F.map_filter(fields, other_keys(*names)), F.create_map(*entries))
 
-    def put(name: str, value: Column) -> Column:
-        return F.map_concat(F.map_filter(fields, other_keys(name)), F.create_map(F.lit(name), value))
+
+def value_after(old: Column, c) -> Column:
+    """A field's value after an operator that gives it one."""
+    if c.op == "$set":
+        return variant(c.value)
+    if c.op == "$currentDate":
+        return now_of(c.value).cast("variant")
 
     def guard(kind: str, old: Column, value: Column) -> Column:
         error = F.raise_error(F.lit(cannot(c.op, c.field, f"expected an existing {kind} field"))).cast("variant")
@@ -208,7 +229,7 @@ def changed(fields: Column, c) -> Column:
             whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
             return F.when(whole, x.cast("long").cast("variant")).otherwise(x.cast("variant"))
 
-        return put(c.field, guard("number", old, bound(new, written)))
+        return guard("number", old, bound(new, written))
 
     def array(old: Column) -> Column:
         def edited(items: Column) -> Column:
@@ -220,18 +241,8 @@ def changed(fields: Column, c) -> Column:
                 return F.slice(items, F.lit(1) if c.value == 1 else F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))
             return without(items, VariantValue, c)
 
-        return put(c.field, guard("array", old, edited(old.cast("array<variant>")).cast("variant")))
+        return guard("array", old, edited(old.cast("array<variant>")).cast("variant"))
 
-    old = F.try_element_at(fields, F.lit(c.field))
-    if c.op == "$set":
-        return put(c.field, variant(c.value))
-    if c.op == "$unset":
-        return F.map_filter(fields, other_keys(c.field))
-    if c.op == "$currentDate":
-        return put(c.field, now_of(c.value).cast("variant"))
-    if c.op == "$rename":
-        rest = F.map_filter(fields, other_keys(c.field, c.value))
-        return F.when(old.isNotNull(), F.map_concat(rest, F.create_map(F.lit(c.value), old))).otherwise(fields)
     return bound(old, number if c.op in NUMERIC else array)
 
 

@@ -44,7 +44,7 @@ def test_query(spark, duck, name):
         assert got[0] == want[0] and len(got[1]) == len(want[1]) and got[1] == want[1]
 
 
-@pytest.mark.parametrize("name, source, skip", [("sort_multi_whole", "customer", 0), ("sort_nulls_whole", "lineitem", 0), ("sort_nulls_desc_whole", "lineitem", 10)])
+@pytest.mark.parametrize("name, source, skip", [("sort_multi", "customer", 0), ("sort_nulls", "lineitem", 0), ("sort_nulls_desc", "lineitem", 10)])
 def test_whole_tables_are_sorted(spark, duck, name, source, skip):
     df = catalog.QUERIES[name](spark, SF)
     got, found = df.collect(), duck.execute(catalog.ORACLES[name])
