@@ -15,12 +15,6 @@ BINARY = {"bson": bson, "amf3": amf3}
 BYTES = {"j": "json", "b": "bson", "a": "amf3"}
 
 
-def codec_of(byte: str) -> str:
-    if byte not in BYTES:
-        raise ValueError(f"unknown serialization format {byte!r}")
-    return BYTES[byte]
-
-
 def encode(value: Column, codec: str) -> Column:
     """JSON text to the codec's bytes."""
     if codec == "json":

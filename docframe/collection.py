@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
 import uuid
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +16,9 @@ from docframe.cursor import Cursor
 from docframe.errors import DocframeError
 from docframe.objectid import check_id, new_id
 from docframe.operators import frames
+from docframe.query.ast import And, Test
 from docframe.query.compile import compile_query
-from docframe.query.evaluate import canonical
+from docframe.query.evaluate import canonical, json_type
 from docframe.query.lower import lower
 from docframe.resolve import TypedField, VariantResolver, VariantValue
 from docframe.store.cache import DocumentCache
@@ -22,7 +26,10 @@ from docframe.update.compile import compile_update
 from docframe.update.lower import variant_update
 
 LOG = "_seq long, _first long, _id string, op string, doc variant"
+COLUMNS = ("_seq", "_first", "_id", "op", "doc")
 INDEX_TYPES = ("string", "number")
+#: Changed ids up to which they are sent to all executors; an id is always 24 characters.
+BROADCAST_IDS = 500_000
 
 
 class StoredResolver(VariantResolver):
@@ -47,6 +54,48 @@ def index_key(index: dict) -> Column:
     return F.when(value.is_kind("string"), value.as_kind("string"))
 
 
+def side_column(index: dict) -> str:
+    """The column beside the documents that holds an index's values, whatever its field is called."""
+    return f"_ix_{index['type']}_{hashlib.sha256(index['name'].encode()).hexdigest()[:16]}"
+
+
+def side_value(index: dict) -> Column:
+    """The field's value if it is of the index's type; files keep statistics of it, as of no VARIANT path."""
+    value = StoredResolver("doc").field(index["name"])
+    if isinstance(value, TypedField):
+        return value.value if index["type"] == "string" else F.lit(None).cast("double")
+    return F.when(value.is_kind(index["type"]), value.as_kind(index["type"]))
+
+
+def side_type(column: str) -> str:
+    return "double" if column.startswith("_ix_number") else "string"
+
+
+def side_test(test: Test, index: dict) -> Column | None:
+    """What holds for the side column of every document that meets ``test``, if anything is known."""
+    name, kind = side_column(index), index["type"]
+    values = list(test.value) if test.op == "in" else [test.value]
+    if any(json_type(v) != kind or (kind == "number" and math.isnan(v)) for v in values) or not values:
+        return None
+    values = [F.lit(float(v) if kind == "number" else v) for v in values]
+    side = F.col(name)
+    if test.op in ("eq", "in"):
+        return side.isin(*values) if len(values) > 1 else side == values[0]
+    if kind == "number":  # strings are ordered by collation, which files know nothing of
+        return {"gt": side > values[0], "gte": side >= values[0], "lt": side < values[0], "lte": side <= values[0]}[test.op]
+    return None
+
+
+def side_tests(node, indexes: list[dict]) -> list[tuple[str, Column]]:
+    """Side columns and conditions that follow from a query."""
+    if isinstance(node, And):
+        return [t for p in node.parts for t in side_tests(p, indexes)]
+    if not isinstance(node, Test) or node.op not in ("eq", "in", "gt", "gte", "lt", "lte"):
+        return []
+    found = [(side_column(i), side_test(node, i)) for i in indexes if i["name"] == node.field]
+    return [(name, test) for name, test in found if test is not None]
+
+
 class Collection:
     def __init__(self, db, name: str):
         self._db, self.name = db, name
@@ -64,28 +113,48 @@ class Collection:
         if self._dropped:
             raise DocframeError(f'Collection "{self.name}" has been dropped.')
 
-    def log(self) -> DataFrame:
-        """All operations of the version in force."""
-        files = [self._db.folder.uri(f) for f in self._entry()["files"]]
-        spark = self._db.spark
-        return spark.read.schema(LOG).parquet(*files) if files else spark.createDataFrame([], "_seq long").selectExpr(
+    def log(self, tests: list[tuple[str, Column]] = ()) -> DataFrame:
+        """All operations of the version in force.
+
+        Files that have a side column leave out what its ``tests`` rule out; others are read whole.
+        """
+        entry, spark = self._entry(), self._db.spark
+        alike: dict[tuple, list[str]] = {}
+        for f in entry["files"]:
+            alike.setdefault(tuple(entry.get("sides", {}).get(f, ())), []).append(self._db.folder.uri(f))
+        parts = []
+        for sides, files in alike.items():
+            part = spark.read.schema(", ".join([LOG, *(f"{c} {side_type(c)}" for c in sides)])).parquet(*files)
+            for name, test in tests:
+                part = part.where(test) if name in sides else part
+            parts.append(part.select(*COLUMNS))
+        return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "_seq long").selectExpr(
             "_seq", "_seq AS _first", "'' AS _id", "'' AS op", "parse_json('null') AS doc")
 
-    def live(self) -> DataFrame:
+    def live(self, tests: list[tuple[str, Column]] = ()) -> DataFrame:
         """The latest version of every document that is not deleted.
 
-        ``_first`` is where the document was first inserted and orders the collection.
+        ``_first`` is where the document was first inserted and orders the collection.  Inserted ids
+        are new, so only batches of changes can outdate a row.  Their ids, without the documents, are
+        matched against the log; filters of the reader apply before that.
         """
-        last = self.log().groupBy("_id").agg(F.max_by(F.struct("_seq", "_first", "op", "doc"), "_seq").alias("r"))
-        return last.where("r.op = 'put'").select("r._seq", "r._first", "_id", "r.doc")
+        rows = self.log(tests).where("op = 'put'").select("_seq", "_first", "_id", "doc")
+        entry = self._entry()
+        changes = entry.get("changes", entry["files"])
+        if not changes:
+            return rows
+        newer = self._db.spark.read.schema(LOG).parquet(*map(self._db.folder.uri, changes)).groupBy(F.col("_id").alias("changed")).agg(F.max("_seq").alias("last"))
+        if entry.get("changed", BROADCAST_IDS + 1) <= BROADCAST_IDS:
+            newer = F.broadcast(newer)
+        return rows.join(newer, (F.col("_id") == F.col("changed")) & (F.col("_seq") < F.col("last")), "left_anti")
 
     def to_df(self) -> DataFrame:
         return self.live().select("_id", "doc")
 
     def find(self, query: dict | None = None) -> Cursor:
-        resolver = StoredResolver("doc")
-        found = lower(compile_query(query), resolver)
-        rows = self.live()
+        resolver, tree = StoredResolver("doc"), compile_query(query)
+        found = lower(tree, resolver)
+        rows = self.live(side_tests(tree, self._entry()["indexes"]))
         if found is not True:
             rows = rows.where(F.lit(False) if found is False else found)
         return Cursor(rows, resolver, [F.col("_first")], lambda d: d.select(F.to_json("doc").alias("json")), lambda r: json.loads(r["json"]))
@@ -124,11 +193,18 @@ class Collection:
 
     # -- writes --------------------------------------------------------------------------------
 
-    def _write(self, rows: DataFrame) -> str:
-        """Write a batch that no reader sees yet; all errors in the data surface here."""
+    def _sides(self) -> list[str]:
+        return [side_column(i) for i in self._entry()["indexes"]]
+
+    def _write(self, rows: DataFrame, **options: Any) -> str:
+        """Write a batch that no reader sees yet, with the side columns of the indexes.
+
+        All errors in the data surface here.
+        """
         name = f"_log/{self.id}/{uuid.uuid4().hex}"
+        sides = [side_value(i).alias(side_column(i)) for i in self._entry()["indexes"]]
         try:
-            rows.select("_seq", "_first", "_id", "op", "doc").write.parquet(self._db.folder.uri(name))
+            rows.select(*COLUMNS, *sides).write.options(**options).parquet(self._db.folder.uri(name))
         except Exception as e:
             self._db.folder.delete(name)
             text = str(e)
@@ -138,10 +214,16 @@ class Collection:
             raise
         return name
 
-    def _commit(self, name: str, count: int, source: tuple[str, int] | None = None) -> None:
+    def _commit(self, name: str, count: int, source: tuple[str, int] | None = None, changed: int = 0) -> None:
+        """Make a batch visible; ``changed`` of its operations are on documents known before."""
+
         def add(m):
             entry = m.collections[self.name]
+            if changed:
+                entry["changes"] = [*entry.get("changes", entry["files"]), name]
+                entry["changed"] = entry.get("changed", BROADCAST_IDS) + changed
             entry["files"].append(name)
+            entry.setdefault("sides", {})[name] = self._sides()
             if source:
                 entry.setdefault("sources", {})[source[0]] = source[1]
             m.next_seq += count
@@ -168,13 +250,13 @@ class Collection:
                     raise DocframeError(f'Cannot write document "{r["me"]}": value {value} for unique index "{index["name"]}" is already used by document "{r["_id"]}".')
                 raise DocframeError(f'Cannot write documents "{r["me"]}" and "{r["_id"]}": both use value {value} for unique index "{index["name"]}".')
 
-    def _append(self, rows: DataFrame, count: int = 1) -> int:
-        """Write, check and commit a batch; the number of its operations."""
+    def _append(self, rows: DataFrame, count: int = 1, change: bool = True) -> int:
+        """Write, check and commit a batch of changes or of new documents; the number of its operations."""
         name = self._write(rows)
         self._unique(name)
         written = self._db.spark.read.parquet(self._db.folder.uri(name)).count()
         if written:
-            self._commit(name, count)
+            self._commit(name, count, changed=written if change else 0)
         else:
             self._db.folder.delete(name)
         return written
@@ -202,7 +284,7 @@ class Collection:
             if known:
                 raise DocframeError(f'Cannot insert document: duplicate _id "{known[0][0]}".')
         if ready:
-            self._append(self._rows(ready, self._db.manifest.next_seq), len(ready))
+            self._append(self._rows(ready, self._db.manifest.next_seq), len(ready), change=False)
         return {"acknowledged": True, "insertedCount": len(ready), "insertedIds": [d["_id"] for d in ready]}
 
     def insert_frame(self, df: DataFrame, doc_column: str = "doc", source: tuple[str, int] | None = None) -> int:
@@ -333,13 +415,20 @@ class Collection:
         self._dropped = True
         self._db._open.pop(self.name, None)
 
-    def snapshot(self) -> list[str]:
-        """Write the live documents as one batch, clustered by the first index, if there is one."""
+    def snapshot(self) -> dict[str, list[str]]:
+        """Write the live documents as one batch, in the order of the first index or else of the ids.
+
+        Files know the least and the greatest value of every stretch of rows, so finds by that
+        index read little; a find by id also asks a Bloom filter.
+        """
+        entry = self._entry()
+        if not entry["files"]:
+            return {}
         rows = self.live().select("_seq", "_first", "_id", F.lit("put").alias("op"), "doc")
-        indexes = self._entry()["indexes"]
-        if indexes:
-            rows = rows.withColumn("k", index_key(indexes[0])).repartitionByRange("k").sortWithinPartitions("k", "_id")
-        return [self._write(rows)] if self._entry()["files"] else []
+        rows = rows.withColumn("k", side_value(entry["indexes"][0]) if entry["indexes"] else F.col("_id"))
+        rows = rows.repartitionByRange("k", "_id").sortWithinPartitions("k", "_id")
+        bloom = {"parquet.bloom.filter.enabled#_id": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+        return {self._write(rows, **bloom): self._sides()}
 
     def stats(self) -> dict:
         self._check()

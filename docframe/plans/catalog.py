@@ -5,15 +5,20 @@ Every entry is one operator over the driver's tables; its SQL says the same inde
 
 from __future__ import annotations
 
+import json
+import struct
 import tempfile
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docframe.codecs import amf3, bson
 from docframe.codecs import frames as codecs
 from docframe.database import open_db
 from docframe.errors import DocframeError
 from docframe.operators import frames
+from docframe.sources.documents import import_framed
 from docframe.update.lower import apply_update
 
 QUERIES: dict = {}
@@ -264,7 +269,11 @@ for _codec in ("json", "bson", "amf3"):
 
 def store_of(spark: SparkSession, sf_dir: str):
     """A fresh database in the shared folder with the nations as documents."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docframe_")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="docframe_")
     db = open_db(spark, f"{base}/store_{spark.range(1).select(F.expr('uuid()')).first()[0]}")
     docs = table(spark, sf_dir, "nation").select(F.to_json(F.struct("*")).alias("doc"))
     nations = db.collection("nations")
@@ -338,6 +347,48 @@ register("store_drop", stored(lambda db, c: (c.drop(), db.collection("nations").
 register("store_indexed_find", stored(lambda _, c: (c.create_index("n_regionkey", "number"), c.create_index("n_name"), c.drop_index("n_name"), found(c.find({"n_regionkey": 2})))[3]), "SELECT * FROM nation WHERE n_regionkey = 2")
 
 
+register("store_find_after_compact", stored(lambda db, c: (c.create_index("n_nationkey", "number"), c.update_many({"n_regionkey": 2}, {"$inc": {"n_nationkey": 100}}), db.compact(), found(c.find({"n_nationkey": {"$gte": 10, "$lt": 110}})))[3]),
+         "SELECT * FROM (SELECT CASE WHEN n_regionkey = 2 THEN n_nationkey + 100 ELSE n_nationkey END::INT AS n_nationkey, n_name, n_regionkey FROM nation) WHERE n_nationkey >= 10 AND n_nationkey < 110")
+register("store_natural_order", stored(lambda _, c: (c.insert_one({"n_nationkey": 500}), c.update_many({"n_nationkey": {"$lt": 5}}, {"$set": {"n_regionkey": 50}}), found(c.find().skip(25)))[2]), "SELECT 500::INT AS n_nationkey, NULL::VARCHAR AS n_name, NULL::INT AS n_regionkey")
+
+
+def _recover(db, nations):
+    """A batch without its commit is gone after the next opening."""
+    nations._write(nations._rows([{"_id": "a" * 24, "n_nationkey": 900}], 10_000))
+    db.close()
+    again = open_db(db.spark, db.path)
+    try:
+        assert again.recovered
+        return fields(again.collection("nations").to_df())
+    finally:
+        again.close()
+
+
+def _import(db, nations):
+    """The nations through a file of the older format; the first is deleted there, a second collection dropped."""
+    def record(name: str, payload: bytes) -> bytes:
+        payload += b"\0" * (-len(payload) % 4)
+        body = name.encode() + struct.pack(">I", len(payload)) + payload
+        return body + struct.pack(">I", zlib.crc32(body))
+
+    def put(collection: bytes, number: int, document: dict) -> bytes:
+        raw = bson.encode(document)
+        return record("put1", collection + number.to_bytes(12, "big") + amf3.u29(len(raw)) + raw)
+
+    rows = [json.loads(r["json"]) for r in nations.find().to_df().collect()]
+    data = b"........\0\1b\0" + record("ncl1", b"0001\3all") + record("ncl1", b"0002\4gone")
+    for d in rows:
+        data += put(b"0001", d["n_nationkey"], {k: v for k, v in d.items() if k != "_id"}) + put(b"0002", d["n_nationkey"], {"n_nationkey": 1})
+    data += record("del1", b"0001" + (0).to_bytes(12, "big")) + record("idx1", b"0001\2\1\13n_nationkey") + record("dco1", b"0002")
+    db.folder.create("old.bin", data)
+    import_framed(db, db.folder.uri("old.bin"))
+    return fields(db.collection("all").to_df())
+
+
+register("store_recover", stored(_recover), "SELECT * FROM nation")
+register("store_import", stored(_import), "SELECT * FROM nation WHERE n_nationkey <> 0")
+
+
 def _stats(db, nations):
     nations.delete_many({"n_regionkey": 1})
     s = db.stats()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import SparkSession
 
 
@@ -20,8 +22,8 @@ class Folder:
     def uri(self, name: str) -> str:
         return self.fs.makeQualified(self.at(name)).toString()
 
-    def create(self, name: str, content: bytes) -> bool:
-        """Write a new file; false if it exists already."""
+    def create(self, name: str, content: bytes, sync: bool = False) -> bool:
+        """Write a new file, with ``sync`` down to the disk; false if it exists already."""
         try:
             out = self.fs.create(self.at(name), False)
         except Exception as e:
@@ -29,9 +31,23 @@ class Folder:
                 return False
             raise
         out.write(bytearray(content))
+        if sync:
+            out.hsync()
         out.close()
         return True
 
+    def touch(self, name: str, content: bytes) -> None:
+        """Write a file again, so that it counts as new."""
+        out = self.fs.create(self.at(name), True)
+        out.write(bytearray(content))
+        out.close()
+
+    def age(self, name: str) -> float | None:
+        """Seconds since a file was written; None if there is none."""
+        if not self.fs.exists(self.at(name)):
+            return None
+        return time.time() - self.fs.getFileStatus(self.at(name)).getModificationTime() / 1000
+
     def read(self, name: str) -> bytes:
         source = self.fs.open(self.at(name))
         try:

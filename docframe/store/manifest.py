@@ -21,8 +21,10 @@ FOLDER = "_manifests"
 class Manifest:
     version: int = 0
     next_seq: int = 1
-    #: name -> {"id", "files", "indexes"}
+    #: name -> {"id", "files", "indexes", "changes", "changed", "sides"}: of its files those that change
+    #: or delete earlier documents, how many operations these hold, and each file's index columns.
     collections: dict = field(default_factory=dict)
+    serialization: str = "json"
 
     def copy(self) -> Manifest:
         return copy.deepcopy(self)
@@ -45,10 +47,10 @@ def load(folder: Folder) -> tuple[Manifest, bool]:
     return Manifest(), torn
 
 
-def commit(folder: Folder, manifest: Manifest) -> Manifest:
+def commit(folder: Folder, manifest: Manifest, sync: bool = False) -> Manifest:
     """Make ``manifest`` the next version, or raise if another writer was first."""
     manifest.version += 1
     line = json.dumps(manifest.__dict__, sort_keys=True).encode()
-    if not folder.create(f"{FOLDER}/{manifest.version:012d}.json", line + b"\n%d" % zlib.crc32(line)):
+    if not folder.create(f"{FOLDER}/{manifest.version:012d}.json", line + b"\n%d" % zlib.crc32(line), sync):
         raise DocframeError("Another writer has changed the database.")
     return manifest

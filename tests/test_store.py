@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import json
 import struct
+import time
 import zlib
 
 import pytest
 
 from docframe.codecs import amf3, bson, legacy
+from docframe.collection import side_column
 from docframe.database import open_db
 from docframe.errors import DocframeError
 from docframe.objectid import check_id, new_id
 from docframe.operators import frames
+from docframe.sources.documents import import_framed
 from docframe.store.cache import DocumentCache
 
 PEOPLE = [{"name": "Ada", "age": 37, "role": "admin"}, {"name": "Grace", "age": 85, "role": "admin"}, {"name": "Margaret", "role": "reader"}]
@@ -238,8 +241,116 @@ def test_import_of_framed_files(spark, tmp_path):
     put = lambda k, d: record("put1", b"cccc" + bytes([k] * 12) + amf3.u29(len(json.dumps(d))) + json.dumps(d).encode())
     data = b"........" + b"\0\1j\0" + record("ncl1", b"cccc\4name") + put(1, {"a": 1}) + record("txnb", b"") + put(2, {"a": 2}) + record("txnc", b"") + record("del1", b"cccc" + bytes([1] * 12)) + record("txnb", b"") + put(3, {})
     (tmp_path / "old.bin").write_bytes(data + b"torn")
-    got = [(r["op"], r["_id"][:2], r["json"]) for r in legacy.import_files(spark, str(tmp_path)).orderBy("seq").collect()]
-    assert got == [("put", "01", '{"a": 1}'), ("put", "02", '{"a": 2}'), ("del", "01", None)]
+    got = [(r["op"], (r["_id"] or "")[:2], r["json"]) for r in legacy.import_files(spark, str(tmp_path)).orderBy("seq").collect()]
+    assert got == [("new", "", '{"name": "name"}'), ("put", "01", '{"a": 1}'), ("put", "02", '{"a": 2}'), ("del", "01", None)]
+
+
+def test_import_into_a_database(spark, db, tmp_path):
+    put = lambda c, k, d: record("put1", c + bytes([k] * 12) + amf3.u29(len(bson.encode(d))) + bson.encode(d))
+    one, two = b"\0\0\0\1", b"\0\0\0\2"
+    data = b"anything" + b"\0\1b\0" + record("ncl1", one + b"\5first") + record("ncl1", two + b"\4gone") + put(one, 1, {"a": "x"}) + put(two, 2, {"a": 1})
+    data += record("idx1", one + b"\1\1\1a") + record("idx1", one + b"\2\0\1n") + record("dix1", one + b"\1n") + record("hol0", b"\0" * 8)
+    data += put(one, 3, {"a": "y"}) + record("del1", one + bytes([1] * 12)) + put(one, 1, {"a": "z"}) + record("dco1", two)
+    source = tmp_path / "old.bin"
+    source.write_bytes(data)
+    assert import_framed(db, str(source)) == {"first": 2} and db.get_collections() == ["first"]
+    c = db.collection("first")
+    assert [(d["_id"][:2], d["a"]) for d in c.find().to_list()] == [("03", "y"), ("01", "z")]
+    assert c.get_indexes() == [{"name": "a", "type": "string", "unique": True}]
+    with pytest.raises(Exception, match="expected b'wrongmag' header"):
+        import_framed(db, str(source), b"wrongmag")
+
+
+@pytest.mark.parametrize(("data", "text"), [
+    (b"12345678\0\1j", "header too short"), (b"12345678\1\1j\0", "Unsupported format version: 1"), (b"12345678\0\1z\0", "Unsupported serialization format: z"),
+    (b"12345678\0\1j\1", "Unsupported serialization version: 1"), (b"12345678\0\1j\0" + record("wrt1", b""), "Unsupported operation identifier: wrt1"),
+    (b"12345678\0\1j\0" + record("put1", b"cccc" + b"\1" * 12 + b"\2{}"), "Invalid put document operation: unknown collection identifier"),
+    (b"12345678\0\1j\0" + record("ncl1", b"cccc\4name") + record("ncl1", b"cccd\1ax"), "non-zero padding"),
+    (b"12345678\0\1j\0" + record("ncl1", b"cccc\4name") + record("idx1", b"cccc\3\0\1a"), "unknown index type"),
+    (b"12345678\0\1j\0" + record("ncl1", b"cccc\4name") + record("dco1", b"cccc\0\0\0\0"), "payload must be 4 bytes"),
+    (b"12345678\0\1j\0" + record("txnc", b""), "commit without begin"),
+])
+def test_files_that_import_refuses(data, text):
+    with pytest.raises(DocframeError, match=text):
+        list(legacy.operations_of(data))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_index_prunes_and_keeps_results(spark, db):
+    c = db.collection("p")
+    c.insert_many([{"age": i, "name": f"n{i}", "odd": True if i % 2 else "no"} for i in range(40)])
+    c.create_index("age", "number")
+    c.create_index("name")
+    c.insert_many([{"age": 7.0, "name": 7}, {"age": "7", "name": "n7"}, {"name": "n8"}])
+    wanted = [({"age": 7}, 2), ({"age": {"$in": [7, 39]}}, 3), ({"age": {"$in": [7, "7"]}}, 3), ({"age": {"$gte": 30, "$lt": 35}}, 5), ({"name": "n7"}, 2), ({"name": {"$gt": "n38"}}, 9), ({"age": {"$ne": 7}}, 41), ({"$or": [{"age": 1}, {"name": "n2"}]}, 2)]
+    assert [c.count_documents(q) for q, _ in wanted] == [n for _, n in wanted]
+    c.update_many({"age": 7}, {"$set": {"age": 70}})
+    c.delete_many({"age": 1})
+    moved = [({"age": 7}, 0), ({"age": 70}, 2), ({"age": 1}, 0), ({"name": "n7"}, 2)]
+    assert [c.count_documents(q) for q, _ in moved] == [n for _, n in moved]
+    db.compact()
+    assert [c.count_documents(q) for q, _ in moved] == [n for _, n in moved]
+    plan = plan_of(c.find({"age": {"$gte": 30, "$lt": 35}}).to_df())
+    side = side_column({"name": "age", "type": "number"})
+    assert f"GreaterThanOrEqual({side},30.0)" in plan and f"LessThan({side},35.0)" in plan and "Exchange" not in plan
+
+
+def test_live_view_does_not_shuffle_documents(db):
+    c = db.collection("l")
+    c.insert_many([{"a": i} for i in range(20)])
+    c.insert_many([{"a": i} for i in range(20, 30)])
+    assert "Exchange" not in plan_of(c.live()) and "Join" not in plan_of(c.live())
+    key = c.find_one({"a": 3})["_id"]
+    c.update_one(key, {"$set": {"a": 300}})
+    c.delete_one({"a": 4})
+    plan = plan_of(c.find({"_id": key}).to_df())
+    assert "BroadcastHashJoin" in plan and f"EqualTo(_id,{key})" in plan and "SortMergeJoin" not in plan
+    assert c.find_one(key)["a"] == 300 and c.count_documents({"a": 3}) == 0 and c.document_count == 29
+    c.delete_one(key)
+    c.insert_one({"_id": key, "a": 5000})
+    assert c.find_one(key)["a"] == 5000 and c.document_count == 29
+
+
+def test_lock_of_another_machine(spark, db, path):
+    c = db.collection("people")
+    stray = c._write(c._rows([{"_id": new_id(), "name": "Ghost"}], 99))
+    db.folder.touch("_lock", b'{"machine": "elsewhere", "pid": 4242, "token": "t"}')
+    with pytest.raises(DocframeError, match="already in use by process 4242"):
+        open_db(spark, path)
+    with pytest.raises(DocframeError, match="lock was lost"):
+        c.insert_one({"a": 1})
+    time.sleep(0.3)
+    heir = open_db(spark, path, lease=0.2)
+    heir.close()
+    assert stray.split("/")[-1] not in db.folder.names(f"_log/{c.id}") and not db.folder.names("_lock")
+
+
+def test_young_batches_of_a_lost_holder_stay(spark, db, path):
+    c = db.collection("people")
+    db.folder.touch("_lock", b'{"machine": "elsewhere", "pid": 4242, "token": "t"}')
+    time.sleep(1.2)
+    young = c._write(c._rows([{"_id": new_id(), "name": "Ghost"}], 99))
+    age = db.folder.age("_lock")
+    assert age > 1
+    heir = open_db(spark, path, lease=age)
+    assert heir.recovered and young.split("/")[-1] in db.folder.names(f"_log/{c.id}") and heir.collection("people").document_count == 0
+    heir.close()
+
+
+def test_options(spark, tmp_path):
+    made = open_db(spark, str(tmp_path / "o"), durability="relaxed", serialization="bson")
+    made.collection("c").insert_one({"a": 1})
+    made.close()
+    with pytest.raises(DocframeError, match="the database is closed"):
+        made.collection("c").insert_one({"a": 1})
+    again = open_db(spark, str(tmp_path / "o"))
+    assert again.manifest.serialization == "bson" and again.collection("c").find_one()["a"] == 1
+    again.close()
+    with pytest.raises(DocframeError, match="Unsupported serialization format"):
+        open_db(spark, str(tmp_path / "x"), serialization="xml")
 
 
 def test_frames_of_tables(spark):
