@@ -77,6 +77,25 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hot_hashes(counted: DataFrame, key: str, n: str, part: int = 1000) -> list[int]:
+    """Hashes of the keys that hold more than one row in ``part``, fewer than ``part`` of them.
+
+    ``counted`` has a row per ``key``, with its number of rows ``n``.
+    """
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counted.where(F.col(n) > total // part).select(F.xxhash64(key)).collect()]
+
+
+def salt_of(key: str, hot: list[int], salts: int, by: Column) -> Column:
+    """The copy of its key that a row looks up: one of ``salts`` for hot keys, else the only one."""
+    return F.when(F.xxhash64(key).isin(hot), F.pmod(by, F.lit(salts)).cast("int")).otherwise(F.lit(0))
+
+
+def salts_of(key: str, hot: list[int], salts: int) -> Column:
+    """All copies that a key needs, as an array."""
+    return F.when(F.xxhash64(key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm.common import documents, let, materialise, words_of
+from docframe.llm.common import documents, hot_hashes, let, materialise, salt_of, salts_of, words_of
 
 WINDOW = 8
 SALTS = 32
@@ -97,9 +97,10 @@ def judge(df: DataFrame, host: str = "source", threshold: float = 0.5) -> DataFr
     named = df.select("doc_id", "text", row.alias("row"), F.struct(F.col(host).isNull().alias("none"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("name")).alias("host_key"))
     judged = materialise(with_failures(measures(named, ["doc_id", "row", "host_key"])))
     verdicts = host_verdicts(judged, "host_key", threshold)
-    # A host may hold a third of all rows: its documents are spread over SALTS copies of its verdict.
-    spread = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = judged.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    # A host may hold a third of all rows: the documents of such hosts are spread over SALTS copies of its verdict.
+    hot = hot_hashes(verdicts, "host_key", "host_docs")
+    spread = verdicts.withColumn("salt", F.explode(salts_of("host_key", hot, SALTS)))
+    salted = judged.withColumn("salt", salt_of("host_key", hot, SALTS, F.col("row")))
     return salted.join(spread, ["host_key", "salt"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.col("host_kept")).alias("kept"), "host_docs", "host_failures", "host_rate", "row")

@@ -18,6 +18,8 @@ from docframe.llm.common import documents, let, materialise
 PRIME = 2_147_483_647  # products of two residues stay below 2**62
 ROUNDS = 6
 BUCKETS = 4096
+#: Copies of one row that a task deals out at once.
+STRETCH = 1 << 16
 #: Bound on the numbers outside the range that the permutation can walk through.
 MAX_WALK = 7
 
@@ -76,7 +78,8 @@ def number_rows(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
     Rows go to hashed buckets; the numbers before a bucket come from the counts of the
     buckets (at most ``BUCKETS`` of them).  Equal rows are counted before they are dealt out,
     so a row repeated any number of times is one row in its bucket; equal rows get successive
-    numbers.  ``keys`` must be all columns of ``df``.
+    numbers.  ``keys`` must be all columns of ``df``.  A row with more than ``STRETCH`` copies is
+    dealt out by many tasks, a stretch of numbers each.
     """
     counted = df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("bucket"), *keys).agg(F.count(F.lit(1)).alias("copies"))
     counted = materialise(counted)
@@ -85,8 +88,14 @@ def number_rows(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     inside = Window.partitionBy("bucket").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("within", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
-    rows = placed.join(F.broadcast(before), "bucket").select(  # at most BUCKETS rows
-        *keys, F.explode(F.sequence(F.col("before") + F.col("within"), F.col("before") + F.col("within") + F.col("copies") - 1)).alias("row_number"))
+    first = F.col("before") + F.col("within")
+    placed = placed.join(F.broadcast(before), "bucket").select(*keys, first.alias("first"), "copies")  # at most BUCKETS rows
+    if counted.where(F.col("copies") > STRETCH).take(1):
+        stretches = F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("copies") - 1, F.lit(STRETCH)))
+        dealt = placed.where(F.col("copies") > STRETCH).select("*", F.explode(stretches).alias("i")).select(
+            *keys, (F.col("first") + F.col("i") * STRETCH).alias("first"), F.least(F.lit(STRETCH).cast("long"), F.col("copies") - F.col("i") * STRETCH).alias("copies"))
+        placed = placed.where(F.col("copies") <= STRETCH).union(dealt.repartition("first"))
+    rows = placed.select(*keys, F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)).alias("row_number"))
     return rows, total
 
 

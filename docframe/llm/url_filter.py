@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm.common import let, materialise
+from docframe.llm.common import hot_hashes, let, materialise, salt_of, salts_of
 
 #: (host, path prefix, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 DAMPING = 0.85
 ROUNDS = 12
+#: Copies of a verdict that many pages look up.
+SALTS = 16
 #: Rounds between two cuts of the lineage.
 CUT = 4
 #: A host is blocked from this many times its trust, and a part of the mean share of a host on top.
@@ -87,7 +89,8 @@ def judge_urls(pages: DataFrame) -> DataFrame:
     placed = pages.select("page_id", host_and_path(F.col("url")).alias("u"), "html").select("page_id", "u.host", "u.path", "html")
     name, verdict = rule_of(F.col("host"), F.col("path"))
     ruled = placed.select("page_id", "host", "path", name.alias("rule"), verdict.alias("ruled"))
-    seeds = materialise(ruled.where("host != ''").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad")))
+    hosts = materialise(ruled.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad")))
+    seeds = hosts.where("host != ''")
     edges = host_edges(placed)
     nodes = materialise(seeds.select("host").union(edges.select("src")).union(edges.select("dst")).distinct())
     totals = seeds.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
@@ -97,10 +100,10 @@ def judge_urls(pages: DataFrame) -> DataFrame:
     distrust = spread(back, seeds.where("bad > 0").select("host", (F.col("bad") / float(totals["bad"] or 1)).alias("weight")), nodes)
     blocked = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host").where(
         F.col("distrust") > RATIO * F.col("trust") + FLOOR / count).select("host", F.lit(True).alias("blocked"))
-    # A host may hold a third of the pages: each page looks up one of several copies.
-    salts = 16
-    copies = materialise(blocked).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = ruled.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
+    # A host may hold a third of the pages: a page of such a host looks up one of several copies.
+    hot = hot_hashes(hosts, "host", "pages")
+    copies = materialise(blocked).withColumn("salt", F.explode(salts_of("host", hot, SALTS)))
+    salted = ruled.withColumn("salt", salt_of("host", hot, SALTS, F.xxhash64("page_id", "path")))
     by_host = F.when(F.col("blocked"), "block").otherwise("allow")
     return salted.join(copies, ["host", "salt"], "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"))
 

@@ -161,3 +161,28 @@ def op10(docs):
                 a, b = sorted((root(d), root(sets[j][0])))
                 parent[b] = a
     return sorted((d, len(s), root(d)) for d, s in sets)
+
+
+def feistel(number, n, seed):
+    """The place of a row number: rounds that add a keyed hash of one half to the other, until inside the range."""
+    prime = 2**31 - 1
+    low = next(a for a in range(max(1, int((n - 1) ** 0.5)), n + 2) if -n % a <= 7)
+    high = -(-n // low)
+
+    def mixed(x, key):
+        c = [(key * 48_271 + 1_013_904_223 * (i + 1)) % prime for i in range(3)]
+        t = (x + c[0]) % prime
+        t = t * (t % 1_000_003 + c[1]) % prime
+        return (t * (c[2] | 1) + (t >> 15)) % prime
+
+    while True:
+        left, right = divmod(number, high)
+        for r in range(6):
+            key = seed * 6 + r + 1
+            if r % 2:
+                right = (right + mixed(left, key)) % high
+            else:
+                left = (left + mixed(right, key)) % low
+        number = left * high + right
+        if number < n:
+            return number

@@ -8,7 +8,7 @@ from dataclasses import replace
 import numpy as np
 import pytest
 
-from docframe.llm import bwt, rolling, substring_dedup, suffix_dedup
+from docframe.llm import bwt, rolling, sharding, substring_dedup, suffix_dedup
 from docframe.llm.quality import judge
 from docframe.llm.sharding import grid, shard, write_shards
 from docframe.llm.substring_dedup import dedup_substrings
@@ -127,3 +127,33 @@ def test_a_failing_host_loses_its_documents(spark):
     bad = [(100 + i, "short text", "bad") for i in range(49)] + [(149, " ".join(f"v{j}" for j in range(40)), "bad")]
     got = {r["doc_id"]: r["kept"] for r in judge(spark.createDataFrame(good + bad, "doc_id long, text string, source string")).collect()}
     assert all(got[i] for i in range(50)) and not any(got[100 + i] for i in range(50))
+
+
+def test_a_row_of_many_copies_is_dealt_in_stretches(spark, monkeypatch):
+    documents = [(1, "a"), (None, None), (2, "b c")] + [(7, "hot")] * 53
+    df = spark.createDataFrame(documents, "doc_id long, text string")
+    columns = ("doc_id", "size", "text_crc32", "shard", "slot", "row_number")
+    want = sorted(map(str, shard(df, 5).select(*columns).collect()))
+    monkeypatch.setattr(sharding, "STRETCH", 10)
+    assert sorted(map(str, shard(df, 5).select(*columns).collect())) == want and len(want) == 56
+
+
+def test_places_follow_a_plain_permutation(spark):
+    """Shard and slot of every row against a Feistel network written out in Python."""
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(211)], "doc_id long, text string")
+    got = shard(df, 7).select("row_number", "shard", "slot").collect()
+    assert sorted(r["row_number"] for r in got) == list(range(211))
+    places = [r["slot"] * 7 + r["shard"] for r in got]
+    assert sorted(places) == list(range(211))
+    for r in got:
+        assert r["slot"] * 7 + r["shard"] == brute.feistel(r["row_number"], 211, 0)
+
+
+def test_only_hot_hosts_are_copied(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(25)) if i % 5 else "short", "hot" if i % 3 else f"h{i}") for i in range(1500)]
+    got = judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    counts = {}
+    for i, _, host in rows:
+        n, bad = counts.get(host, (0, 0))
+        counts[host] = (n + 1, bad + (i % 5 == 0))
+    assert len(got) == 1500 and all((r["host_docs"], r["host_failures"]) == counts[rows[r["doc_id"]][2]] for r in got)
