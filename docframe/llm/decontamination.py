@@ -22,8 +22,9 @@ WIDTH = 100
 NOT_TERM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: No term is empty, so the empty one marks a document's end.
 END = ""
-#: Rows up to which a side of a join is sent to all executors; beyond, both sides are shuffled.
-BROADCAST_ROWS = 500_000
+#: Rows, and bytes of texts and lists, up to which a side of a join is sent to all executors; beyond, both are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
+FIXED_WIDTH = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp")
 
 
 def terms_of(text):
@@ -32,8 +33,11 @@ def terms_of(text):
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if its rows, counted here, are few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df`` marked for broadcast if its rows and their bytes, counted here, are few enough."""
+    wide = [F.coalesce(F.octet_length(F.col(c) if t == "string" else F.to_json(F.col(c))), F.lit(0)) for c, t in df.dtypes if t not in FIXED_WIDTH]
+    size = sum(wide, F.lit(0).cast("long"))
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if found["n"] <= BROADCAST_ROWS and found["bytes"] <= BROADCAST_BYTES else df
 
 
 @dataclass
