@@ -1,15 +1,15 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination, personal data, tokens.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept.  All but
-the last return the columns of ``docs``, whatever these are called.  Rows are told apart by a 64-bit
-hash of ``doc_id`` and text, so stages need no unique or non-null ids; rows equal in both share
-every verdict.  Null and empty texts have no words; texts may be of any length that a row can
+the last return the columns of ``docs``, whatever these are called.  Rows are told apart by their
+``doc_id`` and a 64-bit hash of it and the text, so stages need no unique or non-null ids; rows equal
+in both share every verdict.  Null and empty texts have no words; texts may be of any length that a row can
 hold; an empty table stays empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.llm import decontamination, jaccard, pii, quality, tokenising
@@ -27,17 +27,22 @@ def free_name(docs: DataFrame) -> str:
     return name
 
 
+def pair(row: Column) -> Column:
+    """A row's key: its hash and its id, which may be null and then equals another null."""
+    return F.struct(row.alias("row"), F.col("doc_id").cast("long").alias("id"))
+
+
 def with_key(docs: DataFrame, key: str) -> DataFrame:
-    return docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    return docs.withColumn(key, pair(F.xxhash64("doc_id", F.coalesce("text", F.lit("")))))
 
 
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose key is in ``rows`` (``row``).
+    """``docs`` without the rows whose key is in ``rows`` (``doc_id, row``).
 
     The keys are sent to all executors while they are few; beyond, both sides are shuffled.
     """
     key = free_name(docs)
-    gone = decontamination.small(materialise(rows.select(F.col("row").alias(key)).distinct()))
+    gone = decontamination.small(materialise(rows.select(pair(F.col("row")).alias(key)).distinct()))
     return with_key(docs, key).join(gone, key, "left_anti").select(*docs.columns)
 
 
@@ -57,14 +62,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     found = materialise(jaccard.linked_components(docs).where(F.col("n_shingles") > 0))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    first = found.groupBy("label").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("label", F.col("first.row").alias("first"))
-    gone = found.join(decontamination.small(materialise(first)), "label").where(F.col("row") != F.col("first"))
+    first = found.groupBy("label").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("label", F.struct("first.row", F.col("first.doc_id").alias("id")).alias("first"))
+    gone = found.join(decontamination.small(materialise(first)), "label").where(~pair(F.col("row")).eqNullSafe(F.col("first")))
     rest = without(docs, gone)
-    again = materialise(found.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row"))
+    again = materialise(found.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "row"))
     if not again.take(1):
         return rest
     key = free_name(docs)
-    keyed, twice = with_key(rest, key), again.select(F.col("row").alias(key))
+    keyed, twice = with_key(rest, key), again.select(pair(F.col("row")).alias(key))
     once = keyed.join(twice, key, "left_semi").dropDuplicates([key])
     return keyed.join(twice, key, "left_anti").select(*docs.columns).union(once.select(*docs.columns))
 
