@@ -12,7 +12,8 @@ def collection_order(cat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -
     symbols.  The suffix's row follows from the last round's transform alone: all rows of
     lesser first symbols, then the same symbols above the string's own row.  Each round reads
     the transform once from front to back and writes the next one likewise, so its arrays
-    behave as sequential files; the caller bounds their size.  Returns the transform and, per
+    behave as sequential files; the caller bounds their size.  Where suffixes begin is found
+    from the finished transform, so a round moves symbols only.  Returns the transform and, per
     row, the offset in ``cat`` of the suffix (an empty suffix has the string's end).
     """
     count = len(starts)
@@ -20,40 +21,57 @@ def collection_order(cat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -
     kind = np.uint8 if len(cat) == 0 or cat.max() < 255 else np.int16  # UTF-8 has no byte 255, so its symbols stay bytes
     symbol = np.append(cat, np.uint8(0)).astype(kind) + kind(1)  # 0 ends a string
     bwt = np.where(lengths > 0, symbol[ends - 1], 0).astype(kind)
-    row = ends.astype(np.int32)
-    pos = np.arange(count)
     active = np.flatnonzero(lengths > 0)
+    pos = active.copy()
     ended = count - len(active)
     t = 0
     while len(active):
         t += 1
-        rank = np.empty(len(bwt), dtype=np.int32)
-        rank[np.argsort(bwt, kind="stable")] = np.arange(len(bwt), dtype=np.int32)
-        new = rank[pos[active]] + (count - ended)
-        begin = ends[active] - t
+        # Only the strings' own rows are ranked: their places in the sorted transform, in the order of symbol and row.
+        mark = np.zeros(len(bwt), dtype=bool)
+        mark[pos] = True
+        new = np.empty(len(active), dtype=np.int64)
+        new[np.argsort((bwt[pos].astype(np.int64) << 40) | pos)] = np.flatnonzero(mark.take(np.argsort(bwt, kind="stable"))) + (count - ended)
         more = lengths[active] > t
-        before = np.where(more, symbol[begin - 1], 0)
+        before = np.where(more, symbol[ends[active] - t - 1], 0)
         old = np.ones(len(bwt) + len(active), dtype=bool)
         old[new] = False
-        old = np.flatnonzero(old)
-        grown, rows = np.empty(len(bwt) + len(active), dtype=kind), np.empty(len(bwt) + len(active), dtype=np.int32)
-        grown[old], rows[old] = bwt, row
-        grown[new], rows[new] = before, begin
-        bwt, row = grown, rows
-        pos[active] = new
+        grown = np.empty(len(old), dtype=kind)
+        grown[old], grown[new] = bwt, before
+        bwt = grown
         ended += len(active) - int(np.count_nonzero(more))
-        active = active[more]
-    return bwt, row
+        active, pos = active[more], new[more]
+    return bwt, suffix_rows(bwt, ends, lengths)
+
+
+def suffix_rows(bwt: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Offsets of the suffixes of a finished transform: every string is followed from its end to its front."""
+    above = np.empty(len(bwt), dtype=np.int32)
+    above[np.argsort(bwt, kind="stable")] = np.arange(len(bwt), dtype=np.int32)
+    row = np.empty(len(bwt), dtype=np.int32)
+    row[: len(ends)] = ends
+    active = np.flatnonzero(lengths > 0)
+    pos = active
+    t = 0
+    while len(active):
+        t += 1
+        pos = above[pos]
+        row[pos] = ends[active] - t
+        more = lengths[active] > t
+        active, pos = active[more], pos[more]
+    return row
 
 
 def common_prefixes(cat: np.ndarray, rows: np.ndarray, k: int, block: int = 1 << 14) -> np.ndarray:
     """Whether each row's suffix shares its first ``k`` symbols with the row above, exactly."""
     same = np.zeros(len(rows), dtype=bool)
-    step = np.arange(k)
+    if len(cat) < k:
+        return same
+    windows = np.lib.stride_tricks.sliding_window_view(cat, k)
     for at in range(1, len(rows), block):
         a = rows[at : at + block]
         b = rows[at - 1 : at - 1 + len(a)]
-        same[at : at + len(a)] = (cat[a[:, None] + step] == cat[b[:, None] + step]).all(axis=1)
+        same[at : at + len(a)] = (windows[a] == windows[b]).all(axis=1)
     return same
 
 

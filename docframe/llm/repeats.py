@@ -186,37 +186,45 @@ def shipped(table: pa.Table, answers: pa.Table, rule: Rule, buckets: int) -> pa.
     local = runs["start"] - sym.offsets[np.searchsorted(sym.offsets, runs["start"], side="right") - 1]
     order = np.lexsort((local, runs["doc"]))
     runs, local = runs[order], local[order]
+    begin, end = runs["start"].copy(), runs["start"] + runs["size"]
     seen: dict[bytes, int] = {}
-    send, settled, strings = [], [], []
-    for i, (a, size) in enumerate(zip(runs["start"].tolist(), runs["size"].tolist())):
-        text = sym.cut(a, a + size)
-        j = seen.setdefault(text, i)
-        if j == i:
-            send.append(i)
-            strings.append(text)
-        elif runs["doc"][j] < runs["doc"][i] or (rule.within and local[j] < local[i]):
-            settled.append(i)
-        else:  # a tie: neither is earlier, both must be judged
-            send.append(i)
-            strings.append(text)
+    twin, same = np.arange(len(runs)), alike(runs["mini"], runs["size"])
+    for at in range(0, len(same), 1 << 16):
+        some = same[at : at + (1 << 16)]
+        texts = map(sym.cut, begin[some].tolist(), end[some].tolist())
+        twin[some] = [seen.setdefault(text, i) for text, i in zip(texts, some.tolist())]
+    # Of a tie neither is earlier: both are sent to be judged.
+    settled = runs["doc"][twin] < runs["doc"]
+    if rule.within:
+        settled |= local[twin] < local
     g = int(runs["g"][0]) if len(runs) else 0
     runs["start"] = local
     out = []
-    if settled:
-        done = np.zeros(len(settled), dtype=RANGE)
+    if settled.any():
+        done = np.zeros(int(settled.sum()), dtype=RANGE)
         done["row"], done["start"] = runs["row"][settled], runs["start"][settled]
         done["end"] = done["start"] + runs["size"][settled]
         out.append((-1 - g, g, pack(done.tobytes())))
-    key = runs["mini"][send] % np.uint64(buckets)
+    send = np.flatnonzero(~settled)
+    key = (runs["mini"][send] % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(key, kind="stable")
-    cuts = np.append(np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])), len(order)) if len(order) else [0]
+    key, send = key[order], send[order]
+    # There is a message to a bucket, so what a message costs must not grow with the group.
+    runs, strings = runs[send], list(map(sym.cut, begin[send].tolist(), end[send].tolist()))
+    lengths = np.array([len(x) for x in strings], dtype="<i8")
+    cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)).tolist() if len(key) else [0]
     for a, b in zip(cuts[:-1], cuts[1:]):
-        mine = order[a:b]
-        lengths = np.array([len(strings[k]) for k in mine], dtype="<i8")
-        out.append((int(key[mine[0]]), g, pack(runs[np.array(send)[mine]].tobytes(), lengths.tobytes(), b"".join(strings[k] for k in mine))))
+        out.append((int(key[a]), g, pack(runs[a:b].tobytes(), lengths[a:b].tobytes(), b"".join(strings[a:b]))))
     return messages(out)
 
 
+def alike(minis: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which runs share minimiser and size with another one, in order; no others can be equal strings."""
+    order = np.lexsort((sizes, minis))
+    same = (minis[order][1:] == minis[order][:-1]) & (sizes[order][1:] == sizes[order][:-1])
+    return np.sort(order[np.append(same, False) | np.append(False, same)])
+
+
 def covered(flags: np.ndarray, window: int) -> list[tuple[int, int]]:
     """Symbol ranges covered by the flagged windows, merged."""
     at = np.flatnonzero(flags)
@@ -242,23 +250,34 @@ def compared(table: pa.Table, rule: Rule) -> pa.Table:
     order = np.lexsort((runs["start"], runs["doc"]))
     runs = runs[order]
     first: dict[bytes, int] = {}
-    which = np.array([first.setdefault(strings[i], len(first)) for i in order], dtype=np.int64)
+    which = np.array([first.setdefault(strings[i], len(first)) for i in order.tolist()], dtype=np.int64)
     lead = np.unique(which, return_index=True)[1]  # each string's earliest run
     distinct = list(first)
     # A minimiser with one string has nothing to compare it with.
     minis, inverse = np.unique(runs["mini"][lead], return_inverse=True)
     busy = np.flatnonzero(np.bincount(inverse, minlength=len(minis))[inverse] > 1)
-    flags = rule.kernel([distinct[i] for i in busy], runs["mini"][lead[busy]], runs["doc"][lead[busy]], runs["start"][lead[busy]], rule) if len(busy) else []
-    flag_of = dict(zip(busy.tolist(), flags))
-    out: dict[int, list] = {}
-    for r, w in zip(runs, which.tolist()):
-        head = runs[lead[w]]
-        if head["doc"] < r["doc"] or (rule.within and head["doc"] == r["doc"] and head["start"] < r["start"]):
-            out.setdefault(int(r["g"]), []).append((r["row"], r["start"], r["start"] + r["size"]))
-        elif w in flag_of:
-            for a, b in covered(flag_of[w], rule.window):
-                out.setdefault(int(r["g"]), []).append((r["row"], r["start"] + a, r["start"] + b))
-    return messages([(0, g, pack(np.array(x, dtype=RANGE).tobytes())) for g, x in out.items()])
+    flags = rule.kernel([distinct[i] for i in busy.tolist()], runs["mini"][lead[busy]], runs["doc"][lead[busy]], runs["start"][lead[busy]], rule) if len(busy) else []
+    head = lead[which]
+    late = runs["doc"][head] < runs["doc"]
+    if rule.within:
+        late |= (runs["doc"][head] == runs["doc"]) & (runs["start"][head] < runs["start"])
+    whole = np.flatnonzero(late)
+    found = [np.column_stack([whole, np.zeros(len(whole), dtype=np.int64), runs["size"][whole]])]
+    rest = np.flatnonzero(~late)
+    rest = rest[np.argsort(which[rest], kind="stable")]
+    ranked = which[rest]
+    for w, f in zip(busy.tolist(), flags):
+        if f.any():
+            parts = np.array(covered(f, rule.window), dtype=np.int64)
+            mine = rest[np.searchsorted(ranked, w) : np.searchsorted(ranked, w, side="right")]
+            found.append(np.column_stack([np.repeat(mine, len(parts)), np.tile(parts, (len(mine), 1))]))
+    found = np.concatenate(found)
+    found = found[np.argsort(runs["g"][found[:, 0]], kind="stable")]
+    owner = runs[found[:, 0]]
+    ranges = np.zeros(len(found), dtype=RANGE)
+    ranges["row"], ranges["start"], ranges["end"] = owner["row"], owner["start"] + found[:, 1], owner["start"] + found[:, 2]
+    cuts = np.append(np.flatnonzero(np.append(True, owner["g"][1:] != owner["g"][:-1])), len(owner)).tolist() if len(owner) else [0]
+    return messages([(0, int(owner["g"][a]), pack(ranges[a:b].tobytes())) for a, b in zip(cuts[:-1], cuts[1:])])
 
 
 def merged(spans: np.ndarray) -> np.ndarray:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import time
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from docframe.llm import bwt, rolling, sharding, substring_dedup, suffix_dedup
+from docframe.llm import bwt, repeats, rolling, sharding, substring_dedup, suffix_dedup
 from docframe.llm.quality import judge
 from docframe.llm.sharding import grid, shard, write_shards
 from docframe.llm.substring_dedup import dedup_substrings
@@ -73,6 +75,28 @@ def test_hot_minimisers_and_repeated_rows(spark, odd, hot):
     assert rows(dedup_suffixes(df, replace(suffix_dedup.RULE, hot=hot)), *CASES[1][2]) == brute.op6(held)
 
 
+def test_a_message_costs_the_same_in_a_large_corpus():
+    """A group sends to as many buckets as the corpus asks for; over 768 at 6 GB of texts."""
+    rng = np.random.default_rng(4)
+    texts = pa.array([bytes(rng.integers(97, 123, 20_000, dtype=np.uint8)).decode() for _ in range(75)])
+    ids = pa.array(range(75), pa.int64())
+    group = pa.table({"doc_id": ids, "text": texts, "row": ids, "g": pa.array([0] * 75, pa.int32())})
+    rule = suffix_dedup.RULE
+    minis = np.unique(repeats.runs_of(group, rule)[1]["mini"])
+    answer = repeats.messages([(0, 0, repeats.pack(minis.tobytes(), b""))])
+
+    def sent(buckets):
+        began = time.process_time()
+        out = repeats.shipped(group, answer, rule, buckets)
+        took = time.process_time() - began
+        runs = np.concatenate([np.frombuffer(repeats.unpack(p)[0], repeats.RUN) for p in out["payload"].to_pylist()])
+        return took, out.num_rows, np.sort(runs, order=["row", "start"])
+
+    (few_s, few, a), (many_s, many, b) = sent(4), sent(3000)
+    assert (few, many) == (4, 3000) and (a == b).all() and len(a) > 40_000
+    assert many_s < 4 * few_s + 1
+
+
 def test_minimiser_runs_partition_the_windows():
     rng = np.random.default_rng(3)
     grams = rng.integers(0, 1 << 63, 500).astype(np.uint64)
