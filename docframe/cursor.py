@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 
 from docframe.errors import DocframeError
-from docframe.sort import check_sort, sort_columns
+from docframe.sort import TOP, check_sort, in_order, sort_keys, without_first
 
 
 def count_of(value, name: str) -> int:
@@ -39,14 +39,17 @@ class Cursor:
         return self
 
     def to_df(self) -> DataFrame:
-        """The documents as a lazy DataFrame; a sort with a limit plans as one top-k."""
-        df = self._df
-        if self._sort is not None:
-            df = df.orderBy(*sort_columns(self._sort, self._resolver, self._ties))
-        elif self._ties and (self._skip or self._limit is not None):
-            df = df.orderBy(*self._ties)
-        if self._skip:
-            df = df.offset(self._skip)
+        """The documents as a lazy DataFrame; a sort with a limit plans as one top-k after skips up to ``TOP``."""
+        df, skip, keys = self._df, self._skip, []
+        if self._sort is not None or skip or self._limit is not None:
+            keys = sort_keys(self._sort or {}, self._resolver, self._ties)
+        if keys and skip and (self._limit is None or skip > TOP):
+            df, skip = without_first(df, keys, skip), 0
+            keys = keys if self._limit is not None else []
+        if keys:
+            df = df.orderBy(*in_order(keys))
+        if skip:
+            df = df.offset(skip)
         if self._limit is not None:
             df = df.limit(self._limit)
         return self._output(df)

@@ -9,6 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from docframe import cursor, sort
 from docframe.errors import DocframeError
 from docframe.missing import MISSING
 from docframe.operators import frames
@@ -160,6 +161,46 @@ def test_sorted_slice_is_one_top_k(spark):
     assert "TakeOrderedAndProject" in text
 
 
+@pytest.mark.parametrize("skip", [10, 5000])
+def test_a_skip_without_limit_does_not_send_all_rows_through_one_task(spark, monkeypatch, skip):
+    monkeypatch.setattr(sort, "TOP", 100)
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_linenumber")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = frames.find(df).sort({"l_orderkey": -1, "l_linenumber": 1}).skip(skip).to_df()
+        parts = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        got = [tuple(r) for r in out.collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == sorted(map(tuple, df.collect()), key=lambda r: (-r[0], r[1]))[skip:]
+    assert sum(parts) == len(got) and max(parts) < len(got) / 2
+
+
+@pytest.mark.parametrize("top", [0, 10_000])
+@pytest.mark.parametrize("dealt", [False, True])
+def test_skips_among_missing_and_equal_keys(spark, monkeypatch, top, dealt):
+    monkeypatch.setattr(sort, "TOP", top)
+    monkeypatch.setattr(cursor, "TOP", top)
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", "B", "", None]), rng.choice([-1.0, -0.0, 0.0, 2.5, float("nan"), None]), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "f string, g double, place int").repartition(5)
+    if dealt:
+        df = df.repartitionByRange(7, F.col("f").desc_nulls_last(), F.col("g").asc_nulls_first(), F.col("place"))
+
+    def place(f, g):
+        missing = g is None or g != g
+        return f is None, [-ord(c) for c in f or ""] + [1], not missing, 0 if missing else g
+
+    want = sorted(place(f, g) for f, g, _ in rows)
+    for skip in (37, 150, 200, 300):
+        out = frames.find(df).sort({"f": -1, "g": 1}).skip(skip).to_df().collect()
+        assert [place(r["f"], r["g"]) for r in out] == want[skip:], skip
+        assert len({r["place"] for r in out}) == len(out) and all(set(r.asDict()) == {"f", "g", "place"} for r in out)
+        assert [place(r["f"], r["g"]) for r in frames.find(df).sort({"f": -1, "g": 1}).skip(skip).limit(20).to_df().collect()] == want[skip : skip + 20]
+    assert [r["f"] for r in frames.find(df).sort({"f": 1}).skip(90).to_df().collect()] == sorted((f for f, _, _ in rows), key=lambda f: (f is not None, f or ""))[90:]
+    assert frames.find(df.limit(0)).sort({"f": 1}).skip(3).to_df().collect() == []
+
+
 def test_white_space_and_ampersands_mean_the_same_in_both_dialects(spark):
     values = ["a\u00a0b", "a b", "a\ufeffb", "a&b", "ab", "a\x1cb"]
     df = spark.createDataFrame([(v,) for v in values], "v string")
